@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import warc
+from tidewater.llm import toxicity, warc
 from tidewater.llm.common import table
 
 QUERIES = {}
@@ -37,3 +37,8 @@ select page_id, payload_bytes::BIGINT as payload_bytes, payload_digest,
   case when original is null or page_id = original then null else original end as refers_to
 from b
 """
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
