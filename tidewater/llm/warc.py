@@ -135,7 +135,8 @@ def read_headers(manifest: DataFrame, folder: str) -> DataFrame:
 def resolve(headers: DataFrame) -> DataFrame:
     """Revisits get the payload_bytes of the response with their digest."""
     held = headers.filter("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("held_bytes"))
-    return headers.join(held, "payload_digest", "left").select("page_id", "url", F.coalesce("payload_bytes", "held_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    # The size of what Python reads from archives can't be estimated, so the join must not become a broadcast.
+    return headers.join(held.hint("merge"), "payload_digest", "left").select("page_id", "url", F.coalesce("payload_bytes", "held_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
 def archive_round_trip(pages: DataFrame, min_payload_bytes: int = 0) -> DataFrame:
