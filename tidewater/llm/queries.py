@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bpe, toxicity, warc
+from tidewater.llm import bpe, cosine, toxicity, warc
 from tidewater.llm.common import table
 
 QUERIES = {}
@@ -48,3 +48,26 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosine.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op9_embedding_dedup"] = """
+with recursive v as (
+  select vec_id, embedding::DOUBLE[] as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.95
+), reach as (
+  select a as node, a as got from links union select r.node, l.b from reach r join links l on r.got = l.a
+)
+select e.vec_id, coalesce(l.n, 0)::BIGINT as n_links, least(e.vec_id, coalesce(r.c, e.vec_id)) as component_id,
+  e.vec_id = least(e.vec_id, coalesce(r.c, e.vec_id)) as kept
+from embeddings e
+left join (select a, count(*) as n from links group by a) l on l.a = e.vec_id
+left join (select node, min(got) as c from reach group by node) r on r.node = e.vec_id
+"""
