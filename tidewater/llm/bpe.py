@@ -251,3 +251,48 @@ def digests(documents: DataFrame, tokenizer: str) -> DataFrame:
 def whole(text: memoryview) -> bytes:
     """Decoding replaces what is not UTF-8, as the library's decode() does."""
     return bytes(text).decode("utf-8", "replace").encode()
+
+
+def _joins(piece: bytes) -> bool:
+    """Whether a piece starts with a cut blank and ends with a character that can't be white space, so that pieces before and after it don't matter."""
+    if len(piece) < 2 or piece[0] != 0x20 or piece[1] <= 0x20 or piece[1] == 0xC2 or 0xE1 <= piece[1] <= 0xE3 or piece[-1] <= 0x20:
+        return False
+    return piece[-1] < 0x80 or piece[-2] != 0xC2 and not 0xE1 <= piece[-3] <= 0xE3
+
+
+def library_encoder(vocabulary: Vocabulary, path: str) -> Callable[[list[bytes]], list[tuple[int, ...]]]:
+    """Encodes pieces with the tokenizers library, many in one text; the lengths of the tokens tell where each ends."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread per task
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    length = np.array([len(b) for b in vocabulary.bytes])
+
+    def encode(given: list[bytes]) -> list[tuple[int, ...]]:
+        joins = [k for k, p in enumerate(given) if _joins(p)]
+        out: list = [None] * len(given)
+        for k in range(0, len(joins), 5000):
+            some = joins[k : k + 5000]
+            ids = tokenizer.encode(b"".join([given[i] for i in some]).decode(), add_special_tokens=False).ids
+            ends = np.searchsorted(np.cumsum(length[ids]), np.cumsum([len(given[i]) for i in some])) + 1
+            first = 0
+            for i, last in zip(some, ends.tolist()):
+                out[i] = ids[first:last]
+                first = last
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, got in zip(rest, tokenizer.encode_batch([given[i].decode() for i in rest], add_special_tokens=False)):
+            out[k] = got.ids
+        return out
+
+    return encode
+
+
+@lru_cache(maxsize=1)
+def library_tokenizer(path: str) -> Encoder:
+    """Kept by a Python worker from task to task."""
+    vocabulary = Vocabulary(path)
+    return Encoder(library_encoder(vocabulary, path), list(vocabulary.special))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bpe, cosine, toxicity, warc
+from tidewater.llm import bpe, cosine, packing, toxicity, warc
 from tidewater.llm.common import table
 
 QUERIES = {}
@@ -71,3 +71,8 @@ from embeddings e
 left join (select a, count(*) as n from links group by a) l on l.a = e.vec_id
 left join (select node, min(got) as c from reach group by node) r on r.node = e.vec_id
 """
+
+
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
