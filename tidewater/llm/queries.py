@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bpe, cosine, packing, toxicity, warc
+from tidewater.llm import bpe, cosine, minhash, packing, toxicity, warc
 from tidewater.llm.common import table
 
 QUERIES = {}
@@ -76,3 +76,30 @@ left join (select node, min(got) as c from reach group by node) r on r.node = e.
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+ORACLES["op7_minhash"] = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), s as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) = 1 then w
+    else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s from w
+), e as (
+  select doc_id, len(s) as n, unnest(s) as x from s
+), c as (
+  select a.doc_id as a, b.doc_id as b, a.n as m, b.n as n, count(*) as k from e a join e b on a.x = b.x and a.doc_id <> b.doc_id
+  where 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by all
+), links as (
+  select a, b from c where 100 * k >= 80 * (m + n - k)
+), reach as (
+  select a as node, a as got from links union select r.node, l.b from reach r join links l on r.got = l.a
+)
+select s.doc_id, len(s.s) as n_shingles, least(s.doc_id, coalesce(r.c, s.doc_id)) as component_id,
+  s.doc_id = least(s.doc_id, coalesce(r.c, s.doc_id)) as kept
+from s left join (select node, min(got) as c from reach group by node) r on r.node = s.doc_id
+"""
