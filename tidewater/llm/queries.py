@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, cosine, minhash, packing, toxicity, warc
+from tidewater.llm import bpe, cosine, minhash, packing, phrases, toxicity, warc
 from tidewater.llm.common import table
 
 QUERIES = {}
@@ -103,3 +104,27 @@ select s.doc_id, len(s.s) as n_shingles, least(s.doc_id, coalesce(r.c, s.doc_id)
   s.doc_id = least(s.doc_id, coalesce(r.c, s.doc_id)) as kept
 from s left join (select node, min(got) as c from reach group by node) r on r.node = s.doc_id
 """
+
+
+@query
+def op4_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = phrases.repeated_windows_removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op4_phrases"] = r"""
+with w as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), g as (
+  select doc_id, i, array_to_string(w[i : i + 12], ' ') as x from w, unnest(range(1, len(w) - 11)) as r(i)
+), later as (
+  select doc_id, i from (select *, min(doc_id) over (partition by x) as low from g) where low < doc_id
+), gone as (
+  select distinct doc_id, i + k as pos from later, range(0, 13) as t(k)
+), lists as (
+  select doc_id, list(pos) as gone from gone group by doc_id
+)
+select w.doc_id, len(w.w) as n_words, coalesce(len(l.gone), 0) as n_removed,
+  sha256(array_to_string(list_filter(w.w, lambda x, i: not list_contains(coalesce(l.gone, []), i)), ' ')) as kept_sha256
+from w left join lists l using (doc_id)
+"""
