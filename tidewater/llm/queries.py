@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, cosine, minhash, packing, phrases, toxicity, warc
+from tidewater.llm import bpe, cosine, lm, minhash, packing, phrases, toxicity, warc
 from tidewater.llm.common import table
 
 QUERIES = {}
@@ -128,3 +128,8 @@ select w.doc_id, len(w.w) as n_words, coalesce(len(l.gone), 0) as n_removed,
   sha256(array_to_string(list_filter(w.w, lambda x, i: not list_contains(coalesce(l.gone, []), i)), ' ')) as kept_sha256
 from w left join lists l using (doc_id)
 """
+
+
+@query
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
