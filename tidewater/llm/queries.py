@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, cosine, lm, minhash, packing, phrases, toxicity, warc
+from tidewater.llm import ann, bpe, cosine, lm, minhash, packing, phrases, toxicity, warc
 from tidewater.llm.common import table
 
 QUERIES = {}
@@ -133,3 +133,8 @@ from w left join lists l using (doc_id)
 @query
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
