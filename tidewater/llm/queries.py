@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import ann, bpe, cosine, lm, minhash, packing, phrases, toxicity, warc
+from tidewater.llm import ann, bpe, cosine, html_text, lm, minhash, packing, phrases, toxicity, warc
 from tidewater.llm.common import table
 
 QUERIES = {}
@@ -138,3 +138,8 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
