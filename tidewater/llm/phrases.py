@@ -6,7 +6,7 @@
 2. Windows with such a mark are confirmed: blocks send their hashes, with the smallest and largest document of the
    block that holds them, and buckets answer with the smallest document of all blocks.
 3. Each block is a shard: of every run of repeated windows it takes just as many passages as cover the run, compiles
-   them into one Aho-Corasick automaton, over one letter per word, and streams all its documents through it. Every
+   them into one Aho-Corasick automaton, over a few letters per word, and streams all its documents through it. Every
    occurrence after the passage's first document is removed.
 
 A block sends each mark and window once, whatever the number of documents that hold it, so a passage in a third of all
@@ -30,6 +30,7 @@ from tidewater.llm.groups import whole_groups
 
 BLOCK = 4 << 20
 SHORT = 5
+LETTERS = 64
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: after all others
 _ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
 PACKED = "kind int, block long, bucket long, payload binary"
@@ -55,6 +56,19 @@ def rows(kind: int, block, bucket, payload: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(block, pa.int64()), pa.array(bucket, pa.int64()), pa.array(payload, pa.binary())], ["kind", "block", "bucket", "payload"])
 
 
+def question(key: np.ndarray, low: np.ndarray) -> bytes:
+    """Windows in the order of their first documents: hashes as they are, documents as packed differences."""
+    packed = pa.compress(np.diff(low, prepend=0).astype(np.int64), codec="zstd", asbytes=True) if len(key) else b""
+    return np.int64(len(key)).tobytes() + key.tobytes() + packed
+
+
+def asked_of(payload: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    raw = payload.as_buffer()
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    low = np.cumsum(np.frombuffer(pa.decompress(raw.slice(8 + 8 * n), 8 * n, codec="zstd"), np.int64)) if n else np.zeros(0, np.int64)
+    return np.frombuffer(raw, np.uint64, n, 8), low
+
+
 def dealt(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """An order of the keys by bucket, and where each bucket begins in it."""
     bucket = (key >> np.uint64(40)) % np.uint64(buckets)
@@ -91,27 +105,33 @@ class Block:
         new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
         return (k[new], np.minimum.reduceat(d, new), np.maximum.reduceat(d, new)) if len(k) else (k, d, d)
 
-    def passages(self, key: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows that cover every run of repeated windows, given the confirmed ones (sorted) and their first documents."""
-        place = np.minimum(np.searchsorted(key, self.window), max(0, len(key) - 1))
-        repeated = self.inside & (key[place] == self.window) & (least[place] < self.doc)
+    def passages(self, answer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows that cover every run of repeated windows, given the confirmed ones (sorted); with each, the document of this block that keeps it, or one before all."""
+        key = answer | np.uint64(1)
+        place = np.minimum(np.searchsorted(key, self.window | np.uint64(1)), len(key) - 1)
+        found = np.flatnonzero(self.inside & (key[place] == self.window | np.uint64(1)) if len(key) else np.zeros(len(self.window), bool))
+        least = np.full(len(key), LAST)
+        np.minimum.at(least, place[found], self.doc[found])
+        least[(answer & np.uint64(1)) == 1] = np.iinfo(np.int64).min
+        at = found[least[place[found]] < self.doc[found]]
+        repeated = np.zeros(len(self.window), bool)
+        repeated[at] = True
         before = np.zeros(len(repeated), bool)
         before[1:] = repeated[:-1]
         start = self.first[:-1][self.first[:-1] < len(repeated)]
         before[start] = False
         begin = np.flatnonzero(repeated & ~before)
         run = np.cumsum(repeated & ~before) - 1
-        at = np.flatnonzero(repeated)
         last = np.zeros(len(begin), np.int64)
         np.maximum.at(last, run[at], at)
         take = at[((at - begin[run[at]]) % self.size == 0) | (at == last[run[at]])]
         _, one = np.unique(self.window[take], return_index=True)
         return take[one], least[place[take[one]]]
 
-    def removed(self, key: np.ndarray, least: np.ndarray) -> np.ndarray:
-        """Which words are covered: all occurrences of the passages, by an automaton over one letter per word."""
+    def removed(self, answer: np.ndarray) -> np.ndarray:
+        """Which words are covered: all occurrences of the passages, by an automaton over the letters of words."""
         gone = np.zeros(len(self.word) + 1, np.int64)
-        at, least = self.passages(key, least) if len(key) and len(self.word) else (np.zeros(0, np.int64), least)
+        at, least = self.passages(answer) if len(answer) and len(self.word) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         if len(at):
             _, number = np.unique(self.word, return_inverse=True)
             text, width = letters(number)
@@ -122,7 +142,7 @@ class Block:
             hits = np.array([x for x in automaton.iter(text)], np.int64).reshape(-1, 2)
             hits = hits[(hits[:, 0] + 1) % width == 0]
             begin = (hits[:, 0] + 1) // width - self.size
-            # A match across the end of a document is none; nor is one in the passage's first document or before it.
+            # A match across the end of a document is none; nor is one in the passage's first document.
             good = self.inside[begin] & (self.doc[begin] > least[hits[:, 1]])
             np.add.at(gone, begin[good], 1)
             np.add.at(gone, begin[good] + self.size, -1)
@@ -143,11 +163,12 @@ class Block:
 
 
 def letters(number: np.ndarray) -> tuple[str, int]:
-    """Numbers as letters, one for each number, or two where there are more numbers than letters; surrogates are left out."""
-    count = 0x110000 - 0x800 - 1
-    width = 1 if not len(number) or number.max() < count else 2
-    digit = np.stack([number % count] if width == 1 else [number // count, number % count], 1).ravel() + 1
-    return (digit + 0x800 * (digit >= 0xD800)).astype("<u4").tobytes().decode("utf-32-le"), width
+    """Numbers as letters, as many for each as the largest needs; there are few different ones, as the automaton's nodes look for a letter in a list."""
+    width = 1
+    while len(number) and number.max() >= LETTERS**width:
+        width += 1
+    digit = np.stack([number // LETTERS**k % LETTERS for k in range(width - 1, -1, -1)], 1)
+    return (digit.ravel() + ord("0")).astype(np.uint8).tobytes().decode("ascii"), width
 
 
 def repeated_windows_removed(documents: DataFrame, size: int = 13) -> DataFrame:
@@ -198,36 +219,36 @@ def repeated_windows_removed(documents: DataFrame, size: int = 13) -> DataFrame:
             mark = block.marks() | np.uint64(1)
             place = np.minimum(np.searchsorted(many, mark), max(0, len(many) - 1))
             at = np.flatnonzero(block.inside & (many[place] == mark)) if len(many) else np.zeros(0, np.int64)
-            key, low, high = block.first_last(block.window, at)
-            order = np.lexsort((high, low))  # by document, which packs well
-            key, low, high = key[order], low[order], high[order]
+            key, low, high = block.first_last(block.window | np.uint64(1), at)
+            key = key ^ (low == high).astype(np.uint64)  # the lowest bit, as in marks
+            order = np.argsort(low, kind="stable")
+            key, low = key[order], low[order]
             order, at = dealt(key, buckets)
-            yield rows(2, [name] * buckets, np.arange(buckets), [pack(arrays(key=key[o], low=low[o], high=high[o])) for o in (order[i:j] for i, j in zip(at, at[1:]))])
+            yield rows(2, [name] * buckets, np.arange(buckets), [question(key[o], low[o]) for o in (order[i:j] for i, j in zip(at, at[1:]))])
 
     def first_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, at in whole_groups(batches, ["bucket"], 1):
             payload = part["payload"].combine_chunks()
             for first, last in zip(at[:-1], at[1:]):
-                own = [[c.to_numpy() for c in unpack(payload[k]).columns] for k in range(first, last)]
+                own = [asked_of(payload[k]) for k in range(first, last)]
                 key, low = (np.concatenate([x[c] for x in own]) for c in (0, 1))
+                key = key | np.uint64(1)
                 order = np.lexsort((low, key))
                 key, low = key[order], low[order]
                 new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
                 key, low = key[new], low[new]
                 out = []
-                for k, _, high in own:
-                    least = low[np.searchsorted(key, k)]
-                    out.append(pack(arrays(key=k[least < high], least=least[least < high])))
+                for k, l in own:
+                    earlier = low[np.searchsorted(key, k | np.uint64(1))] < l
+                    # Lowest bit 1: the first document is in another block; 0: it is in this one, and later ones hold the window too.
+                    out.append(np.concatenate([k[earlier] | np.uint64(1), k[~earlier & ((k & np.uint64(1)) == 1)] ^ np.uint64(1)]).tobytes())
                 yield rows(2, part["block"].to_numpy()[first:last], [0] * (last - first), out)
 
     names = source.columns
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block, answers in by_block(batches):
-            own = [unpack(x) for x in answers]
-            key, least = (np.concatenate([x.column(c).to_numpy() for x in own] or [np.zeros(0, np.int64)]) for c in ("key", "least"))
-            order = np.argsort(key)
-            gone = block.removed(key[order].astype(np.uint64), least[order])
+            gone = block.removed(np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in answers] or [np.zeros(0, np.uint64)])))
             total = np.concatenate([[0], np.cumsum(gone)])[block.first]
             columns = [block.kept(gone) if n == "text" else block.batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(block.first)), pa.array(np.diff(total))], [*names, "n_words", "n_removed"])
