@@ -4,8 +4,9 @@ Vectors get one more coordinate that makes all norms equal, so that the largest
 and a random rotation, so that the first d coordinates of a difference estimate its length. Centres of lists, the number
 of lists to probe and each query's first radius come from a bounded sample; every vector is put into a list. Within a
 probed list, a block of columns at a time is added to the distances, and a candidate is abandoned as soon as a test on
-its partial distance rejects that it lies within the radius (at `strictness` standard deviations). Scores of what is
-left are inner products of the original vectors in double precision.
+its partial distance rejects that it lies within the radius (at `strictness` standard deviations). A query first probes
+its nearest lists, and its k-th score so far is its radius in the others. Scores of what is left are inner products of
+the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from tidewater.llm.cosine import usable
 from tidewater.llm.groups import whole_groups
 
 SAMPLE = 8192
-RADIUS_SAMPLE = 1024
+RADIUS_SAMPLE = 4096
 COLUMNS = 16
 BLOCK = 4096
 FOUND = "query_id long, vec_id long, score double"
@@ -127,22 +128,27 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, lists: int | No
                 of = distances(lifted(matrix(batch.column(1)), norm, turn_, False), centres_).argmin(1)
                 yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), *batch.columns], ["list", "vec_id", "embedding"])
 
-    def probe(count: int, limited: bool):
+    def probe(first: int, last: int, limited: bool):
+        """The lists from the first-th to the last-th nearest, and a radius: that of the k-th score so far, else of the sample."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             turn_, centres_, some_, own = fixed.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 q, name = lifted(matrix(batch.column(1)), norm, turn_, True), batch.column(0).to_numpy()
-                order = np.argsort(distances(q, centres_), 1, kind="stable")[:, :count]
+                order = np.argsort(distances(q, centres_), 1, kind="stable")[:, first:last]
                 radius = np.full(len(q), np.inf)
                 if limited and len(some_) > k:
                     d = distances(q, some_)
                     d[name[:, None] == own[None]] = np.inf
-                    # The k-th of the sample is no nearer than the k-th of all.
-                    radius = np.sort(d, 1)[:, k - 1] * (1 + 1e-9)
-                take = batch.take(pa.array(np.repeat(np.arange(len(q)), order.shape[1])))
-                yield pa.RecordBatch.from_arrays([pa.array(order.ravel(), pa.int64()), *take.columns, pa.array(np.repeat(radius, order.shape[1]))], ["list", "vec_id", "embedding", "radius"])
+                    # The k-th of the sample, or of some lists, is no nearer than the k-th of all.
+                    radius = np.partition(d, k - 1, 1)[:, k - 1]
+                if limited:
+                    held = batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
+                    radius = np.fmin(radius, (q**2).sum(1) + norm**2 - 2 * held)
+                take = batch.select([0, 1]).take(pa.array(np.repeat(np.arange(len(q)), order.shape[1])))
+                yield pa.RecordBatch.from_arrays([pa.array(order.ravel(), pa.int64()), *take.columns, pa.array(np.repeat(np.maximum(radius, 0) * (1 + 1e-9) + 1e-12, order.shape[1]))], ["list", "vec_id", "embedding", "radius"])
 
         return run
 
@@ -168,9 +174,9 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, lists: int | No
     listed = written(rows.mapInArrow(assign, f"list long, vec_id long, embedding {kind}"), "lists")
     sizes = listed.groupBy("list").agg(F.count("*").alias("n"))
 
-    def search(queries: DataFrame, count: int, limited: bool) -> DataFrame:
+    def search(queries: DataFrame, first: int, last: int, limited: bool = True) -> DataFrame:
         """Blocks of a list's vectors meet blocks of the queries that probe it; both are of bounded size."""
-        asks = queries.mapInArrow(probe(count, limited), f"list long, vec_id long, embedding {kind}, radius double")
+        asks = queries.select("vec_id", "embedding", "held").mapInArrow(probe(first, last, limited), f"list long, vec_id long, embedding {kind}, radius double")
         blocks = sizes.join(asks.groupBy("list").agg(F.count("*").alias("asks")), "list").select("list", F.ceil(F.col("n") / BLOCK).alias("is"), F.ceil(F.col("asks") / BLOCK).alias("js"))
         small = F.broadcast(blocks)  # a row per list, of which there are 256 at most
         of = lambda salt, most: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(most))
@@ -179,11 +185,19 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, lists: int | No
         met = held.union(asks.join(small, "list").select("list", all_("is").alias("i"), of(2, "js").alias("j"), F.lit(True), "vec_id", "embedding", "radius"))
         return met.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(compare, FOUND).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
-    queries = rows.filter(F.col("vec_id") % every == 0)
-    found = written(search(queries, probes, True), "found")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def top(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    queries = rows.filter(F.col("vec_id") % every == 0).withColumn("held", F.lit(None).cast("double"))
+    near = max(1, probes // 8)
+    found = written(top(search(queries, 0, near)).drop("rank"), "found")
+    if near < probes:
+        held = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"), F.min("score").alias("held")).filter(F.col("n") == k).drop("n")
+        found = written(top(found.union(search(queries.drop("held").join(held.hint("merge"), "vec_id", "left"), near, probes))).drop("rank"), "found")
     enough = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min(k, ids - 1))
     short = written(queries.join(enough.hint("merge"), F.col("vec_id") == F.col("query_id"), "left_anti"), "short")
     if not short.isEmpty():
-        found = found.union(search(short, len(centres), False)).distinct()
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = found.union(search(short, 0, len(centres), False)).distinct()
+    return top(found).select("query_id", "rank", "vec_id", "score")
