@@ -1,0 +1 @@
+"""Queries over the star-schema tables, each a plan of operators."""
