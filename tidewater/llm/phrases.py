@@ -32,13 +32,14 @@ BLOCK = 4 << 20
 SHORT = 5
 LETTERS = 64
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: after all others
-_ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
+_FAST, _SMALL = (pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=k)) for k in (1, 6))
 PACKED = "kind int, block long, bucket long, payload binary"
 
 
-def pack(batch: pa.RecordBatch) -> bytes:
+def pack(batch: pa.RecordBatch, small: bool = False) -> bytes:
+    """Rows in Arrow's stream format, packed fast or small (for texts, which travel several times)."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=_ZSTD) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=_SMALL if small else _FAST) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -193,7 +194,7 @@ def repeated_windows_removed(documents: DataFrame, size: int = 13) -> DataFrame:
                 key, low, high = block.first_last(block.marks() | np.uint64(1), np.flatnonzero(block.inside))
                 key = key ^ (low == high).astype(np.uint64)
                 order, at = dealt(key, buckets)
-                yield rows(0, [base + n], [0], [pack(part)])
+                yield rows(0, [base + n], [0], [pack(part, small=True)])
                 yield rows(1, [base + n] * buckets, np.arange(buckets), [key[order[i:j]].tobytes() for i, j in zip(at, at[1:])])
                 n += 1
 
