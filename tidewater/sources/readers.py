@@ -23,7 +23,7 @@ def releases(spark: SparkSession, path: str) -> DataFrame:
 
 def bot_names(spark: SparkSession, path: str, lower: bool = True) -> DataFrame:
     """identity: the comma-separated `bots` of the [organization] section of an ini file."""
-    text = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", r"\r", "").alias("v"))
+    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\r", "").alias("v"))
     part = F.regexp_extract("v", r"(?s)(?:^|\n)\[organization\][^\n]*\n(.*?)(?=\n\[|\z)", 1)
     names = F.split(F.regexp_extract(part, r"(?s)(?:^|\n)bots\s*[=:]\s*(.*?)(?=\n\S|\z)", 1), ",")
     out = text.select(F.explode(names).alias("identity")).select(F.regexp_replace("identity", r"(?U)^\s+|\s+$", "").alias("identity"))
@@ -55,7 +55,7 @@ def _identities(rows: DataFrame) -> DataFrame:
 
 def review_labels(spark: SparkSession, path: str) -> DataFrame:
     """category, sentiment, label, role: request (Code-Review minus), confirmation (Code-Review plus) or strip (other categories)."""
-    text = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "MAP<STRING, MAP<STRING, ARRAY<STRING>>>").alias("v"))
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", "MAP<STRING, MAP<STRING, ARRAY<STRING>>>").alias("v"))
     rows = text.select(F.explode("v").alias("category", "v")).select("category", F.explode("v").alias("sentiment", "v")).select("category", "sentiment", F.explode("v").alias("label"))
     code = F.col("category") == "Code-Review"
     return rows.withColumn("role", F.when(code & (F.col("sentiment") == "minus"), "request").when(code & (F.col("sentiment") == "plus"), "confirmation").when(~code, "strip"))
@@ -63,7 +63,7 @@ def review_labels(spark: SparkSession, path: str) -> DataFrame:
 
 def keywords(spark: SparkSession, path: str, names: dict[str, str]) -> DataFrame:
     """kind, phrase from a JSON object of lists; names maps its keys to kinds."""
-    text = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "MAP<STRING, ARRAY<STRING>>").alias("v"))
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", "MAP<STRING, ARRAY<STRING>>").alias("v"))
     kinds = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
     rows = text.select(F.explode("v").alias("key", "phrases")).select(F.try_element_at(kinds, F.col("key")).alias("kind"), F.explode("phrases").alias("phrase"))
     return rows.filter("kind is not null").distinct()
