@@ -61,8 +61,12 @@ def open_count(changes: DataFrame) -> DataFrame:
     return days.join(delta, "t", "left").select("t", F.sum(F.coalesce("d", F.lit(0).cast("long"))).over(Window.orderBy("t")).alias("n_open"))
 
 
-def lines_in_period(changes: DataFrame, days: int = 14) -> DataFrame:
-    """t, reviewed_lines at each midnight with updates: lines of changes updated in [t - days, t]; updates are day-grained."""
+def lines_in_period(changes: DataFrame, days: int = 14, every_day: bool = False) -> DataFrame:
+    """t, reviewed_lines: lines of changes updated in [t - days, t], for day-grained updates; at midnights with updates, or at every one from the first on while updates count."""
     per_day = changes.filter("updated is not null").groupBy(time.first_midnight(F.col("updated")).alias("t")).agg(F.sum("lines").alias("lines"))
+    if every_day:
+        span = per_day.agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a is not null")
+        grid = span.select(F.explode(F.sequence("a", F.col("b") + F.make_dt_interval(days=F.lit(days)), F.expr("interval 1 day"))).alias("t"))
+        per_day = grid.join(per_day, "t", "left").fillna({"lines": 0})
     order = Window.orderBy(F.unix_date(F.col("t").cast("date"))).rangeBetween(-days, 0)
     return per_day.select("t", F.sum("lines").over(order).alias("reviewed_lines"))

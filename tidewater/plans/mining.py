@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from tidewater.functions import text
-from tidewater.operators import changes, dataset, drift, history, keywords, metrics, model
+from tidewater.operators import changes, dataset, drift, features, history, keywords, metrics, model, releases
 from tidewater.plans import standins as S
 from tidewater.plans.activity import r6, reviewed_days
 from tidewater.plans.registry import query
@@ -265,6 +265,33 @@ def drift_features(spark, sf_dir):
     return _features(spark, sf_dir).select("change_number", "t", "past_reports", "recent_reports", *r6("merge_rate", "recent_merge_rate"), "n_open")
 
 
+VECTORS = S.using("changes", "releases", "lines") + f""", grid as (select unnest(generate_series(timestamp '{S.GRID[0]}', timestamp '{S.GRID[1]}', interval 28 day)) as t),
+a as (select c.change_number, owner_id, created, t from grid join changes c on created <= t and created >= t - interval 365 day and (decision_time is null or t < decision_time)),
+m as (select *, cast(split_part(version, '.', 1) as int) as m from releases where regexp_matches(version, '^[0-9]+\\.0\\.0$')), i as (select release_date from (select *, coalesce(lag(m) over (order by release_date, m), -1) as base from m) where m > base),
+l as (select change_number, l_shipdate, number, round(l_quantity)::BIGINT as la, round(l_discount * 100)::BIGINT as ld from lines)
+select a.change_number, a.t, round((epoch_us(a.t) - epoch_us(created)) / 6e7, 6) as elapsed_time,
+coalesce((select arg_max(la, (l_shipdate, number)) from l where l.change_number = a.change_number and l_shipdate <= a.t), 0)::DOUBLE as lines_added,
+coalesce((select arg_max(ld, (l_shipdate, number)) from l where l.change_number = a.change_number and l_shipdate <= a.t), 0)::DOUBLE as lines_deleted,
+(select count(*) from l where l.change_number = a.change_number and l_shipdate <= a.t)::DOUBLE as revision_count,
+round(coalesce((select min((epoch_us(release_date) - epoch_us(a.t)) / 8.64e10) from i where release_date > a.t), -1), 6) as days_to_major_release,
+((select count(*) from changes where created <= a.t) - (select count(*) from changes where decision_time <= a.t))::DOUBLE as open_ticket_count,
+(select coalesce(sum(n), 0) from (select c.updated, sum(round(l_quantity)::BIGINT) as n from changes c join lineitem on l_orderkey = c.change_number group by c.change_number, c.updated) x where updated <= a.t and updated >= a.t - interval 14 day)::DOUBLE as reviewed_lines_in_period,
+(o_orderpriority = '1-URGENT')::INT::DOUBLE as bug_fix_confidence from a join orders on o_orderkey = a.change_number"""
+
+
+@query(VECTORS)
+def feature_vectors(spark, sf_dir):
+    """All fifteen features on a grid of four weeks; urgent orders speak of a bug."""
+    rows = S.lines(spark, sf_dir)
+    sets = rows.select("change_number", F.col("l_shipdate").alias("created"), "number", F.round("l_quantity").cast("long").alias("lines_added"), F.round(F.col("l_discount") * 100).cast("long").alias("lines_deleted"), F.lit(1).alias("files_changed"))
+    total = rows.groupBy("change_number").agg(F.sum(F.round("l_quantity").cast("long")).alias("lines"))
+    c = S.changes(spark, sf_dir).join(total, "change_number").withColumn("merged", F.when(F.col("status") == "MERGED", F.col("updated")))
+    texts = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("change_number"), F.when(F.col("o_orderpriority") == "1-URGENT", "a defect here").otherwise("").alias("subject"), F.lit(None).cast("string").alias("message"))
+    active = changes.active_days(c.select("change_number", "owner_id", "created", "decision_time"), S.ntz(S.GRID[0]), S.ntz(S.GRID[1]), S.LOOKBACK, step_days=28)
+    out = features.build(active.drop("decision_time"), texts, sets, c, releases.of_component(S.releases(spark), S.PROJECT), S.PROJECT)
+    return out.select("change_number", "t", *r6("elapsed_time"), "lines_added", "lines_deleted", "revision_count", *r6("days_to_major_release"), "open_ticket_count", "reviewed_lines_in_period", "bug_fix_confidence")
+
+
 @query(None)
 def train_predict(spark, sf_dir):
     """One cell from records to predictions: split, weights, fit, predict (rows depend on MLlib's trees)."""
