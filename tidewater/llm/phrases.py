@@ -195,7 +195,8 @@ def repeated_windows_removed(documents: DataFrame, size: int = 13) -> DataFrame:
                 key = key ^ (low == high).astype(np.uint64)
                 order, at = dealt(key, buckets)
                 yield rows(0, [base + n], [0], [pack(part, small=True)])
-                yield rows(1, [base + n] * buckets, np.arange(buckets), [key[order[i:j]].tobytes() for i, j in zip(at, at[1:])])
+                some = np.flatnonzero(np.diff(at))
+                yield rows(1, [base + n] * len(some), some, [key[order[at[k] : at[k + 1]]].tobytes() for k in some])
                 n += 1
 
     def recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +226,8 @@ def repeated_windows_removed(documents: DataFrame, size: int = 13) -> DataFrame:
             order = np.argsort(low, kind="stable")
             key, low = key[order], low[order]
             order, at = dealt(key, buckets)
-            yield rows(2, [name] * buckets, np.arange(buckets), [question(key[o], low[o]) for o in (order[i:j] for i, j in zip(at, at[1:]))])
+            some = np.flatnonzero(np.diff(at))
+            yield rows(2, [name] * len(some), some, [question(key[o], low[o]) for o in (order[at[k] : at[k + 1]] for k in some)])
 
     def first_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, at in whole_groups(batches, ["bucket"], 1):
