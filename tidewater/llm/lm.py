@@ -92,7 +92,8 @@ def scores(documents: DataFrame, vocabulary: int = 3000, classes: int = 56, rate
                 order, at = dealt(known, buckets)
                 about = pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(size)], ["doc_id", "held_out", "turn", "size"])
                 yield rows(0, [base + n], [0], [pack(about)], pack(arrays(token=number.astype(np.uint32))), known.tobytes())
-                yield rows(1, [base + n] * buckets, np.arange(buckets), [pack(arrays(key=known[o], count=count[o])) for o in (order[i:j] for i, j in zip(at, at[1:]))])
+                some = np.flatnonzero(np.diff(at))
+                yield rows(1, [base + n] * len(some), some, [pack(arrays(key=known[o], count=count[o])) for o in (order[at[k] : at[k + 1]] for k in some)])
                 n += 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +199,7 @@ def scores(documents: DataFrame, vocabulary: int = 3000, classes: int = 56, rate
                 about, number, own, to = tokens_of(*(c[i] for c in columns))
                 order, _ = dealt(own, buckets)
                 count_ = np.zeros(len(own), np.int64)
-                count_[order] = np.concatenate([unpack(columns[0][k]).column(0).to_numpy() for k in range(i + 1, j)])
+                count_[order] = np.concatenate([unpack(columns[0][k]).column(0).to_numpy() for k in range(i + 1, j)] or [np.zeros(0, np.int64)])
                 token = numbered(own, vocabulary_)
                 logs = np.log10((count_ + 1) / (n + v + 1))
                 rests = np.where(token == 1, np.log10((count_ + 1) / (other + kinds + 1)), 0.0)
