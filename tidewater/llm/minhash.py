@@ -15,6 +15,7 @@ outside the group's largest component then meet all chunks, so no link is lost a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -137,7 +138,13 @@ def _linked(rows: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 42, rows: int = 6) -> DataFrame:
+def banding(n: int, percent: int, missed: float = 3e-6) -> tuple[int, int]:
+    """Bands and rows for n documents: longer bands for more documents, so that chance candidates stay in proportion, and as many bands as a pair at the threshold needs."""
+    rows = max(6, math.ceil(math.log10(max(n, 1))))
+    return math.ceil(math.log(missed) / math.log(1 - (percent / 100) ** rows)), rows
+
+
+def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of documents: doc_id, n_shingles, component_id, kept.
 
     Links documents whose shingle sets have a Jaccard similarity of percent / 100 or more; component_id is the smallest
@@ -157,6 +164,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, b
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array([k.tobytes() for k in key], pa.binary()), lists], ["doc_id", "n_shingles", "key", "bands"])
 
     source = documents.select("doc_id", "text")
+    bands, rows = banding(documents.count(), percent)
     sketched = written(source.mapInArrow(sketch, "doc_id long, n_shingles long, key binary, bands array<long>"), "sketches")
     classes = sketched.filter("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
