@@ -8,6 +8,7 @@ and its exact cosine decides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import written
 from tidewater.llm.components import components
+from tidewater.llm.groups import whole_groups
 
 BLOCK = 1500
 PAIRS = 200_000
@@ -35,29 +37,10 @@ def usable(vector) -> F.Column:
     return F.coalesce(vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups of rows that follow each other and agree in the keys, and where the groups begin and end."""
-    held: list[pa.RecordBatch] = []
-
-    def edges(part: pa.Table) -> np.ndarray:
-        new = np.zeros(part.num_rows + 1, bool)
-        new[[0, -1]] = True
-        for k in keys:
-            x = part[k].to_numpy()
-            new[1:-1] |= x[1:] != x[:-1]
-        return np.flatnonzero(new)
-
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= least:
-            part = pa.Table.from_batches(held)
-            at = edges(part)
-            if len(at) > 2:
-                yield part.slice(0, at[-2]), at[:-1]
-                held = part.slice(at[-2]).to_batches()
-    if sum(b.num_rows for b in held):
-        part = pa.Table.from_batches(held)
-        yield part, edges(part)
+def sizes_for(n: int, threshold: float, missed: float = 3e-6) -> tuple[int, int]:
+    """Tables and bits for n vectors: more bits for more vectors, so that buckets of chance stay small, and as many tables as a pair at the threshold needs."""
+    bits = max(12, math.ceil(math.log2(max(n, 1) / 16)))
+    return math.ceil(math.log(missed) / math.log(1 - (1 - math.acos(threshold) / math.pi) ** bits)), bits
 
 
 def near_pairs(classes: DataFrame, threshold: float, tables: int, bits: int) -> DataFrame:
@@ -74,7 +57,7 @@ def near_pairs(classes: DataFrame, threshold: float, tables: int, bits: int) ->
                 rows = np.flatnonzero(size == n)
                 vectors = flat[(start[rows][:, None] + np.arange(n)).ravel()].reshape(len(rows), n)
                 code = sign_codes(vectors, tables, bits)
-                packed = pa.array([c.tobytes() for c in code.astype("<u2")], pa.binary())
+                packed = pa.array([c.tobytes() for c in code.astype("<u4")], pa.binary())
                 key = ((n * tables + np.arange(tables)) << bits) + code
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays([pa.array(key[:, t]), batch.column(0).take(pa.array(rows)), packed], ["bucket", "node", "codes"])
@@ -82,7 +65,7 @@ def near_pairs(classes: DataFrame, threshold: float, tables: int, bits: int) ->
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, at in whole_groups(batches, ["bucket", "i", "j"], 20_000):
             node = part["node"].to_numpy()
-            code = np.frombuffer(b"".join(part["codes"].to_pylist()), "<u2").reshape(len(node), tables)
+            code = np.frombuffer(b"".join(part["codes"].to_pylist()), "<u4").reshape(len(node), tables)
             table = (part["bucket"].to_numpy() >> bits) % tables
             size = np.diff(at)
             end = np.repeat(at[1:], size)
@@ -115,17 +98,17 @@ def near_pairs(classes: DataFrame, threshold: float, tables: int, bits: int) ->
     return met.join(one, "a").join(two, "b").filter(dot("va", "vb") / (F.col("na") * F.col("nb")) >= threshold).select("a", "b").distinct()
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, tables: int = 40, bits: int = 12) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, threshold: float = 0.95) -> DataFrame:
     """One row per row of embeddings: vec_id, n_links, component_id, kept.
 
     n_links counts the other rows linked directly, equal vectors among them; component_id is the smallest vec_id
     reachable by links, itself included. Null and zero vectors, vectors with null or non-finite components and rows
     without a vec_id link with nothing; vectors of different length are never linked. Rows that share a vec_id share
-    their component. A pair at cosine 0.95 meets in no table with a chance of about 2e-6.
+    their component. A pair at cosine 0.95 meets in no table with a chance of about 3e-6.
     """
     rows = embeddings.select("vec_id", "embedding").withColumn("ok", usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     classes = written(rows.filter("ok").groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")), "classes")
-    pairs = written(near_pairs(classes.select("node", "embedding"), threshold, tables, bits), "pairs")
+    pairs = written(near_pairs(classes.select("node", "embedding"), threshold, *sizes_for(classes.count(), threshold)), "pairs")
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # A vec_id whose rows hold different vectors names several classes: their sizes add up.
     weight = classes.groupBy("node").agg(F.sum("n").alias("n"))
