@@ -36,7 +36,12 @@ def new(counts: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 def run(w: dict, tokens: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple:
@@ -50,9 +55,13 @@ def run(w: dict, tokens: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple:
         h = h * keep[t][:, None]
         u = h @ wh
         g = _sigmoid(a[t, :, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-        c = np.tanh(a[t, :, 2 * HIDDEN :] + g[:, :HIDDEN] * u[:, 2 * HIDDEN :])
+        c = g[:, :HIDDEN] * u[:, 2 * HIDDEN :]
+        c += a[t, :, 2 * HIDDEN :]
+        np.tanh(c, out=c)
         before[t], gates[t], un[t], n[t] = h, g, u[:, 2 * HIDDEN :], c
-        h = c + g[:, HIDDEN:] * (h - c)
+        h -= c
+        h *= g[:, HIDDEN:]
+        h += c
         after[t] = h
     return x, before, gates, un, n, after
 
@@ -66,31 +75,37 @@ def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def log_likelihood(w: dict, at: np.ndarray, h: np.ndarray, target: np.ndarray, grad: dict | None = None) -> np.ndarray:
     """Natural log probability of each target given its state; with grad, adds the gradients and puts the states' in grad["h"]."""
-    kind, each = np.searchsorted(at, target, side="right") - 1, np.arange(len(h))
+    # Rows go by class, so that each class works on a slice.
+    kind = np.repeat(np.arange(len(at) - 1), np.diff(at))[target]
+    order = np.argsort(kind.astype(np.int16), kind="stable")
+    h, target, kind, each = h[order], target[order], kind[order], np.arange(len(h))
     p, total = _exp(h @ w["wc"] + w["bc"])
-    out = np.log(p[each, kind] / total)
+    share = p[each, kind] / total
     if grad is not None:
-        p /= total[:, None]
+        p *= (1 / total)[:, None]
         p[each, kind] -= 1
         grad["wc"] += h.T @ p
         grad["bc"] += p.sum(0)
-        grad["h"] = p @ w["wc"].T
-    order = np.argsort(kind, kind="stable")
-    edge = np.searchsorted(kind[order], np.arange(len(at)))
+        back = p @ w["wc"].T
+    edge = np.searchsorted(kind, np.arange(len(at)))
     for c in np.flatnonzero(np.diff(edge)).tolist():
-        i, j = int(at[c]), int(at[c + 1])
+        i, j, first, last = int(at[c]), int(at[c + 1]), int(edge[c]), int(edge[c + 1])
         if j - i == 1:
             continue
-        rows = order[edge[c] : edge[c + 1]]
-        own, want = h[rows], (each[: len(rows)], target[rows] - i)
+        own, want = h[first:last], (each[: last - first], target[first:last] - i)
         p, total = _exp(own @ w["ww"][:, i:j] + w["bw"][i:j])
-        out[rows] += np.log(p[want] / total)
+        share[first:last] *= p[want] / total
         if grad is not None:
-            p /= total[:, None]
+            p *= (1 / total)[:, None]
             p[want] -= 1
             grad["ww"][:, i:j] += own.T @ p
             grad["bw"][i:j] += p.sum(0)
-            grad["h"][rows] += p @ w["ww"][:, i:j].T
+            back[first:last] += p @ w["ww"][:, i:j].T
+    out = np.empty(len(order))
+    out[order] = np.log(share)
+    if grad is not None:
+        grad["h"] = np.empty_like(back)
+        grad["h"][order] = back
     return out
 
 
@@ -141,10 +156,12 @@ def train(w: dict, at: np.ndarray, streams, rate: float = 0.03) -> tuple[dict, i
                 i, o = inputs[k : k + STEPS], targets[k : k + STEPS]
                 grad, h, _ = gradients(w, at, i, o, (i != 0).astype(np.float32), h)
                 for name, g in grad.items():
-                    g /= i.size / 16
+                    g *= 16 / i.size
                     np.clip(g, -1, 1, out=g)
                     seen[name] += g * g
-                    w[name] -= rate * g / np.sqrt(seen[name])
+                    g /= np.sqrt(seen[name])
+                    g *= rate
+                    w[name] -= g
                 done += i.size
     return w, done
 
