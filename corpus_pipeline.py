@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import minhash, packing, phrases, toxicity
-from tidewater.llm.common import table, written
+from tidewater.llm.common import reachable, table, written
 
 #: SQL can't express a trained classifier or the tokenizer; tests/llm/test_pipeline.py checks run() against plain Python.
 ORACLE_SQL = None
@@ -49,6 +49,7 @@ STAGES = [("toxicity", reject_toxic), ("near_duplicates", one_of_each_group), ("
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reachable(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import ann, bpe, cosine, html_text, lm, minhash, packing, phrases, toxicity, warc
-from tidewater.llm.common import table
+from tidewater.llm.common import reachable, table
 
 QUERIES = {}
 ORACLES = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
-    return f
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        reachable(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 @query
