@@ -19,8 +19,13 @@ ORACLE_SQL = None
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5, unchanged; null and empty texts are scored like any other."""
+    """Documents whose toxicity score is below 0.5, unchanged; null and empty texts are scored like any other.
+
+    Without a toxic and a clean training row there is nothing to tell documents apart by, and all of them stay.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    if not toxicity.learnt(model):
+        return docs
     return toxicity.score(docs, model).filter("toxicity_score < 0.5").drop("toxicity_score")
 
 

@@ -71,3 +71,15 @@ def test_stages_of_empty_documents(spark, tmp_path, k):
     out = corpus_pipeline.STAGES[k][1](spark, docs, str(tmp_path))
     assert out.collect() == []
     assert k == 3 or out.columns == docs.columns
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1, None), (2, 0, None)], [(0, 1, 1), (5, 1, 0)], [(1, 1, 1), (2, 1, 1)], [(1, 1, 0), (2, 1, 0)], [(1, 1, 1), (9999, 1, 0)]])
+def test_no_document_is_rejected_without_both_classes(spark, tmp_path, labels):
+    if labels and labels[0][0] == 0:  # all labelled rows are held out
+        labels = [(d, 1, d % 2) for d in range(200) if zlib.crc32(str(d).encode()) % 5 == 0]
+    elif labels:
+        assert all(zlib.crc32(str(d).encode()) % 5 for d, _, _ in labels)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(1, "an idiot", "en", "s", 8), (2, "a fine day", "en", "s", 10), (3, None, "en", "s", 0), (4, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(map(tuple, corpus_pipeline.reject_toxic(spark, docs, str(tmp_path)).collect())) == rows

@@ -122,7 +122,7 @@ def train(documents: DataFrame, labels: DataFrame, max_per_class: int = 3000) ->
     """Weights and bias from labelled rows whose crc32(doc_id) mod 5 is not 0.
 
     A doc_id with several labels counts as toxic if one of them says so; null labels are none. Without a toxic and a
-    clean row the weights are zero and the bias is that of the label counts.
+    clean row among the documents the weights are zero (see learnt()) and the bias is that of the label counts.
     """
     known = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null").filter(crc32_text("doc_id") % 5 != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -143,6 +143,8 @@ def train(documents: DataFrame, labels: DataFrame, max_per_class: int = 3000) ->
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), cut(bucket, np.int32), cut(value, np.float32)], ["doc_id", "toxic", "bucket", "value"])
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["toxic"].nunique() < 2:  # the labels of the other class name no document
+            return pd.DataFrame({"weights": [], "bias": []})
         pdf = pdf.sort_values(["doc_id", "bucket"], ignore_index=True)
         parts = [(np.array([0, len(b) // 4]), np.frombuffer(b, np.int32), np.frombuffer(v, np.float32)) for b, v in zip(pdf["bucket"], pdf["value"])]
         weights, bias = fit(parts, pdf["toxic"].to_numpy())
@@ -155,6 +157,11 @@ def train(documents: DataFrame, labels: DataFrame, max_per_class: int = 3000) ->
     return np.frombuffer(model[0]["weights"], np.float32), model[0]["bias"]
 
 
+def learnt(model: tuple[np.ndarray, float]) -> bool:
+    """Whether the model tells texts apart: not if a class had no training row, as all scores are equal then."""
+    return bool(model[0].any())
+
+
 def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """documents with the column score (0 to 1); a null text is scored as an empty one."""
     handle = documents.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats: a fixed size
