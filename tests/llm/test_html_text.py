@@ -45,3 +45,38 @@ def test_extract_and_learn(spark):
     main = "A title\nThis is the story, and it is long enough.\nShort & sweet."
     assert out == sorted([(1, "u", main, len(main)), (1, "u", main, len(main)), (2, None, "", 0), (None, "v", "a", 1)], key=str)
     assert H.extract(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+STORY = "<article><h1>A title</h1><p>This is the story, and it is long enough.</p></article>"
+TOLD = "A title\nThis is the story, and it is long enough."
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (f"<div class='container right-sidebar'>{STORY}<div class=sidebar><p>Other things.</p></div></div>", TOLD), (f"<div class=layout-sidebar><div>{STORY}</div></div>", TOLD),
+        (f"<form id=aspnetForm><nav><a href=/>Home</a></nav>{STORY}<footer>all</footer></form>", TOLD), ("<form id=form1><div><p>This is the story, and it is long enough.</p></div></form>", "This is the story, and it is long enough."),
+        ("<div class=content-with-sidebar><p>This is the story, and it is long enough.</p></div>", "This is the story, and it is long enough."),
+        (f"{STORY}<div class=related><article><p>Another story, to be read elsewhere.</p></article></div>", TOLD),
+        (f"{STORY}<div id=comments><article class=comment-body><p>First! What a fine text this is.</p></article></div>", TOLD), (f"<aside>{STORY}</aside>", ""),
+        (f"<div class='layout-sidebar'>{STORY}<div id=comments><article class=comment-body><p>First! What a fine text this is.</p></article></div></div>", TOLD),
+    ],
+)
+def test_content_inside_elements_with_hints(text, want):
+    assert H.main_text(f"<html><body>{text}</body></html>", MODEL) == want
+
+
+def test_counts_decide_inside_furniture():
+    story = "This is the story, and it is long enough."
+    page = f"<div class=teaser>{story}</div>" + "<p>This is none of it.</p>" * 4
+    assert story not in H.main_text(page, MODEL)
+    labelled = H.Counter()
+    for _ in range(20):
+        labelled += H.count(H.Page(page), [story])
+    assert H.main_text(page, H.model_of(labelled)) == story
+
+
+def test_training_pages_are_pages_that_label_themselves(spark):
+    rows = [(k, "u", ARTICLE if k in (70, 71) else "<p>a</p>" if k % 2 else ARTICLE + ARTICLE, 0, "x") for k in range(100)] + [(None, "u", ARTICLE, 0, "x")]
+    pages = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(r.page_id for r in H.self_labelling(pages).collect()) == [70, 71]

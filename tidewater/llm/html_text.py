@@ -51,7 +51,7 @@ TOKEN = re.compile(
 )
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORDS = re.compile(r"[a-z]+")
-OTHER = re.compile(r"(?:has|with|without|no|non|is)[-_]")
+OTHER = re.compile(r"(?:.*[-_])?(?:has|with|without|no|non|is)[-_]")
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 SENTENCE = re.compile(r"[.!?…。！？]")
 
@@ -63,6 +63,7 @@ class Page:
         self.parent, self.name, self.hint, self.inside = [-1], ["#root"], [0], [0]
         self.pieces: list[tuple[int, int, str]] = []
         self.size, self.linked, self.own, self.marks = [0], [0], [0], [0]
+        wraps, mains = [False], [False]
         stack, block, links, at = [("#root", 0)], 0, 0, 0
         for m in TOKEN.finditer(text):
             if m.start() > at:
@@ -93,14 +94,16 @@ class Page:
             if name in VOID:
                 continue
             attributes = m["attributes"]
-            hint = name in FURNITURE or name not in MAINS and name not in ("html", "body") and self.hinted(attributes)
+            named = name not in ("html", "body") and self.hinted(attributes)
+            hint = name in FURNITURE or name not in MAINS and named
             node = stack[-1][1]
             if name in BLOCKS or hint:
                 node = len(self.parent)
                 self.parent.append(stack[-1][1])
                 self.name.append(name)
                 self.hint.append(int(hint))
-                self.inside.append(int(hint or self.inside[stack[-1][1]]))
+                wraps.append(hint and (name in ("form", "fieldset") or name not in FURNITURE) and not HIDDEN.search(attributes))
+                mains.append(name in MAINS and not named)
                 for x in (self.size, self.linked, self.own, self.marks):
                     x.append(0)
             if not attributes.endswith("/"):
@@ -111,13 +114,29 @@ class Page:
         for k in range(len(self.parent) - 1, 0, -1):
             self.size[self.parent[k]] += self.size[k]
             self.linked[self.parent[k]] += self.linked[k]
+        self.unwrap(wraps, mains)
+
+    def unwrap(self, wraps: list[bool], mains: list[bool]) -> None:
+        """Takes the hint from elements around the whole content, and tells which nodes lie inside a hinted one.
+
+        A class name or a form is around the content if it holds every article and main element that isn't named
+        furniture itself (every main element, where there is one); on a page without them, a form that holds most text.
+        """
+        wanted = [m and n == "main" for m, n in zip(mains, self.name)]
+        held = [int(m) for m in (wanted if any(wanted) else mains)]
+        for k in range(len(held) - 1, 0, -1):
+            held[self.parent[k]] += held[k]
+        for k in range(1, len(held)):
+            if wraps[k] and (held[k] == held[0] if held[0] else self.name[k] == "form" and 2 * self.size[k] > self.size[0]):
+                self.hint[k] = 0
+            self.inside.append(int(self.hint[k] or self.inside[self.parent[k]]))
 
     @staticmethod
     def hinted(attributes: str) -> bool:
         if not attributes or "=" not in attributes and "hidden" not in attributes:
             return False
         named = " ".join(x for m in NAMES.findall(attributes) for x in m).lower().split()
-        # A name such as has-sidebar tells of something else than the element itself.
+        # A name such as has-sidebar or content-with-sidebar tells of something else than the element itself.
         return any(not HINTS.isdisjoint(WORDS.findall(x)) for x in named if not OTHER.match(x)) or bool(HIDDEN.search(attributes))
 
     def put(self, block: int, node: int, text: str, links: int) -> None:
@@ -157,9 +176,9 @@ class Page:
 
 
 def marked_main(page: Page) -> list[str] | None:
-    """The lines inside the one article or main element of a page, but those in furniture; None if there isn't exactly one."""
+    """The lines inside the one article or main element of a page, but those in furniture; None if there isn't exactly one, or if it lies in furniture."""
     tops = [k for k, n in enumerate(page.name) if n in MAINS and page.name[page.parent[k]] not in MAINS]
-    if len(tops) != 1:
+    if len(tops) != 1 or page.inside[tops[0]]:
         return None
     inside = [False] * len(page.parent)
     for k in range(len(page.parent)):
@@ -194,8 +213,8 @@ KNOWN = {
     "edge top 0": {"0": 0.75, "1": 0.25}, "edge top 1": {"0": 0.5, "1": 0.5}, "edge inner 0": {"0": 0.9, "1": 0.1}, "edge inner 1": {"0": 0.1, "1": 0.9},
     "edge furniture 0": {"0": 1 - 1e-7, "1": 1e-7}, "edge furniture 1": {"0": 1 - 1e-7, "1": 1e-7},
 }
-#: Weight of what is known beside the pages' own shares; menus, adverts and comments never become main text by counting.
-WEIGHT = {"look": 0.6, "edge top": 0.1, "edge inner": 0.005, "edge furniture": 1.0}
+#: Weight of what is known beside the pages' own shares; menus, adverts and comments become main text only where labelled pages show it.
+WEIGHT = {"look": 0.6, "edge top": 0.1, "edge inner": 0.005, "edge furniture": 0.005}
 
 
 def model_of(counts: dict[str, float]) -> dict[str, float]:
@@ -259,6 +278,18 @@ def own_labels(pages: DataFrame) -> DataFrame:
     return pages.select("html").mapInArrow(run, "html string, main string")
 
 
+def self_labelling(pages: DataFrame) -> DataFrame:
+    """page_id of the pages that mark their main text themselves; null ids are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array([marked_main(Page(x)) is not None for x in batch.column(1).to_pylist()], pa.bool_()))], ["page_id"])
+
+    # No page without the tag of one is parsed twice.
+    tagged = pages.select("page_id", "html").filter(F.col("page_id").isNotNull() & F.col("html").rlike(f"(?i)<({'|'.join(sorted(MAINS))})"))
+    return tagged.mapInArrow(run, "page_id long").distinct()
+
+
 def train(labelled: DataFrame) -> dict[str, float]:
     """labelled: html, main (the lines of the main text)."""
 
@@ -277,11 +308,11 @@ def extract(pages: DataFrame, labelled: DataFrame | None = None, max_training_pa
     """One row per row of pages: page_id, url, text, n_chars.
 
     Null and empty html give an empty text; repeated rows are extracted each; other columns are ignored. The model is
-    trained on `labelled` or, without it, on at most max_training_pages pages (taken by a hash of page_id) that label
-    themselves.
+    trained on `labelled` or, without it, on at most max_training_pages of the pages that label themselves (taken by a
+    hash of page_id).
     """
     if labelled is None:
-        ids = pages.select("page_id").filter("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(max_training_pages)
+        ids = self_labelling(pages).orderBy(F.xxhash64("page_id"), "page_id").limit(max_training_pages)
         labelled = own_labels(pages.select("page_id", "html").join(F.broadcast(ids), "page_id"))  # a bounded number of ids
     handle = pages.sparkSession.sparkContext.broadcast(train(labelled))  # about forty numbers
 
