@@ -72,6 +72,27 @@ def keyword_antichain(spark, sf_dir):
     return keywords.without_longer(keywords.precise(counts, "confirmation").select("phrase"))
 
 
+@query(None)
+def mined_phrase_counts(spark, sf_dir):
+    """phrase_counts of all phrases of 1 to 10 words."""
+    return keywords.phrase_counts(_comments(spark, sf_dir), ["request", "confirmation"])
+
+
+@query(None)
+def mined_keyword_precision(spark, sf_dir):
+    """keyword_precision of all phrases of 1 to 10 words."""
+    counts = mined_phrase_counts(spark, sf_dir)
+    found = [keywords.precise(counts, k, 10, ratio).select(F.lit(k).alias("kind"), "phrase", "total") for k, ratio in (("request", 0.3), ("confirmation", 0.9))]
+    return found[0].unionByName(found[1])
+
+
+@query(None)
+def mined_keywords(spark, sf_dir):
+    """The whole miner, from raw comments to the keywords of both kinds, over phrases of 1 to 10 words."""
+    rows = S.table(spark, sf_dir, "documents").join(S.table(spark, sf_dir, "labels"), "doc_id")
+    return keywords.mine(rows.select(F.col("text").alias("comment"), (F.col("quality") == 0).cast("int").alias("request"), (F.col("toxic") == 1).cast("int").alias("confirmation")), LABELS)
+
+
 @query(COMMENTS + "k as (select *, regexp_matches(cleaned, 'idiot|moron|scum') as r, regexp_matches(cleaned, 'the') as c from w) select doc_id, case when r then 'request' when c then 'confirmation' else 'other' end as class, round(least((contains(cleaned, 'idiot')::INT + contains(cleaned, 'moron')::INT + contains(cleaned, 'scum')::INT) / 5.0, 1.0), 6)::DOUBLE as urgency from k")
 def comment_classes(spark, sf_dir):
     """Three-way classes by keywords, and urgency."""
