@@ -37,6 +37,19 @@ def test_base_against_brute_force_and_model_beats_it(spark, monkeypatch):
     assert len({round(r.score, 3) for r in out if r.doc_id == rows[-1][0]}) == 1
 
 
+def test_the_model_knows_all_words_seen_often_enough(spark, monkeypatch):
+    sizes, new = [], gru.new
+    monkeypatch.setattr(gru, "new", lambda counts, at: sizes.append((len(counts), len(at) - 1)) or new(counts, at))
+    monkeypatch.setattr(lm, "PIECE", 1000)
+    for n in (500, 4000):
+        rows = [(k, " ".join(f"w{i}" for i in range(n)) + f" once{k}", "no", 1) for k in (1, 3, 4) if zlib.crc32(str(k).encode()) % 7 != 2]
+        assert len(rows) > 1
+        out = lm.scores(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert all(r.n_tokens == n + 2 and r.score < 0 for r in out)
+    assert [s for s, _ in sizes] == [502, 4002] and sizes[0][1] < sizes[1][1]
+    assert lm.least_count(100) == 2 and 2 < lm.least_count(10**6) < lm.least_count(10**8)
+
+
 def test_empty_table(spark):
     assert lm.scores(spark.createDataFrame([], SCHEMA)).collect() == []
 

@@ -2,14 +2,15 @@
 
 1. Documents are cut into blocks; a block keeps its tokens as numbers in its own list of distinct words (64-bit hashes)
    and sends that list with its training counts to buckets. Buckets answer every block with the counts of all training
-   documents, and give their most frequent words, of which the model knows the first `vocabulary`; the other words are
-   one token of the model, followed by the word's add-one share among them.
+   documents, and give the words that the model knows: those seen at least least_count() times, so that their number
+   grows with the corpus, about as the root of its length; the other words are one token of the model, followed by the
+   word's add-one share among them.
 2. The model starts as the unigram model. In each of a few rounds, each task trains it on its blocks' documents of the
    round and the tasks' weights are averaged; every training document is used once.
 3. Each block meets the counts of its words and is scored, the model's state carried from the first to the last token
    of a document.
 
-What is broadcast is the model, whose size is a parameter. Words are told apart by their hashes.
+What is broadcast is the model, whose size follows from the number of words it knows. Words are told apart by their hashes.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ BLOCK = 4 << 20
 AT_ONCE = 2_500_000
 ROUNDS = (1, 3, 12)  # sixteenths of the training documents
 TRAINERS = 64
+PIECE = 1 << 18
 PACKED = "kind int, block long, bucket long, payload binary, tokens binary, known binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -68,12 +70,18 @@ def numbered(known: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[order][place] == known, order[place] + 2, 1).astype(np.int32)
 
 
-def scores(documents: DataFrame, vocabulary: int = 3000, classes: int = 56, rate: float = 0.03) -> DataFrame:
+def least_count(tokens: int) -> int:
+    """How often a word is seen at least, among so many training tokens, for the model to know it."""
+    return max(2, int(tokens**0.5 / 32))
+
+
+def scores(documents: DataFrame, vocabulary: int | None = None, classes: int | None = None, rate: float = 0.03) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
     Held out are documents whose crc32(doc_id) mod 7 is 2; null ids count as the empty text. Null and empty texts are
     one end token; repeated rows count, train and are scored each; other columns are ignored. Without training
-    documents every count is 0.
+    documents every count is 0. The model knows every word that is seen often enough (see least_count()), or the most
+    frequent `vocabulary` of them, in `classes` classes, or as many as the root of their number.
     """
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -92,6 +100,7 @@ def scores(documents: DataFrame, vocabulary: int = 3000, classes: int = 56, rate
                 order, at = dealt(known, buckets)
                 about = pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(size)], ["doc_id", "held_out", "turn", "size"])
                 yield rows(0, [base + n], [0], [pack(about)], pack(arrays(token=number.astype(np.uint32))), known.tobytes())
+                yield rows(4, [base + n], [int(count.sum())], [b""])
                 some = np.flatnonzero(np.diff(at))
                 yield rows(1, [base + n] * len(some), some, [pack(arrays(key=known[o], count=count[o])) for o in (order[at[k] : at[k + 1]] for k in some)])
                 n += 1
@@ -104,7 +113,7 @@ def scores(documents: DataFrame, vocabulary: int = 3000, classes: int = 56, rate
                 key, which = np.unique(np.concatenate([k for k, _ in own]), return_inverse=True)
                 total = np.bincount(which, np.concatenate([c for _, c in own]), len(key)).astype(np.int64)
                 top = np.lexsort((key, -total))[:vocabulary]
-                top = top[total[top] > 0]
+                top = top[total[top] >= least]
                 edge = np.concatenate([[0], np.cumsum([len(k) for k, _ in own])])
                 yield rows(2, part["block"].to_numpy()[first:last], part["bucket"].to_numpy()[first:last], [pack(arrays(count=total[which[i:j]])) for i, j in zip(edge, edge[1:])])
                 yield rows(3, [0], [part["bucket"][first].as_py()], [pack(arrays(key=key[top], count=total[top]))], pack(arrays(total=np.array([total.sum(), (total > 0).sum()]))))
@@ -115,6 +124,7 @@ def scores(documents: DataFrame, vocabulary: int = 3000, classes: int = 56, rate
         return spark.read.schema("block long, bucket long, payload binary, tokens binary, known binary, kind int").parquet(path)
 
     cut = saved(source.mapInArrow(split, PACKED), "lm-blocks")
+    least = least_count(cut.filter("kind = 4").agg(F.sum("bucket")).first()[0] or 0)
     asked = cut.filter("kind = 1").select("bucket", "block", "payload").repartition(parts, "bucket").sortWithinPartitions("bucket", "block")
     counted = saved(asked.mapInArrow(count, PACKED), "lm-counts")
 
@@ -122,18 +132,22 @@ def scores(documents: DataFrame, vocabulary: int = 3000, classes: int = 56, rate
         for batch in batches:
             for payload, total in zip(batch.column(0), batch.column(1)):
                 got, sums = unpack(payload), unpack(total).column(0).to_pylist()
-                yield pa.RecordBatch.from_arrays([got.column(0).cast(pa.uint64()).view(pa.int64()), got.column(1), *(pa.array([s] + [0] * (got.num_rows - 1) if got.num_rows else [], pa.int64()) for s in sums)], ["key", "n", "total", "kinds"])
+                # The sums have a row of their own, as a bucket may have no word that is frequent enough.
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), *(pa.array([x], pa.int64()) for x in sums)], ["key", "n", "total", "kinds"])
+                none = pa.array([0] * got.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([got.column(0).cast(pa.uint64()).view(pa.int64()), got.column(1), none, none], ["key", "n", "total", "kinds"])
 
-    # A bucket's most frequent words, and in its first row its number of tokens and of distinct training words.
+    # A bucket's most frequent words, and in a row with n = 0 its number of tokens and of distinct training words.
     top = counted.filter("kind = 3").select("payload", "tokens").mapInArrow(frequent, "key long, n long, total long, kinds long")
     sums = top.agg(F.sum("total"), F.sum("kinds")).first()
-    held = top.select("key", "n").orderBy(F.desc("n"), "key").limit(vocabulary).collect()  # as many rows as the model knows words
+    known_ = top.select("key", "n").filter("n > 0").orderBy(F.desc("n"), "key")
+    held = (known_ if vocabulary is None else known_.limit(vocabulary)).collect()  # as many rows as the model knows words
     ends = source.filter("not held_out").count()
     n, v = (sums[0] or 0) + ends, (sums[1] or 0) + (ends > 0)
     keys = np.array([r["key"] for r in held], np.int64).view(np.uint64)
     counts = np.array([ends, (sums[0] or 0) - sum(r["n"] for r in held), *(r["n"] for r in held)], np.float64)
     other, kinds = counts[1], (sums[1] or 0) - len(held)
-    at = gru.classes_of(counts, classes)
+    at = gru.classes_of(counts, classes or round(len(counts) ** 0.5))
     weights = gru.new(counts, at)
     shapes = order_of(weights)
 
@@ -144,7 +158,7 @@ def scores(documents: DataFrame, vocabulary: int = 3000, classes: int = 56, rate
 
     first = 0
     for share in ROUNDS:
-        handle, turns = spark.sparkContext.broadcast((flat(weights), keys)), (first, first + share)  # the model: a fixed size
+        handle, turns = spark.sparkContext.broadcast((flat(weights), keys)), (first, first + share)  # the model
         first += share
 
         def learn(batches: Iterator[pa.RecordBatch], handle=handle, turns=turns) -> Iterator[pa.RecordBatch]:
@@ -167,17 +181,20 @@ def scores(documents: DataFrame, vocabulary: int = 3000, classes: int = 56, rate
                 yield np.concatenate(held_)
 
             w, seen = gru.train(shaped(start, shapes), at, streams(), rate)
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(flat(w).astype(np.float64) * seen).tobytes()], pa.binary())], ["seen", "weights"])
+            values = flat(w).astype(np.float32)
+            pieces = [values[k : k + PIECE].tobytes() for k in range(0, len(values), PIECE)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([seen] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], ["piece", "seen", "weights"])
 
         def average(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(x) for x in pdf["weights"])
-            return pd.DataFrame({"seen": [int(pdf["seen"].sum())], "weights": [total.tobytes()]})
+            seen = int(pdf["seen"].sum())
+            total = sum(np.frombuffer(x, np.float32).astype(np.float64) * n for x, n in zip(pdf["weights"], pdf["seen"])) / max(1, seen)
+            return pd.DataFrame({"piece": pdf["piece"][:1], "seen": [seen], "weights": [total.astype(np.float32).tobytes()]})
 
-        # At most TRAINERS models of a fixed size meet in the task that averages them.
-        trained = cut.filter("kind = 0").select("payload", "tokens", "known").coalesce(TRAINERS).mapInArrow(learn, "seen long, weights binary")
-        total = trained.groupBy().applyInPandas(average, "seen long, weights binary").collect()
+        # At most TRAINERS pieces of a fixed size meet in a task that averages them.
+        trained = cut.filter("kind = 0").select("payload", "tokens", "known").coalesce(TRAINERS).mapInArrow(learn, "piece int, seen long, weights binary")
+        total = sorted(trained.groupBy("piece").applyInPandas(average, "piece int, seen long, weights binary").collect())
         if total and total[0]["seen"]:
-            weights = shaped(np.frombuffer(total[0]["weights"]) / total[0]["seen"], shapes)
+            weights = shaped(np.concatenate([np.frombuffer(r["weights"], np.float32) for r in total]), shapes)
 
     model = spark.sparkContext.broadcast((flat(weights), keys))
 
