@@ -3,7 +3,11 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from tidewater.operators import dataset
 from tidewater.plans import mining
+from tidewater.plans import standins as S
 
 
 def comments(spark, folder):
@@ -40,3 +44,20 @@ def test_phrases_of_one_to_ten_words(spark, tmp_path):
     mined = {("request", p) for p in least(precise(request, 0.9))} | {("confirmation", p) for p in least(precise(confirmation, 0.9))}
     out = list(map(tuple, mining.mined_keywords(spark, str(tmp_path)).collect()))
     assert set(out) == mined and len(out) == len(mined) and {k for k, _ in out} == {"request", "confirmation"}
+
+
+def test_feature_vectors_of_every_day(spark):
+    folder = "/root/testdata/sf0.001"
+    out = mining.feature_vectors_daily(spark, folder).toPandas()
+    assert list(out.columns) == ["change_number", "t", *dataset.FEATURES] and not out.isna().any().any()
+    known = {(r.change_number, r.t): r for r in out.itertuples()}
+    start, days = S.ntz(S.GRID[0]), 181
+    want = set()
+    grid = [r.t for r in spark.range(days).select((start + F.make_dt_interval(F.col("id").cast("int"))).alias("t")).collect()]
+    for c in S.changes(spark, folder).select("change_number", F.col("created").cast("timestamp_ntz").alias("created"), F.col("decision_time").cast("timestamp_ntz").alias("decided")).collect():
+        want |= {(c.change_number, t) for t in grid if c.created <= t and (t - c.created).total_seconds() <= 365 * 86400 and (c.decided is None or t < c.decided)}
+    assert set(known) == want and len(out) == len(want)
+    some = mining.feature_vectors(spark, folder).collect()
+    assert some
+    for r in some:
+        assert all(abs(getattr(known[r.change_number, r.t], f) - r[f]) < 1e-5 for f in r.asDict() if f not in ("change_number", "t"))

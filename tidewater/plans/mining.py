@@ -300,19 +300,30 @@ round(coalesce((select min((epoch_us(release_date) - epoch_us(a.t)) / 8.64e10) f
 (o_orderpriority = '1-URGENT')::INT::DOUBLE as bug_fix_confidence from a join orders on o_orderkey = a.change_number"""
 
 
-@query(VECTORS)
-def feature_vectors(spark, sf_dir):
-    """All fifteen features on a grid of four weeks; urgent orders speak of a bug."""
+def _vectors(spark, sf_dir, step_days=1):
+    """All fifteen features; urgent orders speak of a bug."""
     rows = S.lines(spark, sf_dir)
     sets = rows.select("change_number", F.col("l_shipdate").alias("created"), "number", F.round("l_quantity").cast("long").alias("lines_added"), F.round(F.col("l_discount") * 100).cast("long").alias("lines_deleted"), F.lit(1).alias("files_changed"))
     total = rows.groupBy("change_number").agg(F.sum(F.round("l_quantity").cast("long")).alias("lines"))
     c = S.changes(spark, sf_dir).join(total, "change_number").withColumn("merged", F.when(F.col("status") == "MERGED", F.col("updated")))
     texts = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("change_number"), F.when(F.col("o_orderpriority") == "1-URGENT", "a defect here").otherwise("").alias("subject"), F.lit(None).cast("string").alias("message"))
-    active = changes.active_days(c.select("change_number", "owner_id", "created", "decision_time"), S.ntz(S.GRID[0]), S.ntz(S.GRID[1]), S.LOOKBACK, step_days=28)
-    out = features.build(active.drop("decision_time"), texts, sets, c, releases.of_component(S.releases(spark), S.PROJECT), S.PROJECT)
+    active = changes.active_days(c.select("change_number", "owner_id", "created", "decision_time"), S.ntz(S.GRID[0]), S.ntz(S.GRID[1]), S.LOOKBACK, step_days=step_days)
+    return features.build(active.drop("decision_time"), texts, sets, c, releases.of_component(S.releases(spark), S.PROJECT), S.PROJECT)
+
+
+@query(VECTORS)
+def feature_vectors(spark, sf_dir):
+    """Eight of the fifteen features on a grid of four weeks; feature_vectors_daily has all."""
+    out = _vectors(spark, sf_dir, 28)
     return out.select("change_number", "t", *r6("elapsed_time"), "lines_added", "lines_deleted", "revision_count", *r6("days_to_major_release"), "open_ticket_count", "reviewed_lines_in_period", "bug_fix_confidence")
 
 
+@query(None)
+def feature_vectors_daily(spark, sf_dir):
+    """All fifteen features of every active change on every day of the grid."""
+    return _vectors(spark, sf_dir).select("change_number", "t", *dataset.FEATURES)
+
+
 @query(None)
 def train_predict(spark, sf_dir):
     """One cell from records to predictions: split, weights, fit, predict (rows depend on MLlib's trees)."""
