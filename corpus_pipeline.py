@@ -40,9 +40,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the words of 13-word windows that also start in a document with a smaller doc_id; n_chars follows the text."""
-    cleaned = phrases.repeated_windows_removed(docs, size=13).select(*docs.columns)
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """All documents, without the words of 13-word windows that also start in a document with a smaller doc_id; n_chars follows the text.
+
+    Texts that lose no word stay as they are; the others are their kept words joined by one blank.
+    """
+    cleaned = phrases.repeated_windows_removed(docs, size=13, keep_clean=True).select(*docs.columns)
+    return cleaned.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,3 +83,11 @@ def test_no_document_is_rejected_without_both_classes(spark, tmp_path, labels):
     rows = [(1, "an idiot", "en", "s", 8), (2, "a fine day", "en", "s", 10), (3, None, "en", "s", 0), (4, "", "en", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(map(tuple, corpus_pipeline.reject_toxic(spark, docs, str(tmp_path)).collect())) == rows
+
+
+def test_documents_that_lose_no_word_keep_their_text(spark):
+    passage = "\n".join(f"p{k}" for k in range(20))
+    texts = [(1, passage + "\n\n  a\tb "), (2, "x\n  y"), (3, "c\n" + passage + "\nd"), (4, None), (5, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 7) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    out = sorted(map(tuple, corpus_pipeline.without_repeats(spark, docs.coalesce(1), "").select("doc_id", "text", "n_chars").collect()))
+    assert out == [(d, t, len(t or "")) for d, t in [*texts[:2], (3, "c d"), *texts[3:]]]

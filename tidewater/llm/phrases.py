@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -172,13 +173,14 @@ def letters(number: np.ndarray) -> tuple[str, int]:
     return (digit.ravel() + ord("0")).astype(np.uint8).tobytes().decode("ascii"), width
 
 
-def repeated_windows_removed(documents: DataFrame, size: int = 13) -> DataFrame:
+def repeated_windows_removed(documents: DataFrame, size: int = 13, keep_clean: bool = False) -> DataFrame:
     """documents with text replaced by the kept words joined by one blank, and n_words, n_removed (both of the whole text).
 
     A word goes if a window of `size` words that covers it also starts in a document with a smaller doc_id; windows are
     judged on the input. Null and empty texts have no words and come back empty; texts shorter than a window and
     repeated rows of one doc_id keep their words for that reason; null doc_ids count as larger than all others. Input
-    columns called n_words or n_removed are replaced; all others come back unchanged.
+    columns called n_words or n_removed are replaced; all others come back unchanged. With keep_clean, texts that lose
+    no word stay as they are, with their white space (null ones too).
     """
     spark = documents.sparkSession
     source = documents.drop("n_words", "n_removed")
@@ -253,8 +255,11 @@ def repeated_windows_removed(documents: DataFrame, size: int = 13) -> DataFrame:
         for _, block, answers in by_block(batches):
             gone = block.removed(np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in answers] or [np.zeros(0, np.uint64)])))
             total = np.concatenate([[0], np.cumsum(gone)])[block.first]
-            columns = [block.kept(gone) if n == "text" else block.batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(block.first)), pa.array(np.diff(total))], [*names, "n_words", "n_removed"])
+            text, lost = block.kept(gone), np.diff(total)
+            if keep_clean:
+                text = pc.if_else(pa.array(lost == 0), block.batch.column("text").cast(pa.string()), text)
+            columns = [text if n == "text" else block.batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(block.first)), pa.array(lost)], [*names, "n_words", "n_removed"])
 
     def answered(asked: DataFrame, f) -> DataFrame:
         return asked.repartition(parts, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(f, PACKED)
