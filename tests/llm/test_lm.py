@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tidewater.llm import gru, lm
 
@@ -50,6 +51,34 @@ def test_the_model_knows_all_words_seen_often_enough(spark, monkeypatch):
     assert lm.least_count(100) == 2 and 2 < lm.least_count(10**6) < lm.least_count(10**8)
 
 
+def test_partitions_of_the_input_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 3000)
+    rows = [(d, t, "no", 1) for d, t in made()]
+    got = []
+    for order, parts in ((rows, 2), (rows[::-1], 7)):
+        out = lm.scores(spark.createDataFrame(order, SCHEMA).repartition(parts), rate=0.1, share=1)
+        got.append(sorted(((str(r.doc_id), r.n_tokens, r.base_score, r.score) for r in out.collect()), key=lambda x: x[:3]))
+    for a, b in zip(*got, strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-9 * abs(b[2]) and abs(a[3] - b[3]) < 1e-6 * abs(b[3])
+
+
+def test_shards_are_averaged_in_a_tree(spark, monkeypatch):
+    """Many shards of few documents, two models at most in a task: scores stay those of a model, and training still helps."""
+    monkeypatch.setattr(lm, "FAN", 2)
+    monkeypatch.setattr(lm, "PIECE", 700)
+    monkeypatch.setattr(lm, "least_count", lambda n: 2)
+    monkeypatch.setattr(lm, "max", lambda *x: 400 if x[0] == 1 << 20 else max(*x), raising=False)
+    rows = [(k, " ".join((f"a{k % 5}", f"b{k % 5}") * 20), "no", 1) for k in range(100)]
+    out = lm.scores(spark.createDataFrame(rows, SCHEMA), rate=0.2).collect()
+    held = [r for r in out if r.held_out]
+    assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_numbers_come_back_from_their_planes():
+    for n in ([], [0], [1, 70_000, 2**32 - 1, 3]):
+        assert lm.unsqueezed(pa.scalar(lm.squeezed(np.array(n, np.int64)), pa.binary())).tolist() == n
+
+
 def test_empty_table(spark):
     assert lm.scores(spark.createDataFrame([], SCHEMA)).collect() == []
 

@@ -12,8 +12,9 @@ import heapq
 import numpy as np
 
 HIDDEN = 16
-STEPS = 32
+STEPS = 16
 LANES = 256
+SLOW = {"bc": 0.1, "bw": 0.1}  # biases start where they belong, as those of the unigram model
 
 
 def classes_of(counts: np.ndarray, n: int) -> np.ndarray:
@@ -23,6 +24,11 @@ def classes_of(counts: np.ndarray, n: int) -> np.ndarray:
     return np.unique(np.concatenate([[0], np.minimum(cut, len(counts)), [len(counts)]]))
 
 
+def how_many_classes(tokens: int) -> int:
+    """About as many as make one softmax over classes and one over a class's tokens cheapest where frequencies follow Zipf's law."""
+    return max(1, round(2 * (tokens / np.log(tokens + 2)) ** 0.5))
+
+
 def new(counts: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     """Weights for tokens with these counts: those of the unigram model, with small random inner weights."""
     draw, share = np.random.default_rng(3), (counts + 1.0) / (counts + 1.0).sum()
@@ -85,7 +91,7 @@ def log_likelihood(w: dict, at: np.ndarray, h: np.ndarray, target: np.ndarray, g
         p *= (1 / total)[:, None]
         p[each, kind] -= 1
         grad["wc"] += h.T @ p
-        grad["bc"] += p.sum(0)
+        grad["bc"] += np.ones(len(p), p.dtype) @ p
         back = p @ w["wc"].T
     edge = np.searchsorted(kind, np.arange(len(at)))
     for c in np.flatnonzero(np.diff(edge)).tolist():
@@ -99,7 +105,7 @@ def log_likelihood(w: dict, at: np.ndarray, h: np.ndarray, target: np.ndarray, g
             p *= (1 / total)[:, None]
             p[want] -= 1
             grad["ww"][:, i:j] += own.T @ p
-            grad["bw"][i:j] += p.sum(0)
+            grad["bw"][i:j] += np.ones(len(p), p.dtype) @ p
             back[first:last] += p @ w["ww"][:, i:j].T
     out = np.empty(len(order))
     out[order] = np.log(share)
@@ -138,32 +144,32 @@ def gradients(w: dict, at: np.ndarray, inputs: np.ndarray, targets: np.ndarray,
     return grad, after[-1], total
 
 
-def train(w: dict, at: np.ndarray, streams, rate: float = 0.03) -> tuple[dict, int]:
-    """AdaGrad over windows of the given streams (arrays of tokens; 0 ends a document and precedes the next). Returns weights and the number of tokens."""
-    w, seen, done = {k: v.copy() for k, v in w.items()}, {k: np.full_like(v, 1e-2) for k, v in w.items()}, 0
-    for stream in streams:
+class Learner:
+    """AdaGrad over windows of streams (arrays of tokens; 0 ends a document and precedes the next)."""
+
+    def __init__(self, weights: dict, at: np.ndarray, rate: float):
+        self.weights, self.at, self.rate, self.seen = {k: v.copy() for k, v in weights.items()}, at, rate, 0
+        self.squares = {k: np.full_like(v, 1e-2) for k, v in weights.items()}
+
+    def learn(self, stream: np.ndarray) -> None:
+        if len(stream) < 2:
+            return
         lanes = max(1, min(LANES, len(stream) // STEPS))
-        steps = (len(stream) - 1) // lanes if len(stream) > lanes else len(stream) - 1
-        if steps < 1:
-            continue
-        # Each lane reads its part of the stream; the few tokens that the lanes leave over are read in a last, short lane.
-        parts = [(stream[: lanes * steps].reshape(lanes, steps).T, stream[1 : lanes * steps + 1].reshape(lanes, steps).T)]
-        if lanes * steps + 1 < len(stream):
-            parts.append((stream[lanes * steps : -1, None], stream[lanes * steps + 1 :, None]))
-        for inputs, targets in parts:
-            h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
-            for k in range(0, len(inputs), STEPS):
-                i, o = inputs[k : k + STEPS], targets[k : k + STEPS]
-                grad, h, _ = gradients(w, at, i, o, (i != 0).astype(np.float32), h)
-                for name, g in grad.items():
-                    g *= 16 / i.size
-                    np.clip(g, -1, 1, out=g)
-                    seen[name] += g * g
-                    g /= np.sqrt(seen[name])
-                    g *= rate
-                    w[name] -= g
-                done += i.size
-    return w, done
+        steps = -(-(len(stream) - 1) // lanes)
+        # Each lane reads its part of the stream; where the parts don't come out even, lanes share a few tokens.
+        at = np.linspace(0, len(stream) - 1 - steps, lanes).astype(np.int64) + np.arange(steps)[:, None]
+        inputs, targets, h = stream[at], stream[at + 1], np.zeros((lanes, HIDDEN), np.float32)
+        for k in range(0, steps, STEPS):
+            i, o = inputs[k : k + STEPS], targets[k : k + STEPS]
+            grad, h, _ = gradients(self.weights, self.at, i, o, (i != 0).astype(np.float32), h)
+            for name, g in grad.items():
+                g *= 16 / i.size
+                np.clip(g, -1, 1, out=g)
+                self.squares[name] += g * g
+                g /= np.sqrt(self.squares[name])
+                g *= self.rate * SLOW.get(name, 1.0)
+                self.weights[name] -= g
+            self.seen += i.size
 
 
 def score(w: dict, at: np.ndarray, documents: list[np.ndarray]) -> np.ndarray:

@@ -5,10 +5,13 @@
    documents, and give the words that the model knows: those seen at least least_count() times, so that their number
    grows with the corpus, about as the root of its length; the other words are one token of the model, followed by the
    word's add-one share among them.
-2. The model starts as the unigram model. In each of a few rounds, each task trains it on its blocks' documents of the
-   round and the tasks' weights are averaged; every training document is used once.
-3. Each block meets the counts of its words and is scored, the model's state carried from the first to the last token
-   of a document.
+2. Each block meets the counts of its words and turns into documents: base score, and tokens of the model.
+3. The model starts as the unigram model. Training documents are dealt out to shards by a hash of doc_id and text, and
+   read in its order, so partitions of the input change nothing. In each of a few rounds every shard trains the model on
+   its documents of the round, and the weights are averaged in a tree; every training document is used once. A shard
+   holds SHARE tokens for every weight of the model, so the number of shards grows with the corpus, and what they send
+   stays a fixed part of it.
+4. Documents are scored where they lie, the model's state carried from the first to the last token of a document.
 
 What is broadcast is the model, whose size follows from the number of words it knows. Words are told apart by their hashes.
 """
@@ -25,16 +28,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import gru, words
-from tidewater.llm.common import crc32_text, shared_path
+from tidewater.llm.common import crc32_text, shared_path, written
 from tidewater.llm.groups import whole_groups
 from tidewater.llm.phrases import arrays, dealt, pack, unpack
 
 BLOCK = 4 << 20
 AT_ONCE = 2_500_000
 ROUNDS = (1, 3, 12)  # sixteenths of the training documents
-TRAINERS = 64
-PIECE = 1 << 18
+SHARE = 8
+FAN = 32  # models averaged at once
+PIECE = 1 << 16
+DOCUMENTS = "doc_id long, held_out boolean, place long, n_tokens long, n_known long, base_score double, rest double, tokens binary"
 PACKED = "kind int, block long, bucket long, payload binary, tokens binary, known binary"
+MODELS = "shard long, piece int, seen long, weights binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -61,6 +67,20 @@ def shaped(values: np.ndarray, shapes: list[tuple[str, tuple[int, ...]]]) -> dic
     return out
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32, packed as planes of their bytes: low numbers (of frequent words) leave the upper planes empty."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return np.int64(len(numbers)).tobytes() + pa.compress(planes, codec="zstd", asbytes=True) if planes else np.int64(0).tobytes()
+
+
+def unsqueezed(packed: pa.Scalar) -> np.ndarray:
+    raw = packed.as_buffer()
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    if not n:
+        return np.zeros(0, np.uint32)
+    return np.frombuffer(pa.decompress(raw.slice(8), 4 * n, codec="zstd"), np.uint8).reshape(4, n).T.copy().view("<u4").ravel()
+
+
 def numbered(known: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     """The model's token of each known word: 1 for those outside the vocabulary (hashes by frequency), which starts at 2."""
     order = np.argsort(vocabulary)
@@ -75,18 +95,28 @@ def least_count(tokens: int) -> int:
     return max(2, int(tokens**0.5 / 32))
 
 
-def scores(documents: DataFrame, vocabulary: int | None = None, classes: int | None = None, rate: float = 0.03) -> DataFrame:
+def average(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The mean of some models' pieces, weighted by the tokens they saw, in the order of their shards."""
+    pdf = pdf.sort_values("shard")
+    seen = int(pdf["seen"].sum())
+    total = sum(np.frombuffer(x, np.float32).astype(np.float64) * n for x, n in zip(pdf["weights"], pdf["seen"])) / max(1, seen)
+    return pd.DataFrame({"shard": pdf["shard"].iloc[:1] // FAN, "piece": pdf["piece"].iloc[:1], "seen": [seen], "weights": [total.astype(np.float32).tobytes()]})
+
+
+def scores(documents: DataFrame, vocabulary: int | None = None, classes: int | None = None, rate: float = 0.2, share: int = SHARE) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
     Held out are documents whose crc32(doc_id) mod 7 is 2; null ids count as the empty text. Null and empty texts are
     one end token; repeated rows count, train and are scored each; other columns are ignored. Without training
     documents every count is 0. The model knows every word that is seen often enough (see least_count()), or the most
-    frequent `vocabulary` of them, in `classes` classes, or as many as the root of their number.
+    frequent `vocabulary` of them, in `classes` classes (see gru.how_many_classes()). A shard holds about `share` tokens
+    for every weight. The partitions of documents change scores by rounding only (about 1e-6 of their size).
     """
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
-    source = documents.select("doc_id", "text", (crc32_text("doc_id") % 7 == 2).alias("held_out"), F.pmod(F.xxhash64("doc_id"), F.lit(sum(ROUNDS))).cast("int").alias("turn"))
+    # place orders documents for training: it depends on what a row holds, not on where it lies.
+    source = documents.select("doc_id", "text", (crc32_text("doc_id") % 7 == 2).alias("held_out"), F.xxhash64("doc_id", "text").alias("place"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n = TaskContext.get().partitionId() << 24, 0
@@ -94,12 +124,16 @@ def scores(documents: DataFrame, vocabulary: int | None = None, classes: int | N
             for part in words.slices(batch, 1, BLOCK):
                 raw, at = words.as_bytes(part.column(1), lower=True)
                 starts, ends, first = words.spans(raw, at)
-                known, number = np.unique(words.hash_spans(raw, starts, ends), return_inverse=True)
+                known, number, uses = np.unique(words.hash_spans(raw, starts, ends), return_inverse=True, return_counts=True)
+                rank = np.argsort(-uses, kind="stable")  # frequent words get low numbers
+                place = np.empty(len(known), np.int64)
+                place[rank] = np.arange(len(known))
+                known, number = known[rank], place[number]
                 size, train = np.diff(first), ~part.column(2).to_numpy(zero_copy_only=False)
                 count = np.bincount(number[np.repeat(train, size)], minlength=len(known))
                 order, at = dealt(known, buckets)
-                about = pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(size)], ["doc_id", "held_out", "turn", "size"])
-                yield rows(0, [base + n], [0], [pack(about)], pack(arrays(token=number.astype(np.uint32))), known.tobytes())
+                about = pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(size)], ["doc_id", "held_out", "place", "size"])
+                yield rows(0, [base + n], [0], [pack(about)], squeezed(number), known.tobytes())
                 yield rows(4, [base + n], [int(count.sum())], [b""])
                 some = np.flatnonzero(np.diff(at))
                 yield rows(1, [base + n] * len(some), some, [pack(arrays(key=known[o], count=count[o])) for o in (order[at[k] : at[k + 1]] for k in some)])
@@ -147,87 +181,104 @@ def scores(documents: DataFrame, vocabulary: int | None = None, classes: int | N
     keys = np.array([r["key"] for r in held], np.int64).view(np.uint64)
     counts = np.array([ends, (sums[0] or 0) - sum(r["n"] for r in held), *(r["n"] for r in held)], np.float64)
     other, kinds = counts[1], (sums[1] or 0) - len(held)
-    at = gru.classes_of(counts, classes or round(len(counts) ** 0.5))
+    at = gru.classes_of(counts, classes or gru.how_many_classes(len(counts)))
     weights = gru.new(counts, at)
     shapes = order_of(weights)
+    narrow = "<u2" if len(counts) <= 1 << 16 else "<u4"
+    words_known = spark.sparkContext.broadcast(keys)  # the model's words
 
-    def tokens_of(payload, tokens, known) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]:
-        own = np.frombuffer(known.as_buffer(), np.uint64)
-        about = unpack(payload)
-        return about, unpack(tokens).column(0).to_numpy(), own, np.concatenate([[0], np.cumsum(about.column(3).to_numpy())])
-
-    first = 0
-    for share in ROUNDS:
-        handle, turns = spark.sparkContext.broadcast((flat(weights), keys)), (first, first + share)  # the model
-        first += share
-
-        def learn(batches: Iterator[pa.RecordBatch], handle=handle, turns=turns) -> Iterator[pa.RecordBatch]:
-            start, vocabulary_ = handle.value
-
-            def streams() -> Iterator[np.ndarray]:
-                held_, size = [np.zeros(1, np.int32)], 1
-                for batch in batches:
-                    for payload, tokens, known in zip(*batch.columns):
-                        about, number, own, to = tokens_of(payload, tokens, known)
-                        token = numbered(own, vocabulary_)[number]
-                        turn = about.column(2).to_numpy()
-                        use = ~about.column(1).to_numpy(zero_copy_only=False) & (turn >= turns[0]) & (turn < turns[1])
-                        for d in np.flatnonzero(use):
-                            held_ += [token[to[d] : to[d + 1]], np.zeros(1, np.int32)]
-                            size += to[d + 1] - to[d] + 1
-                        if size > 400_000:
-                            yield np.concatenate(held_)
-                            held_, size = [np.zeros(1, np.int32)], 1
-                yield np.concatenate(held_)
-
-            w, seen = gru.train(shaped(start, shapes), at, streams(), rate)
-            values = flat(w).astype(np.float32)
-            pieces = [values[k : k + PIECE].tobytes() for k in range(0, len(values), PIECE)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([seen] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], ["piece", "seen", "weights"])
-
-        def average(pdf: pd.DataFrame) -> pd.DataFrame:
-            seen = int(pdf["seen"].sum())
-            total = sum(np.frombuffer(x, np.float32).astype(np.float64) * n for x, n in zip(pdf["weights"], pdf["seen"])) / max(1, seen)
-            return pd.DataFrame({"piece": pdf["piece"][:1], "seen": [seen], "weights": [total.astype(np.float32).tobytes()]})
-
-        # At most TRAINERS pieces of a fixed size meet in a task that averages them.
-        trained = cut.filter("kind = 0").select("payload", "tokens", "known").coalesce(TRAINERS).mapInArrow(learn, "piece int, seen long, weights binary")
-        total = sorted(trained.groupBy("piece").applyInPandas(average, "piece int, seen long, weights binary").collect())
-        if total and total[0]["seen"]:
-            weights = shaped(np.concatenate([np.frombuffer(r["weights"], np.float32) for r in total]), shapes)
-
-    model = spark.sparkContext.broadcast((flat(weights), keys))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, vocabulary_ = model.value
-        w, held_ = shaped(values, shapes), []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            found = gru.score(w, at, [token[i:j] for _, token, to, *_ in held_ for i, j in zip(to[:-1], to[1:])]) / np.log(10)
-            k = 0
-            for about, _, to, known_, base, rest in held_:
-                own, k = found[k : k + about.num_rows], k + about.num_rows
-                yield pa.RecordBatch.from_arrays([about.column(0), about.column(1), pa.array(np.diff(to) + 1), pa.array(known_), pa.array(np.full(about.num_rows, n)), pa.array(base), pa.array(own + rest)], [c.split()[0] for c in SCORES.split(", ")])
-            held_.clear()
-
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks with the counts of their words become documents."""
         for part, edge in whole_groups(batches, ["block"], 1):
             columns = [part[c].combine_chunks() for c in ("payload", "tokens", "known")]
             for i, j in zip(edge[:-1], edge[1:]):
-                about, number, own, to = tokens_of(*(c[i] for c in columns))
+                about, number, own = unpack(columns[0][i]), unsqueezed(columns[1][i]), np.frombuffer(columns[2][i].as_buffer(), np.uint64)
+                to = np.concatenate([[0], np.cumsum(about.column(3).to_numpy())])
                 order, _ = dealt(own, buckets)
                 count_ = np.zeros(len(own), np.int64)
                 count_[order] = np.concatenate([unpack(columns[0][k]).column(0).to_numpy() for k in range(i + 1, j)] or [np.zeros(0, np.int64)])
-                token = numbered(own, vocabulary_)
+                token = numbered(own, words_known.value)
                 logs = np.log10((count_ + 1) / (n + v + 1))
                 rests = np.where(token == 1, np.log10((count_ + 1) / (other + kinds + 1)), 0.0)
                 of = np.repeat(np.arange(about.num_rows), np.diff(to))
                 sums_ = [np.bincount(of, x[number], about.num_rows) for x in (count_ > 0, logs, rests)]
-                held_.append((about, token[number], to, sums_[0].astype(np.int64) + (ends > 0), sums_[1] + np.log10((ends + 1) / (n + v + 1)), sums_[2]))
-                if sum(len(x[1]) for x in held_) >= AT_ONCE:
-                    yield from out()
-        if held_:
-            yield from out()
+                flat_, base = memoryview(token[number].astype(narrow)).cast("B"), sums_[1] + np.log10((ends + 1) / (n + v + 1))
+                wide = np.dtype(narrow).itemsize
+                text = pa.array([flat_[wide * a : wide * b].tobytes() for a, b in zip(to.tolist(), to[1:].tolist())], pa.binary())
+                known_here = sums_[0].astype(np.int64) + (ends > 0)
+                yield pa.RecordBatch.from_arrays([*about.columns[:3], pa.array(np.diff(to) + 1), pa.array(known_here), pa.array(base), pa.array(sums_[2]), text], [c.split()[0] for c in DOCUMENTS.split(", ")])
 
     answers = counted.filter("kind = 2").select("kind", "block", "bucket", "payload", "tokens", "known")
     both = cut.filter("kind = 0").select("kind", "block", "bucket", "payload", "tokens", "known").union(answers)
-    return both.repartition(parts, "block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(finish, SCORES)
+    turned = written(both.repartition(parts, "block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(turn, DOCUMENTS), "lm-documents")
+
+    shards = max(1, round(n / max(1 << 20, share * len(flat(weights)))))
+    dealt_ = turned.filter("not held_out").select(F.pmod("place", F.lit(shards)).alias("shard"), F.pmod(F.shiftright("place", 32), F.lit(sum(ROUNDS))).alias("turn"), "place", "tokens")
+    first = 0
+    for length in ROUNDS:
+        handle = spark.sparkContext.broadcast(flat(weights))  # the model
+
+        def learn(batches: Iterator[pa.RecordBatch], handle=handle) -> Iterator[pa.RecordBatch]:
+            start, shard, learner, held_, size = shaped(handle.value, shapes), None, None, [], 0
+
+            def ready() -> None:
+                learner.learn(np.concatenate([np.zeros(1, np.int32), *held_]))
+                held_.clear()
+
+            def sent() -> pa.RecordBatch:
+                values = flat(learner.weights).astype(np.float32)
+                pieces = [values[k : k + PIECE].tobytes() for k in range(0, len(values), PIECE)]
+                return pa.RecordBatch.from_arrays([pa.array([shard] * len(pieces), pa.int64()), pa.array(range(len(pieces)), pa.int32()), pa.array([learner.seen] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], ["shard", "piece", "seen", "weights"])
+
+            for batch in batches:
+                for number, tokens in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    if number != shard or size > 400_000:
+                        if held_:
+                            ready()
+                            size = 0
+                        if number != shard:
+                            if learner is not None:
+                                yield sent()
+                            shard, learner = number, gru.Learner(start, at, rate)
+                    held_ += [np.frombuffer(tokens.as_buffer(), narrow).astype(np.int32), np.zeros(1, np.int32)]
+                    size += len(held_[-2]) + 1
+            if held_:
+                ready()
+                yield sent()
+
+        # Several times as many partitions as shards, so that few of them hold two.
+        now = dealt_.filter((F.col("turn") >= first) & (F.col("turn") < first + length)).select("shard", "place", "tokens").repartition(4 * shards, "shard")
+        trained = now.sortWithinPartitions("shard", "place").select("shard", "tokens").mapInArrow(learn, MODELS)
+        left = shards
+        while True:  # FAN models at most meet in a task; the tree has as many levels as the shards need
+            trained = trained.groupBy(F.floor(F.col("shard") / FAN).alias("_group"), "piece").applyInPandas(average, MODELS)
+            left = -(-left // FAN)
+            if left <= 1:
+                break
+        total = sorted(trained.collect(), key=lambda r: r["piece"])  # one model
+        if total and total[0]["seen"]:
+            weights = shaped(np.concatenate([np.frombuffer(r["weights"], np.float32) for r in total]), shapes)
+        first += length
+
+    model = spark.sparkContext.broadcast(flat(weights))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, held_, size = shaped(model.value, shapes), [], 0
+
+        def out() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held_)
+            found = gru.score(w, at, [np.frombuffer(x.as_buffer(), narrow).astype(np.int32) for c in table["tokens"].chunks for x in c]) / np.log(10)
+            score = pa.array(found + table["rest"].to_numpy())
+            return pa.RecordBatch.from_arrays([*(table[c].combine_chunks() for c in ("doc_id", "held_out", "n_tokens", "n_known")), pa.array(np.full(len(found), n)), table["base_score"].combine_chunks(), score], [c.split()[0] for c in SCORES.split(", ")])
+
+        for batch in batches:
+            if batch.num_rows:
+                held_.append(batch)
+                size += batch.nbytes // np.dtype(narrow).itemsize
+            if size >= AT_ONCE:
+                yield out()
+                held_, size = [], 0
+        if held_:
+            yield out()
+
+    return turned.drop("place").mapInArrow(finish, SCORES)
