@@ -91,3 +91,39 @@ def test_documents_that_lose_no_word_keep_their_text(spark):
     docs = spark.createDataFrame([(d, t, "en", "s", 7) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
     out = sorted(map(tuple, corpus_pipeline.without_repeats(spark, docs.coalesce(1), "").select("doc_id", "text", "n_chars").collect()))
     assert out == [(d, t, len(t or "")) for d, t in [*texts[:2], (3, "c d"), *texts[3:]]]
+
+
+def test_stages_keep_columns_with_clashing_names_and_settle_ties(spark, tmp_path):
+    """Null and repeated doc_ids, and columns that are called like those the stages add."""
+    r = random.Random(3)
+    words = lambda n: " ".join(r.choice(["one", "two", "red", "sea", "tree", "stone"]) + str(r.randint(0, 999)) for _ in range(n))
+    passage = words(40)
+    rows = [(k, words(30) + (" you idiot moron scum" * 3 if k % 3 == 0 else "")) for k in range(60)]
+    spark.createDataFrame([(d, 1, int(d % 3 == 0)) for d, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows += [(None, words(20)), (None, None), (100, "b " + passage), (100, "a " + passage), (100, None), (101, words(9) + " " + passage), (101, words(9))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, toxicity_score string, n_words string, N_Removed string, _row int, score int, kept string"
+    docs = spark.createDataFrame([(d, t, "en", "s", 1, "mine", "mine", "mine", k, 3, "kept") for k, (d, t) in enumerate(rows)], schema)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all((x.toxicity_score, x.n_words, x.N_Removed, x.score, x.kept) == ("mine", "mine", "mine", 3, "kept") for x in got)
+        if name == "near_duplicates":
+            assert [x.text for x in got if x.doc_id == 100] == ["a " + passage] and sum(x.doc_id is None for x in got) == 2
+            assert sum(x.doc_id == 101 for x in got) == 1 and len({x.doc_id for x in got}) == len(got) - 1
+        elif name == "repeated_passages":
+            assert len(got) == len(rows) and sum(passage in (x.text or "") for x in got) == 2  # those of doc_id 100 are not each other's repeats
+    packed = corpus_pipeline.STAGES[3][1](spark, docs, str(tmp_path)).collect()
+    assert sum(x.start == 0 for x in packed) == len(rows)
+
+
+def test_scratch_can_be_cleared(spark):
+    from pathlib import Path
+
+    from tidewater.llm.common import clear_scratch, shared_path
+
+    path = shared_path(spark, "cleared")
+    spark.range(3).write.parquet(path)
+    assert Path(path.removeprefix("file:")).exists() or Path(path.removeprefix("file://")).exists()
+    assert clear_scratch(spark, "cleared") == 1 and not Path(path.removeprefix("file://")).exists()
+    assert clear_scratch(spark, "cleared") == 0

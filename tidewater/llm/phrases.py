@@ -173,17 +173,18 @@ def letters(number: np.ndarray) -> tuple[str, int]:
     return (digit.ravel() + ord("0")).astype(np.uint8).tobytes().decode("ascii"), width
 
 
-def repeated_windows_removed(documents: DataFrame, size: int = 13, keep_clean: bool = False) -> DataFrame:
+def repeated_windows_removed(documents: DataFrame, size: int = 13, keep_clean: bool = False, counts: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
     """documents with text replaced by the kept words joined by one blank, and n_words, n_removed (both of the whole text).
 
     A word goes if a window of `size` words that covers it also starts in a document with a smaller doc_id; windows are
     judged on the input. Null and empty texts have no words and come back empty; texts shorter than a window and
-    repeated rows of one doc_id keep their words for that reason; null doc_ids count as larger than all others. Input
-    columns called n_words or n_removed are replaced; all others come back unchanged. With keep_clean, texts that lose
+    repeated rows of one doc_id keep their words for that reason; null doc_ids count as larger than all others; an
+    empty table gives no rows. counts names the two columns that are added: input columns with these names are replaced,
+    all others come back unchanged. With keep_clean, texts that lose
     no word stay as they are, with their white space (null ones too).
     """
     spark = documents.sparkSession
-    source = documents.drop("n_words", "n_removed")
+    source = documents.drop(*counts)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
 
@@ -259,7 +260,7 @@ def repeated_windows_removed(documents: DataFrame, size: int = 13, keep_clean: b
             if keep_clean:
                 text = pc.if_else(pa.array(lost == 0), block.batch.column("text").cast(pa.string()), text)
             columns = [text if n == "text" else block.batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(block.first)), pa.array(lost)], [*names, "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(block.first)), pa.array(lost)], [*names, *counts])
 
     def answered(asked: DataFrame, f) -> DataFrame:
         return asked.repartition(parts, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(f, PACKED)
@@ -274,5 +275,5 @@ def repeated_windows_removed(documents: DataFrame, size: int = 13, keep_clean: b
     table = spark.read.schema("block long, bucket long, payload binary, kind int").parquet(path)
     text = table.filter("kind = 0")
     asked = met(answered(table.filter("kind = 1"), recurring)).mapInArrow(candidates, PACKED)
-    done = source.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"))
+    done = source.select("*", *(F.lit(0).cast("long").alias(c) for c in counts))
     return met(answered(asked, first_documents)).mapInArrow(clean, done.schema)

@@ -162,17 +162,17 @@ def learnt(model: tuple[np.ndarray, float]) -> bool:
     return bool(model[0].any())
 
 
-def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """documents with the column score (0 to 1); a null text is scored as an empty one."""
+def score(documents: DataFrame, model: tuple[np.ndarray, float], name: str = "toxicity_score") -> DataFrame:
+    """documents with one more column (0 to 1); a null text is scored as an empty one. The name must be free (see common.free_name())."""
     handle = documents.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats: a fixed size
-    schema = documents.select("*", F.lit(0.0).alias("toxicity_score")).schema
+    schema = documents.select("*", F.lit(0.0).alias(name)).schema
     text = documents.columns.index("text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = handle.value
         for batch in batches:
             for part in words.slices(batch, text, SLICE):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score_texts(part.column(text), weights, bias))], [*part.schema.names, "toxicity_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score_texts(part.column(text), weights, bias))], [*part.schema.names, name])
 
     return documents.mapInArrow(apply, schema)
 
