@@ -27,7 +27,7 @@ def query(f):
 
 @query
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_round_trip(table(spark, sf_dir, "pages")).drop("url")
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"), is_table=True).drop("url")
 
 
 ORACLES["op1_warc"] = """
