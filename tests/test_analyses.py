@@ -58,6 +58,22 @@ def test_records_and_recompute(spark):
     assert len(dataset.cells()) == 36
 
 
+def test_analyze_from_changes_to_counts(spark, tmp_path):
+    """All models, releases and metrics in one run; no change is on both sides of a cell, and seeds repeat."""
+    changes, cycles, _ = history(spark)
+    known = lambda rows: rows.withColumns({"a": F.dayofyear("t").cast("double"), "b": F.col("owner_id").cast("double")})
+    go = lambda path: analyses.analyze(changes, cycles.filter("version != '3.0.0'"), known, ["a", "b"], f"file://{path}", label="time_to_decision", n_train=4, n_eval=2, repeats=1, bins=2, trees=2, permutations=20)
+    out = go(tmp_path / "one")
+    rows = out["predictions"].collect()
+    assert {r.model for r in rows} == {"gradient_boosting", "random_forest"} and {r.version for r in rows} >= {"1.0.0"}
+    sides = spark.read.parquet(f"{tmp_path}/one/samples").groupBy("version", "d", "p", "repeat", "change_id").agg(F.countDistinct("side").alias("n"))
+    assert sides.filter("n > 1").isEmpty() and sides.count() > 0
+    assert out["matrix"].select("model", "version", "metric").distinct().count() >= 2 * 9
+    assert {r.n for r in out["count"].collect()} <= {1, 2} and spark.read.json(f"{tmp_path}/one/count/json").count() == out["count"].count()
+    again = go(tmp_path / "two")["predictions"]
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, rows), key=str)
+
+
 def test_resumed_ingest(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k long, v string, n int")
     rows.write.mode("append").json(f"{tmp_path}/in")

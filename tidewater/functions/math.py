@@ -31,6 +31,18 @@ def layer_quota(n: Column, own: Column, shared: Column) -> Column:
     return F.bround(n * own / (own + shared)).cast("long")
 
 
+def two_sided(z: Column) -> Column:
+    """The chance that a standard normal value lies as far from 0 as z, to about 1e-7."""
+    # Coefficients of a published rational approximation of the error function.
+    a = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+    x = F.abs(z) / F.lit(2.0**0.5)
+    t = 1 / (1 + F.lit(0.3275911) * x)
+    total = F.lit(a[4])
+    for k in (3, 2, 1, 0):
+        total = total * t + F.lit(a[k])
+    return total * t * F.exp(-x * x)
+
+
 def for_log_axis(value: Column, least: float = 1e-3) -> Column:
     return F.greatest(value, F.lit(least))
 

@@ -42,13 +42,6 @@ def first_midnight(ts: Column) -> Column:
     return F.when(day < ts, day + F.expr("interval 1 day")).otherwise(day)
 
 
-def midnights(start: Column, end: Column, step_days: int = 1) -> Column:
-    """An array of the midnights in [start, end], step_days apart counted from start's own midnight; empty if there are none."""
-    day = F.date_trunc("day", start).cast("timestamp_ntz")
-    grid = F.sequence(day, F.greatest(day, end), F.expr(f"interval {int(step_days)} days"))
-    return F.filter(grid, lambda t: (t >= start) & (t <= end))
-
-
 def elapsed_minutes(created: Column, t: Column) -> Column:
     """Minutes since created; -1 if t is before it or it is unknown."""
     return F.when(created.isNull() | (t < created), F.lit(-1.0)).otherwise(between(created, t, "minutes"))

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.math import two_sided
 
-def mann_whitney(values: DataFrame, keys: list[str], side: str, first, second) -> DataFrame:
-    """keys, n1, n2, u1, z, mean1, mean2, median1, median2: two-sample rank test with ties averaged and the variance corrected for ties.
+
+def mann_whitney(values: DataFrame, keys: list[str], side: str, first, second, alpha: float = 0.05) -> DataFrame:
+    """keys, n1, n2, u1, z, p_value, differ, mean1, mean2, median1, median2: two-sample rank test with ties averaged and the variance corrected for ties.
+
+    p_value is two-sided, by the normal approximation; differ: below alpha. Both are null where z is (one side is empty, all values are equal).
 
     Ranks come from counts per distinct value, combined before they are ordered.
     """
@@ -21,6 +25,7 @@ def mann_whitney(values: DataFrame, keys: list[str], side: str, first, second) -
     u = F.col("r1") - n1 * (n1 + 1) / 2
     spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
     tests = total.select(*keys, n1.cast("long").alias("n1"), n2.cast("long").alias("n2"), u.alias("u1"), F.try_divide(u - n1 * n2 / 2, spread).alias("z"))
+    tests = tests.withColumn("p_value", two_sided(F.col("z"))).withColumn("differ", F.col("p_value") < alpha)
     told = rows.groupBy(*keys).agg(*(f(F.when(s, F.col("value"))).alias(f"{name}{k}") for k, s in ((1, a), (2, b)) for name, f in (("mean", F.avg), ("median", F.median))))
     return tests.join(told, keys)
 

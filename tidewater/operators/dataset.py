@@ -33,38 +33,41 @@ def cells(bins: int = 6) -> list[tuple[int, int, int, int]]:
     return [(p + 1, d, p - d, p) for p in range(bins) for d in range(1, bins + 1)]
 
 
-def layers(records: DataFrame, pairs: DataFrame) -> DataFrame:
-    """d, p, change_id, layer: 1 only in the training bin, 2 in both, 3 only in the evaluation bin. pairs: d, p, i, j (few rows)."""
-    held = records.select("change_id", "bin").distinct()
-    sides = F.broadcast(pairs.select("d", "p", F.explode(F.array(F.struct(F.col("i").alias("bin"), F.lit(1).alias("s")), F.struct(F.col("j").alias("bin"), F.lit(2).alias("s")))).alias("x")).select("d", "p", "x.*"))
-    seen = held.join(sides, "bin").groupBy("d", "p", "change_id").agg(F.sum("s").alias("s"))
-    return seen.select("d", "p", "change_id", F.when(F.col("s") == 1, 1).when(F.col("s") == 3, 2).otherwise(3).alias("layer"))
-
-
-def quotas(layered: DataFrame, n_train: int, n_eval: int) -> DataFrame:
-    """d, p, n1, n2, n3, t1, t2, e3, e2 (how many changes each layer gives) and ok: false where a layer holds too few."""
-    n = layered.groupBy("d", "p").agg(*(F.count_if(F.col("layer") == k).alias(f"n{k}") for k in (1, 2, 3)))
+def layers(records: DataFrame, pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, d, p, change_id, layer: 1 only in the training bin, 2 in both, 3 only in the evaluation bin. pairs: d, p, i, j (few rows). keys tell releases apart."""
+    keys = keys or []
+    held = records.select(*keys, "change_id", "bin").distinct()
+    sides = pairs.select("d", "p", F.explode(F.array(F.struct(F.col("i").alias("bin"), F.lit(1).alias("s")), F.struct(F.col("j").alias("bin"), F.lit(2).alias("s")))).alias("x")).select("d", "p", "x.*")
+    seen = held.join(sides, "bin").groupBy(*keys, "d", "p", "change_id").agg(F.sum("s").alias("s"))
+    return seen.select(*keys, "d", "p", "change_id", F.when(F.col("s") == 1, 1).when(F.col("s") == 3, 2).otherwise(3).alias("layer"))
+
+
+def quotas(layered: DataFrame, n_train: int, n_eval: int, keys: list[str] | None = None) -> DataFrame:
+    """keys, d, p, n1, n2, n3, t1, t2, e3, e2 (how many changes each layer gives) and ok: false where a layer holds too few."""
+    n = layered.groupBy(*(keys or []), "d", "p").agg(*(F.count_if(F.col("layer") == k).alias(f"n{k}") for k in (1, 2, 3)))
     t1 = F.when(F.col("n1") + F.col("n2") > 0, layer_quota(F.lit(float(n_train)), F.col("n1"), F.col("n2")))
     e3 = F.when(F.col("n3") + F.col("n2") > 0, layer_quota(F.lit(float(n_eval)), F.col("n3"), F.col("n2")))
     q = n.withColumns({"t1": t1, "e3": e3}).withColumns({"t2": F.lit(n_train) - F.col("t1"), "e2": F.lit(n_eval) - F.col("e3")})
     return q.withColumn("ok", F.coalesce(F.expr("t1 <= n1 and e3 <= n3 and t2 >= 0 and e2 >= 0 and t2 + e2 <= n2"), F.lit(False)))
 
 
-def split(layered: DataFrame, n_train: int, n_eval: int, repeats: int = 1, seed: int = 42) -> DataFrame:
-    """d, p, repeat, change_id, side (train or eval): changes in the order of md5(seed + repeat, id), the first ones of each layer."""
-    q = quotas(layered, n_train, n_eval).filter("ok")
-    rows = layered.join(F.broadcast(q), ["d", "p"]).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))  # a row per cell
+def split(layered: DataFrame, n_train: int, n_eval: int, repeats: int = 1, seed: int = 42, keys: list[str] | None = None) -> DataFrame:
+    """keys, d, p, repeat, change_id, side (train or eval): changes in the order of md5(seed + repeat, id), the first ones of each layer."""
+    keys = keys or []
+    q = quotas(layered, n_train, n_eval, keys).filter("ok")
+    rows = layered.join(q, [*keys, "d", "p"]).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))  # a row per cell
     draw = F.md5(F.concat_ws("-", (F.lit(seed) + F.col("repeat")).cast("string"), F.col("change_id").cast("string")))
-    order = Window.partitionBy("d", "p", "repeat", "layer").orderBy(draw, "change_id")
+    order = Window.partitionBy(*keys, "d", "p", "repeat", "layer").orderBy(draw, "change_id")
     ranked = rows.withColumn("_n", F.row_number().over(order))
     train = F.expr("(layer = 1 and _n <= t1) or (layer = 2 and _n <= t2)")
     evaluate = F.expr("(layer = 3 and _n <= e3) or (layer = 2 and _n > t2 and _n <= t2 + e2)")
-    return ranked.withColumn("side", F.when(train, "train").when(evaluate, "eval")).filter("side is not null").select("d", "p", "repeat", "change_id", "side")
+    return ranked.withColumn("side", F.when(train, "train").when(evaluate, "eval")).filter("side is not null").select(*keys, "d", "p", "repeat", "change_id", "side")
 
 
-def samples(records: DataFrame, chosen: DataFrame, pairs: DataFrame) -> DataFrame:
+def samples(records: DataFrame, chosen: DataFrame, pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The chosen changes' records: training rows of the training bin, evaluation rows of the evaluation bin; weight 1 / rows of the change in its training set."""
     sides = pairs.select("d", "p", F.explode(F.array(F.struct(F.lit("train").alias("side"), F.col("i").alias("bin")), F.struct(F.lit("eval").alias("side"), F.col("j").alias("bin")))).alias("x")).select("d", "p", "x.*")
-    rows = chosen.join(F.broadcast(sides), ["d", "p", "side"]).join(records, ["change_id", "bin"])
-    own = Window.partitionBy("d", "p", "repeat", "side", "change_id")
+    keys = keys or []
+    rows = chosen.join(sides, ["d", "p", "side"]).join(records, [*keys, "change_id", "bin"])
+    own = Window.partitionBy(*keys, "d", "p", "repeat", "side", "change_id")
     return rows.withColumn("weight", F.when(F.col("side") == "train", F.lit(1.0) / F.count("*").over(own)))

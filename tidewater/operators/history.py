@@ -46,11 +46,6 @@ def recent_merges(asked: DataFrame, events: DataFrame, key: str, lookback_days:
     return met.groupBy(key, "t").agg(F.count_if(inside).alias("_both"))
 
 
-def daily(changes: DataFrame, at: str, value, start: str | None = None) -> DataFrame:
-    """day, value summed per day: combined before any window without a key."""
-    return changes.filter(F.col(at).isNotNull()).groupBy(F.col(at).cast("date").alias("day")).agg(F.sum(value).alias("value"))
-
-
 def open_count(changes: DataFrame) -> DataFrame:
     """t, n_open at each midnight from the first creation to the last event: created at or before t, not decided by t. The window holds a row per day."""
     later = lambda c: time.first_midnight(F.col(c))

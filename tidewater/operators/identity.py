@@ -28,10 +28,13 @@ def is_automatic(tag: Column) -> Column:
 
 
 def without_bots(messages: DataFrame, bots: DataFrame, names: Column) -> DataFrame:
-    """Messages none of whose author's names (an array of strings) is in bots (identity). Bot lists are small, but not assumed to be."""
-    keyed = messages.withColumn("_id", F.monotonically_increasing_id())
-    named = keyed.select("_id", F.explode(names).alias("identity"))
-    return keyed.join(named.join(bots, "identity", "left_semi").select("_id").distinct(), "_id", "left_anti").drop("_id")
+    """Messages none of whose author's names (an array of strings) is in bots (identity). Bot lists are small, but not assumed to be.
+
+    Authors are told apart by their whole list of names, so every one is looked up once, however much they write.
+    """
+    keyed = messages.withColumn("_names", names)
+    named = keyed.select("_names").distinct().withColumn("identity", F.explode("_names"))
+    return keyed.join(named.join(bots, "identity", "left_semi").select("_names").distinct(), "_names", "left_anti").drop("_names")
 
 
 def human_messages(messages: DataFrame, bots: list[str] | None = None) -> DataFrame:
@@ -43,6 +46,11 @@ def human_messages(messages: DataFrame, bots: list[str] | None = None) -> DataFr
     return out
 
 
+def human_times(messages: DataFrame) -> DataFrame:
+    """change_number, times: when humans wrote, ascending. Needs change_number, date."""
+    return messages.filter("date is not null").groupBy("change_number").agg(F.array_sort(F.collect_list("date")).alias("times"))
+
+
 def message_rows(changes: DataFrame) -> DataFrame:
     """One row per message with its position; changes without messages give their comments."""
     own = F.when(F.size("messages") > 0, F.col("messages")).otherwise(F.flatten(F.map_values("comments")))

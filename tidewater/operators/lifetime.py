@@ -19,7 +19,7 @@ def in_cycles(changes: DataFrame, cycles: DataFrame, lookback_days: float) -> Da
     """
     listed = cycles.groupBy("project").agg(F.collect_list(F.struct("version", "cycle_start", "cycle_end")).alias("_cycles"))
     mine = F.filter("_cycles", lambda c: (F.col("created") >= c["cycle_start"] - F.make_dt_interval(days=F.lit(int(lookback_days)))) & (F.col("created") <= c["cycle_end"]))
-    rows = changes.join(F.broadcast(listed), "project")  # a row per project
+    rows = changes.join(listed, "project")  # a row per project; Spark broadcasts it if it is small
     return rows.withColumn("_c", F.explode(mine)).select(*changes.columns, "_c.version", "_c.cycle_start", "_c.cycle_end")
 
 
@@ -38,7 +38,7 @@ def undecided(pool: DataFrame) -> DataFrame:
 def first_occurrence(values: DataFrame, order: DataFrame) -> DataFrame:
     """Each change once per group, in the first release of an order (version, release_ord)."""
     first = Window.partitionBy("grp", "change_number").orderBy("release_ord")
-    return values.join(F.broadcast(order), "version").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "release_ord")  # order: a row per release
+    return values.join(order, "version").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "release_ord")  # order: a row per release
 
 
 def histogram(values: DataFrame, keys: list[str], bins: int = 50, log_bins: bool = True, min_value: float | None = None) -> DataFrame:

@@ -59,8 +59,8 @@ def class_metrics(predictions: DataFrame, keys: list[str] | None = None) -> Data
     return rows.groupBy(*keys).agg((sum(f1) / LABELS).alias("macro_f1"), (F.count_if(F.col("a") == F.col("b")) / n).alias("micro_f1"), F.when(F.min("a") < F.max("a"), 1 - F.try_divide(seen, chance)).alias("qwk"))
 
 
-#: Metrics by family; more can be added.
-FAMILIES = {"rank": rank_metrics, "regression": regression_metrics, "class": class_metrics}
+#: Metrics by family: the function, its columns, and whether it gives a row per t, of which a repeat takes the median. More can be added.
+FAMILIES = {"rank": (rank_metrics, RANK_METRICS, True), "regression": (regression_metrics, REGRESSION, False), "class": (class_metrics, CLASSES, False)}
 
 
 def long(rows: DataFrame, keys: list[str], names: tuple[str, ...]) -> DataFrame:
@@ -68,11 +68,14 @@ def long(rows: DataFrame, keys: list[str], names: tuple[str, ...]) -> DataFrame:
 
 
 def per_repeat(predictions: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """keys, metric, value: rank metrics by t and then their median, the others over a repeat's records together; nulls left out."""
-    keys = keys or CELL
-    ranked = long(rank_metrics(predictions, keys), keys, RANK_METRICS).groupBy(*keys, "metric").agg(F.median("value").alias("value"))
-    pooled = long(regression_metrics(predictions, keys), keys, REGRESSION).unionByName(long(class_metrics(predictions, keys), keys, CLASSES))
-    return ranked.unionByName(pooled).filter("value is not null")
+    """keys, metric, value of all families: those with a row per t give their median, the others take a repeat's records together; nulls left out."""
+    keys, out = keys or CELL, None
+    for measure, names, by_t in FAMILIES.values():
+        rows = long(measure(predictions, keys), keys, names)
+        if by_t:
+            rows = rows.groupBy(*keys, "metric").agg(F.median("value").alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.filter("value is not null")
 
 
 def matrices(predictions: DataFrame, keys: list[str] | None = None) -> DataFrame:

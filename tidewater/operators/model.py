@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -31,17 +31,35 @@ def scaled(rows: DataFrame, features: list[str], defaults: dict | None = None) -
     return StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(made).transform(made)
 
 
-def train_predict(samples: DataFrame, features: list[str], model: str, seed: int, trees: int = 200, log_label: bool = True) -> DataFrame:
-    """Predictions for the evaluation rows of one cell and repeat: d, p, repeat, t, change_id, y_true, y_pred."""
+def train_predict(samples: DataFrame, features: list[str], model: str, seed: int, trees: int = 200, log_label: bool = True, keys: list[str] | None = None) -> DataFrame:
+    """Predictions for the evaluation rows of one cell and repeat: keys, d, p, repeat, t, change_id, y_true, y_pred."""
     target = to_label(F.col("label")) if log_label else F.col("label")
     rows = samples.withColumn("target", target).fillna({"weight": 1.0, **dict.fromkeys(features, 0.0)})
     made = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), MODELS[model](seed, trees)]).fit(rows.filter("side = 'train'"))
     out = made.transform(rows.filter("side = 'eval'"))
     hours = from_label(F.col("prediction")) if log_label else F.col("prediction")
-    return out.select("d", "p", "repeat", "t", "change_id", F.col("label").alias("y_true"), hours.alias("y_pred"))
+    return out.select(*(keys or []), "d", "p", "repeat", "t", "change_id", F.col("label").alias("y_true"), hours.alias("y_pred"))
 
 
-def all_cells(samples: DataFrame, cells: list[tuple[int, int, int]], features: list[str], model: str, seed: int = 42, trees: int = 200) -> DataFrame:
-    """A fit per cell (d, p, repeat), each a distributed job; predictions of all cells together. The list is that of the design: cells times repeats."""
-    parts = [train_predict(samples.filter((F.col("d") == d) & (F.col("p") == p) & (F.col("repeat") == k)), features, model, seed + k, trees) for d, p, k in cells]
-    return reduce(DataFrame.unionByName, parts)
+def all_cells(samples: DataFrame, features: list[str], models: list[str], path: str, keys: list[str] | None = None, seed: int = 42, trees: int = 200, at_once: int = 4) -> DataFrame:
+    """Predictions of all cells (keys, d, p, repeat) in samples by each model: keys, model, d, p, repeat, t, change_id, y_true, y_pred.
+
+    A cell's fit is a distributed job, of which at_once run side by side; the driver holds the list of cells alone, and
+    every cell's predictions are a folder under path, so what is fitted stays when others fail. samples should be a table.
+    """
+    keys = keys or []
+    cells = samples.filter("side = 'train'").select(*keys, "d", "p", "repeat").distinct().collect()
+
+    def run(cell, name: str, number: int) -> None:
+        rows = samples
+        for k in (*keys, "d", "p", "repeat"):
+            rows = rows.filter(F.col(k) == F.lit(cell[k]))
+        out = train_predict(rows, features, name, seed + cell["repeat"], trees, keys=keys).withColumn("model", F.lit(name))
+        out.write.mode("overwrite").parquet(f"{path}/cell={number}-{name}")
+
+    with ThreadPoolExecutor(at_once) as pool:
+        for done in [pool.submit(run, c, m, k) for m in models for k, c in enumerate(sorted(cells))]:
+            done.result()
+    schema = samples.select(*keys, "d", "p", "repeat", "t", "change_id", F.col("label").alias("y_true"), F.lit(0.0).alias("y_pred"), F.lit("").alias("model")).schema
+    out = samples.sparkSession.read.schema(schema).option("recursiveFileLookup", True).parquet(path) if cells else samples.sparkSession.createDataFrame([], schema)
+    return out.select(*keys, "model", "d", "p", "repeat", "t", "change_id", "y_true", "y_pred")

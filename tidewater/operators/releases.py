@@ -54,6 +54,6 @@ def days_to_major(probes: DataFrame, releases: DataFrame, t: str = "t") -> DataF
     A component's few increment dates travel as one sorted array; a probe takes the first after its time.
     """
     dates = increments(releases).groupBy("component").agg(F.sort_array(F.collect_set("release_date")).alias("_dates"))
-    met = probes.join(F.broadcast(dates), "component", "left")  # a row per component
+    met = probes.join(dates, "component", "left")  # a row per component
     coming = F.try_element_at(F.filter("_dates", lambda d: d > F.col(t)), F.lit(1))
     return met.withColumn("days_to_major", F.when(coming.isNotNull(), F.greatest(F.lit(0.0), time.between(F.col(t), coming, "days"))).otherwise(F.lit(-1.0))).drop("_dates")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.functions import time
 from tidewater.operators.asof import in_force
 
 
@@ -19,8 +20,9 @@ def files_changed(files: Column) -> Column:
 
 def current(revisions: Column, name: Column) -> Column:
     """The named revision, else the one with the highest number, else null."""
-    ranked = F.array_sort(F.transform(F.map_entries(revisions), lambda e: F.struct(e["value"]["_number"].alias("n"), e["value"].alias("v"))))
-    return F.coalesce(F.try_element_at(revisions, name), F.when(F.size(ranked) > 0, F.element_at(ranked, -1)["v"]))
+    # Maps can't be ordered, so the numbers are, with their revisions' names.
+    ranked = F.array_max(F.transform(F.map_entries(revisions), lambda e: F.struct(e["value"]["_number"].alias("n"), e["key"].alias("k"))))
+    return F.coalesce(F.try_element_at(revisions, name), F.try_element_at(revisions, ranked["k"]))
 
 
 def state_at(probes: DataFrame, revisions: DataFrame, columns: list[str]) -> DataFrame:
@@ -34,6 +36,19 @@ def count_at(probes: DataFrame, revisions: DataFrame) -> DataFrame:
     return asked.join(revisions.select("change_number", "created"), "change_number", "left").groupBy("change_number", "t").agg(F.count_if(F.col("created") <= F.col("t")).alias("revision_count"))
 
 
+def count_with_fallback(probes: DataFrame, revisions: DataFrame, commits: DataFrame) -> DataFrame:
+    """probes (change_number, t) with revision_count: of changes with revisions, those created at or before t; of others, commit files dated so.
+
+    revisions: change_number, revision_id, created; a change without any revision may list commits under revision_id
+    with listed = true, whose dates are in commits (change_number, revision_id, commit).
+    """
+    own = revisions.filter("not listed").select("change_number", "created")
+    known = own.select("change_number").distinct()
+    dated = commit_files(revisions.filter("listed").join(known, "change_number", "left_anti"), commits)
+    other = dated.select("change_number", time.parse("committed").alias("created"))
+    return count_at(probes, own.union(other))
+
+
 def with_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """rows with lines_added, lines_deleted, files_changed of their change; 0 where missing."""
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("lines_added", "lines_deleted", "files_changed")}

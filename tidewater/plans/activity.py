@@ -239,14 +239,17 @@ def period_cohorts(spark, sf_dir):
 
 @query(COHORT + """, v as (select version, period, (epoch_us(updated) - epoch_us(created)) / 8.64e10 as value from met), r as (select *, rank() over (partition by version order by value) + (count(*) over (partition by version, value) - 1) / 2.0 as rk from v),
 t as (select version, sum(c * c * c - c)::DOUBLE as ties from (select version, value, count(*) as c from v group by all) group by all),
-u as (select version, count(*) filter (period = 'early')::DOUBLE as n1, count(*) filter (period = 'late')::DOUBLE as n2, sum(rk) filter (period = 'early')::DOUBLE as r1, avg(value) filter (period = 'early') as mean1, avg(value) filter (period = 'late') as mean2, median(value) filter (period = 'early') as median1, median(value) filter (period = 'late') as median2 from r group by all)
-select version, n1::BIGINT as n1, n2::BIGINT as n2, round(r1 - n1 * (n1 + 1) / 2, 6) as u1, round((r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / nullif(sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))), 0), 6) as z, round(mean1, 6) as mean1, round(mean2, 6) as mean2, round(median1, 6) as median1, round(median2, 6) as median2 from u join t using (version)""")
+u as (select version, count(*) filter (period = 'early')::DOUBLE as n1, count(*) filter (period = 'late')::DOUBLE as n2, sum(rk) filter (period = 'early')::DOUBLE as r1, avg(value) filter (period = 'early') as mean1, avg(value) filter (period = 'late') as mean2, median(value) filter (period = 'early') as median1, median(value) filter (period = 'late') as median2 from r group by all),
+z as (select *, (r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / nullif(sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))), 0) as z0 from u join t using (version)),
+e as (select *, abs(z0) / sqrt(2.0) as x, 1 / (1 + 0.3275911 * abs(z0) / sqrt(2.0)) as q from z),
+pv as (select *, ((((1.061405429 * q - 1.453152027) * q + 1.421413741) * q - 0.284496736) * q + 0.254829592) * q * exp(-x * x) as pv from e)
+select version, round(pv, 6) as p_value, pv < 0.05 as differ, n1::BIGINT as n1, n2::BIGINT as n2, round(r1 - n1 * (n1 + 1) / 2, 6) as u1, round(z0, 6) as z, round(mean1, 6) as mean1, round(mean2, 6) as mean2, round(median1, 6) as median1, round(median2, 6) as median2 from pv""")
 def mann_whitney(spark, sf_dir):
     from tidewater.functions import time
 
     rows = _cohorts(spark, sf_dir).withColumn("value", time.between("created", "updated", "days"))
     out = cohorts.mann_whitney(rows, ["version"], "period", "early", "late")
-    return out.select("version", "n1", "n2", *r6("u1", "z", "mean1", "mean2", "median1", "median2"))
+    return out.select("version", "n1", "n2", "differ", *r6("p_value", "u1", "z", "mean1", "mean2", "median1", "median2"))
 
 
 @query("select o_orderpriority as project, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 6) as percent from orders group by 1")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.operators import changes, dataset, distribution, drift, lifetime, metrics
+from tidewater.operators import changes, dataset, distribution, drift, lifetime, metrics, model
+from tidewater.sources import sinks
 
 
 def lifetimes(all_changes: DataFrame, cycles: DataFrame, lookback_days: int = 365, bins: int = 50, unit: str = "days") -> dict[str, DataFrame]:
@@ -37,12 +38,37 @@ def records(all_changes: DataFrame, cycles: DataFrame, features, label: str = "t
     """
     span = F.col("cycle_start") - (F.col("cycle_end") - F.col("cycle_start"))
     listed = cycles.groupBy("project").agg(F.collect_list(F.struct("version", "cycle_start", "cycle_end")).alias("_c"))
-    pool = all_changes.join(F.broadcast(listed), "project").withColumn("_c", F.explode("_c")).select(*all_changes.columns, "_c.*")  # a row per project
+    pool = all_changes.join(listed, "project").withColumn("_c", F.explode("_c")).select(*all_changes.columns, "_c.*")  # a row per project
     pool = pool.filter((F.col("created") >= span) & (F.col("created") <= F.col("cycle_end")))
     open_ = changes.active_days(pool, span, F.col("cycle_end"), None)
     return dataset.with_bins(dataset.labelled(features(open_), label, unit), F.col("cycle_start"), F.col("cycle_end"), bins)
 
 
+def analyze(all_changes: DataFrame, cycles: DataFrame, features, names: list[str], path: str, models: tuple[str, ...] = ("gradient_boosting", "random_forest"), label: str = "time_to_next_review",
+            n_train: int = 400, n_eval: int = 100, repeats: int = 10, bins: int = 6, trees: int = 200, permutations: int = 1000, alpha: float = 0.05, seed: int = 42) -> dict[str, DataFrame]:
+    """The drift analysis of all models, releases and metrics: predictions, matrix, relative, tests, found, count (of releases, by model and metric).
+
+    features gives (change, t) rows the columns in names. Records, samples and predictions are tables under path; what
+    comes of them is written there too. A release without enough changes for a cell has no predictions there.
+    """
+    spark, keys = all_changes.sparkSession, ["version"]
+    rows = records(all_changes, cycles, features, label, "hours", bins).withColumnRenamed("change_number", "change_id")
+    rows.write.mode("overwrite").parquet(f"{path}/records")
+    rows = spark.read.schema(rows.schema).parquet(f"{path}/records")
+    pairs = spark.createDataFrame([(d, p, i, j) for p, d, i, j in dataset.cells(bins)], "d int, p int, i int, j int")
+    chosen = dataset.split(dataset.layers(rows, pairs, keys), n_train, n_eval, repeats, seed, keys)
+    made = dataset.samples(rows, chosen, pairs, keys)
+    made.write.mode("overwrite").parquet(f"{path}/samples")
+    made = spark.read.schema(made.schema).parquet(f"{path}/samples")
+    predictions = model.all_cells(made, names, list(models), f"{path}/predictions", keys, seed, trees)
+    out = recompute(predictions, ["model", "version"], permutations, alpha)
+    out["count"] = drift.drift_count(out["found"], ["model", "metric"])
+    sinks.table(out["matrix"], f"{path}/matrix")
+    sinks.drift_test(out["tests"], f"{path}/tests")
+    sinks.drift_count(out["found"], out["count"], f"{path}/count")
+    return {"predictions": predictions, **out}
+
+
 def recompute(predictions: DataFrame, keys: list[str] | None = None, permutations: int = 1000, alpha: float = 0.05) -> dict[str, DataFrame]:
     """Matrices, tests, findings and counts from saved predictions, without any model. keys: what tells runs apart (a model, a release)."""
     keys = keys or []

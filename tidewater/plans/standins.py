@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.changes import decision_time
 from tidewater.operators.releases import cycles as cycles_of
 
 # A calendar of releases: half-yearly ones, a minor one, a release candidate, and one whose version contradicts its date.
@@ -29,7 +30,7 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     status = F.when(F.col("o_orderstatus") == "F", "MERGED").when(F.col("o_orderstatus") == "P", "ABANDONED").otherwise("NEW")
     rows = rows.select(F.col("o_orderkey").alias("change_number"), F.col("o_custkey").alias("owner_id"), F.col("o_orderdate").alias("created"), "updated", status.alias("status"), F.lit(PROJECT).alias("project"))
-    return rows.withColumn("decision_time", F.when(F.col("status") != "NEW", F.col("updated")))
+    return rows.withColumn("decision_time", decision_time(F.col("status"), F.col("updated")))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

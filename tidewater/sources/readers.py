@@ -91,6 +91,6 @@ def matrix(spark: SparkSession, path: str) -> DataFrame:
 def deliverables(spark: SparkSession, path: str, repositories: DataFrame) -> DataFrame:
     """component, version, release_date, release_notes_url of deliverables that list the repository (repositories: component, repo), newest first."""
     docs = spark.read.schema(schema.DELIVERABLE).json(path)
-    rows = docs.join(F.broadcast(repositories), "component").select("component", "repo", F.explode("releases").alias("r"))
+    rows = docs.join(repositories, "component").select("component", "repo", F.explode("releases").alias("r"))
     mine = rows.filter(F.exists("r.projects", lambda p: p["repo"] == F.col("repo")))
     return mine.select("component", F.col("r.version").alias("version"), time.parse(F.col("r.date")).alias("release_date"), F.col("r.notes_url").alias("release_notes_url")).orderBy("component", F.desc("release_date"))

@@ -37,16 +37,33 @@ def wide(matrix: DataFrame, positions: int) -> DataFrame:
     return matrix.groupBy("metric", "d").pivot("p", list(range(1, positions + 1))).agg(F.first("value")).withColumnsRenamed({str(p): f"p{p}" for p in range(1, positions + 1)})
 
 
+def nested(matrix: DataFrame, positions: int) -> DataFrame:
+    """metric, value, iqr (rows by distance, columns by position from 1, gaps null), per_repeat (a list of repeats in each place)."""
+    cells = F.sequence(F.lit(1), F.lit(positions))
+    rows = matrix.groupBy("metric", "d").agg(F.map_from_entries(F.collect_list(F.struct("p", F.struct("value", "iqr", "per_repeat")))).alias("_at"))
+    row = lambda f: F.transform(cells, lambda p: F.try_element_at("_at", p)[f]).alias(f)
+    rows = rows.select("metric", "d", row("value"), row("iqr"), row("per_repeat"))
+    by_d = rows.groupBy("metric").agg(F.map_from_entries(F.collect_list(F.struct("d", F.struct("value", "iqr", "per_repeat")))).alias("_at"), F.max("d").alias("_n"))
+    line = lambda f: F.transform(F.sequence(F.lit(1), F.col("_n").cast("int")), lambda d: F.try_element_at("_at", d)[f]).alias(f)
+    return by_d.select("metric", line("value"), line("iqr"), line("per_repeat"))
+
+
 def drift_matrix(matrix: DataFrame, path: str, positions: int) -> None:
     matrix.select("metric", F.col("d").alias("distance"), F.col("p").alias("position"), "value").write.mode("overwrite").partitionBy("metric").option("header", True).csv(f"{path}/long")
     wide(matrix, positions).write.mode("overwrite").partitionBy("metric").option("header", True).csv(f"{path}/wide")
-    matrix.write.mode("overwrite").json(f"{path}/json")
+    nested(matrix, positions).write.mode("overwrite").partitionBy("metric").json(f"{path}/json")
 
 
 def drift_test(tests: DataFrame, path: str) -> None:
     tests.write.mode("overwrite").json(path)
 
 
+def drift_count(found: DataFrame, counts: DataFrame, path: str) -> None:
+    """What was found by release, as CSV, and how many releases show drift (a row per metric), as JSON."""
+    found.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    counts.write.mode("overwrite").json(f"{path}/json")
+
+
 def predictions(rows: DataFrame, path: str, meta: dict, form: str = "csv") -> bool:
     """Nothing is written without predictions."""
     if rows.isEmpty():
