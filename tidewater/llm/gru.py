@@ -13,7 +13,9 @@ import numpy as np
 
 HIDDEN = 16
 STEPS = 16
-LANES = 256
+LANES = 256  # in scoring
+WEIGHTS_PER_LANE = 800
+ROWS = 2048  # logits at once
 SLOW = {"bc": 0.1, "bw": 0.1}  # biases start where they belong, as those of the unigram model
 
 
@@ -85,14 +87,17 @@ def log_likelihood(w: dict, at: np.ndarray, h: np.ndarray, target: np.ndarray, g
     kind = np.repeat(np.arange(len(at) - 1), np.diff(at))[target]
     order = np.argsort(kind.astype(np.int16), kind="stable")
     h, target, kind, each = h[order], target[order], kind[order], np.arange(len(h))
-    p, total = _exp(h @ w["wc"] + w["bc"])
-    share = p[each, kind] / total
-    if grad is not None:
-        p *= (1 / total)[:, None]
-        p[each, kind] -= 1
-        grad["wc"] += h.T @ p
-        grad["bc"] += np.ones(len(p), p.dtype) @ p
-        back = p @ w["wc"].T
+    share, back = np.empty(len(h), np.float32), np.empty_like(h)
+    for i in range(0, len(h), ROWS):
+        own, want = h[i : i + ROWS], (each[: len(h[i : i + ROWS])], kind[i : i + ROWS])
+        p, total = _exp(own @ w["wc"] + w["bc"])
+        share[i : i + ROWS] = p[want] / total
+        if grad is not None:
+            p *= (1 / total)[:, None]
+            p[want] -= 1
+            grad["wc"] += own.T @ p
+            grad["bc"] += np.ones(len(p), p.dtype) @ p
+            back[i : i + ROWS] = p @ w["wc"].T
     edge = np.searchsorted(kind, np.arange(len(at)))
     for c in np.flatnonzero(np.diff(edge)).tolist():
         i, j, first, last = int(at[c]), int(at[c + 1]), int(edge[c]), int(edge[c + 1])
@@ -116,9 +121,9 @@ def log_likelihood(w: dict, at: np.ndarray, h: np.ndarray, target: np.ndarray, g
 
 
 def gradients(w: dict, at: np.ndarray, inputs: np.ndarray, targets: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
-    """Gradients of one window by backpropagation through its steps; the last state; the log likelihood."""
+    """Gradients of one window by backpropagation through its steps, that of embed as (rows, values); the last state; the log likelihood."""
     x, before, gates, un, n, after = run(w, inputs, keep, h)
-    grad = {k: np.zeros_like(v) for k, v in w.items()}
+    grad = {k: np.zeros_like(v) for k, v in w.items() if k != "embed"}
     total = float(log_likelihood(w, at, after.reshape(-1, HIDDEN), targets.ravel(), grad).sum())
     out = grad.pop("h").reshape(after.shape)
     da, du = np.empty((*inputs.shape, 3 * HIDDEN), np.float32), np.empty((*inputs.shape, 3 * HIDDEN), np.float32)
@@ -140,7 +145,7 @@ def gradients(w: dict, at: np.ndarray, inputs: np.ndarray, targets: np.ndarray,
     dx, token = flat @ w["wx"].T, inputs.ravel()
     order = np.argsort(token, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1]]))
-    grad["embed"][token[order][first]] = np.add.reduceat(dx[order], first)
+    grad["embed"] = token[order][first], np.add.reduceat(dx[order], first)
     return grad, after[-1], total
 
 
@@ -150,11 +155,13 @@ class Learner:
     def __init__(self, weights: dict, at: np.ndarray, rate: float):
         self.weights, self.at, self.rate, self.seen = {k: v.copy() for k, v in weights.items()}, at, rate, 0
         self.squares = {k: np.full_like(v, 1e-2) for k, v in weights.items()}
+        # Larger models read more at once, so that their updates stay in proportion to what they read.
+        self.lanes = int(np.clip(sum(v.size for v in weights.values()) // WEIGHTS_PER_LANE, 32, 4096))
 
     def learn(self, stream: np.ndarray) -> None:
         if len(stream) < 2:
             return
-        lanes = max(1, min(LANES, len(stream) // STEPS))
+        lanes = max(1, min(self.lanes, len(stream) // STEPS))
         steps = -(-(len(stream) - 1) // lanes)
         # Each lane reads its part of the stream; where the parts don't come out even, lanes share a few tokens.
         at = np.linspace(0, len(stream) - 1 - steps, lanes).astype(np.int64) + np.arange(steps)[:, None]
@@ -162,13 +169,19 @@ class Learner:
         for k in range(0, steps, STEPS):
             i, o = inputs[k : k + STEPS], targets[k : k + STEPS]
             grad, h, _ = gradients(self.weights, self.at, i, o, (i != 0).astype(np.float32), h)
+            rows, values = grad.pop("embed")
+            grad["embed"] = values
             for name, g in grad.items():
+                part = rows if name == "embed" else slice(None)
                 g *= 16 / i.size
                 np.clip(g, -1, 1, out=g)
-                self.squares[name] += g * g
-                g /= np.sqrt(self.squares[name])
+                seen = self.squares[name][part]
+                seen += g * g
+                if name == "embed":
+                    self.squares[name][part] = seen
+                g /= np.sqrt(seen)
                 g *= self.rate * SLOW.get(name, 1.0)
-                self.weights[name] -= g
+                self.weights[name][part] -= g
             self.seen += i.size
 
 
