@@ -74,8 +74,28 @@ def run(w: dict, tokens: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple:
     return x, before, gates, un, n, after
 
 
+def states(table: np.ndarray, wh: np.ndarray, tokens: np.ndarray, keep: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """What run() gives last, without what training needs. table: embed @ wx + b, a row per token."""
+    after = np.empty((*tokens.shape, HIDDEN), np.float32)
+    for t in range(len(tokens)):
+        a = table[tokens[t]]
+        h = h * keep[t][:, None]
+        u = h @ wh
+        g = a[:, : 2 * HIDDEN]
+        g += u[:, : 2 * HIDDEN]
+        g = _sigmoid(g)
+        c = g[:, :HIDDEN] * u[:, 2 * HIDDEN :]
+        c += a[:, 2 * HIDDEN :]
+        np.tanh(c, out=c)
+        h -= c
+        h *= g[:, HIDDEN:]
+        h += c
+        after[t] = h
+    return after
+
+
 def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of logits, in place, and its sums by row. States lie in (-1, 1), so logits need no shift; the bounds keep float32 finite."""
+    """exp of logits, in place, and its sums by row. States lie in (-1, 1), so logits need no shift; the bounds keep float32 finite and away from its slow smallest numbers."""
     np.clip(x, -60, 60, out=x)
     np.exp(x, out=x)
     return x, x @ np.ones(x.shape[1], x.dtype)
@@ -113,7 +133,7 @@ def log_likelihood(w: dict, at: np.ndarray, h: np.ndarray, target: np.ndarray, g
             grad["bw"][i:j] += np.ones(len(p), p.dtype) @ p
             back[first:last] += p @ w["ww"][:, i:j].T
     out = np.empty(len(order))
-    out[order] = np.log(share)
+    out[order] = np.log(np.maximum(share, np.float32(1e-37)))
     if grad is not None:
         grad["h"] = np.empty_like(back)
         grad["h"][order] = back
@@ -129,15 +149,23 @@ def gradients(w: dict, at: np.ndarray, inputs: np.ndarray, targets: np.ndarray,
     da, du = np.empty((*inputs.shape, 3 * HIDDEN), np.float32), np.empty((*inputs.shape, 3 * HIDDEN), np.float32)
     dh, wht = np.zeros_like(h), w["wh"].T.copy()
     for t in range(len(inputs) - 1, -1, -1):
-        dh = dh + out[t]
+        dh += out[t]
         r, z, c = gates[t, :, :HIDDEN], gates[t, :, HIDDEN:], n[t]
-        dc = dh * (1 - z) * (1 - c * c)
-        da[t, :, :HIDDEN] = dc * un[t] * r * (1 - r)
-        da[t, :, HIDDEN : 2 * HIDDEN] = dh * (before[t] - c) * z * (1 - z)
+        open_ = 1 - z
+        dc = dh * open_
+        dc *= 1 - c * c
+        dr = dc * r
+        both = dh * open_
+        both *= z
+        both *= before[t] - c
+        da[t, :, :HIDDEN] = dr * un[t] * (1 - r)
+        da[t, :, HIDDEN : 2 * HIDDEN] = both
         da[t, :, 2 * HIDDEN :] = dc
         du[t, :, : 2 * HIDDEN] = da[t, :, : 2 * HIDDEN]
-        du[t, :, 2 * HIDDEN :] = dc * r
-        dh = (dh * z + du[t] @ wht) * keep[t][:, None]
+        du[t, :, 2 * HIDDEN :] = dr
+        dh *= z
+        dh += du[t] @ wht
+        dh *= keep[t][:, None]
     flat = da.reshape(-1, 3 * HIDDEN)
     grad["wh"] = before.reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
     grad["wx"] = x.reshape(-1, HIDDEN).T @ flat
@@ -208,13 +236,13 @@ def score(w: dict, at: np.ndarray, documents: list[np.ndarray]) -> np.ndarray:
             t += n + 1
     inputs = np.zeros_like(target)
     inputs[1:] = np.where(first[1:], 0, target[:-1])
-    out, h = np.zeros(len(documents)), np.zeros((lanes, HIDDEN), np.float32)
+    out, h, table = np.zeros(len(documents)), np.zeros((lanes, HIDDEN), np.float32), w["embed"] @ w["wx"] + w["b"]
     wide = 4 * STEPS
     for k in range(0, longest, wide):
         # Lanes are in the order of their loads: those that still have tokens come first.
         n = int(np.searchsorted(-load, -k))
         last = min(k + wide, longest)
-        after = run(w, inputs[k:last, :n], (~first[k:last, :n]).astype(np.float32), h[:n])[-1]
+        after = states(table, w["wh"], inputs[k:last, :n], (~first[k:last, :n]).astype(np.float32), h[:n])
         h = after[-1]
         live = (np.arange(k, last)[:, None] < load[None, :n]).ravel()
         p = log_likelihood(w, at, after.reshape(-1, HIDDEN)[live], target[k:last, :n].ravel()[live])
