@@ -3,6 +3,8 @@ import math
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidewater.llm import html_text as H
 
 SCHEMA = "page_id long, url string, html string, text int, n_chars string"
@@ -80,3 +82,45 @@ def test_training_pages_are_pages_that_label_themselves(spark):
     rows = [(k, "u", ARTICLE if k in (70, 71) else "<p>a</p>" if k % 2 else ARTICLE + ARTICLE, 0, "x") for k in range(100)] + [(None, "u", ARTICLE, 0, "x")]
     pages = spark.createDataFrame(rows, SCHEMA)
     assert sorted(r.page_id for r in H.self_labelling(pages).collect()) == [70, 71]
+
+
+def test_parsing_takes_time_in_proportion_to_the_page():
+    import time
+
+    n = 60_000
+    pages = ["<a " * n, "<p " * n + ">", '<a href="' * n, "</x>" * n, "<b>" * n + "<div></div>" * n, "<b>" * n + "</i>" * n, "<ul><li>" * n, "<!" * n, "<script>" * n, "<li>" + "<ul><div>" * 100 + "<li></li>" * n, "<a '\">" * n, "x<" * n]
+    for page in pages:
+        begin = time.time()
+        H.Page(page)
+        assert time.time() - begin < 4, page[:40]
+
+
+def test_what_is_open_at_the_end_of_a_page():
+    show = lambda t: "|".join(x for _, x in H.Page(t).lines(lambda k: True))
+    assert show("<p>a<script>var b = '<p>'; c") == "a"
+    assert show("<p>a<!-- <b>never closed") == "a"
+    assert show("<p>a<p>b</x></p>c <i") == "a|b|c <i"
+    assert show("<ul><li>a<li>b<ul><li>c</ul>d<li>e</ul>") == "a|b|c|d|e"
+    assert show("<table><tr><td>a<td>b<tr><td>c</table>d") == "a|b|c|d"
+
+
+def test_articles_keep_their_headers_bylines_and_formulas(spark):
+    inside = "<header><h1>Title of it</h1></header><p class='byline'>By somebody, today.</p><p>A long sentence that tells of <math><mi>x</mi></math> and more.</p><footer>Written in spring.</footer>"
+    page = f"<body><header><a href='/'>Home</a></header><nav><a href='/b'>B</a></nav><article>{inside}</article><footer>All rights</footer></body>"
+    df = spark.createDataFrame([(k, "u", page) for k in range(5)], "page_id long, url string, html string")
+    assert {r.text for r in H.extract(df).collect()} == {"Title of it\nBy somebody, today.\nA long sentence that tells of x and more.\nWritten in spring."}
+
+
+def test_held_out_pages_without_marks(spark):
+    """Half of the pages, with their article's lines as labels and no article element, train the model; it finds the lines of the other half."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    bare = pages.withColumn("html", F.regexp_replace("html", "(?i)<(/?)article", "<$1div"))
+    truth = {r.page_id: H.marked_main(H.Page(r.html)) for r in pages.collect()}
+    labels = spark.createDataFrame([(k, "\n".join(v)) for k, v in truth.items() if v is not None and k % 2], "page_id long, main string")
+    out = H.extract(bare.filter("page_id % 2 = 0"), bare.join(labels, "page_id").select("html", "main"))
+    found = wanted = both = 0
+    for r in out.collect():
+        got, want = set(r.text.split("\n")), set(truth[r.page_id] or [])
+        found, wanted, both = found + len(got), wanted + len(want), both + len(got & want)
+    print("precision", both / found, "recall", both / wanted)
+    assert both / found > 0.95 and both / wanted > 0.95

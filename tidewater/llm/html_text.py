@@ -14,7 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidewater.llm import words
 
 # Element names of HTML, by what they do here.
-RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "head", "textarea", "select", "canvas", "audio", "video")
+RAW = ("script", "style", "noscript", "template", "iframe", "svg", "object", "head", "textarea", "select", "canvas", "audio", "video")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 TEXTS = set("p blockquote pre figcaption caption summary".split())
@@ -37,16 +37,17 @@ CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td
 KEEPS_OPEN = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}}
 # Words in class, id and role that name page furniture.
 HINTS = set(
-    "ad ads advert adverts advertisement advertising adsense adslot banner billboard breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disqus "
+    "ad ads advert adverts advertisement advertising adsense adslot banner billboard breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus "
     "disclaimer feedback footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain pager pagination paywall "
     "popup promo promoted promotion recommended related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar "
     "topbar widget widgets warning alert alerts contentinfo complementary".split()
 )
 
+# Possessive where a second try could only fail again; cut marks what runs to the end of the page.
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<raw>"""
+    r"""<!--.*?(?:-->|(?P<cut>\Z))|<[!?][^>]*+>|<(?P<raw>"""
     + "|".join(RAW)
-    + r""")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^>]*>""",
+    + r""")\b[^>]*+>.*?(?:</(?P=raw)\s*+>|(?P<cut_raw>\Z))|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+>""",
     re.S | re.I,
 )
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -65,10 +66,34 @@ class Page:
         self.size, self.linked, self.own, self.marks = [0], [0], [0], [0]
         wraps, mains = [False], [False]
         stack, block, links, at = [("#root", 0)], 0, 0, 0
-        for m in TOKEN.finditer(text):
+        # Where elements of each name are open, and where blocks other than p are: no end tag or start tag searches the stack.
+        where: dict[str, list[int]] = defaultdict(list)
+        blocks: list[int] = []
+
+        def last(names) -> int:
+            return max((where[n][-1] for n in names if where.get(n)), default=0)
+
+        def close(k: int) -> bool:
+            """Closes the k-th open element and all within it; tells whether one of them is a block."""
+            nonlocal links
+            found = False
+            for n, _ in reversed(stack[k:]):
+                where[n].pop()
+                links -= n == "a"
+                if n in BLOCKS:
+                    found = True
+                    if n != "p":
+                        blocks.pop()
+            del stack[k:]
+            return found
+
+        # Behind the last > nothing can be a tag.
+        for m in TOKEN.finditer(text, 0, text.rfind(">") + 1):
             if m.start() > at:
                 self.put(block, stack[-1][1], text[at : m.start()], links)
             at, name = m.end(), (m["name"] or "").lower()
+            if m["cut"] is not None or m["cut_raw"] is not None:
+                at = len(text)
             if not name:
                 continue
             if name in BLOCKS:
@@ -76,26 +101,22 @@ class Page:
             if name == "br":
                 self.pieces.append((block, stack[-1][1], " "))
             if m["end"]:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-                if k:
-                    links -= sum(n == "a" for n, _ in stack[k:])
-                    block += any(n in BLOCKS for n, _ in stack[k:])
-                    del stack[k:]
+                if where.get(name):
+                    block += close(where[name][-1])
                 continue
-            shut = {"p"} if name in BLOCKS else CLOSES.get(name, ())
-            for names, stop in ((shut, BLOCKS - {"p"}), (CLOSES.get(name, ()), KEEPS_OPEN.get(name, {"select"}))):
-                if names:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] in names:
-                            links -= sum(n == "a" for n, _ in stack[k:])
-                            del stack[k:]
-                        elif stack[k][0] in stop:
-                            break
+            if name in BLOCKS:
+                while (k := last(("p",))) > (blocks[-1] if blocks else 0):
+                    close(k)
+            if name in CLOSES:
+                while (k := last(CLOSES[name])) > last(KEEPS_OPEN.get(name, ("select",))):
+                    close(k)
             if name in VOID:
                 continue
             attributes = m["attributes"]
             named = name not in ("html", "body") and self.hinted(attributes)
-            hint = name in FURNITURE or name not in MAINS and named
+            # An article has a header and a footer of its own.
+            own = name in ("header", "footer") and bool(where.get("article") or where.get("main"))
+            hint = name in FURNITURE and not own or name not in MAINS and named
             node = stack[-1][1]
             if name in BLOCKS or hint:
                 node = len(self.parent)
@@ -107,6 +128,9 @@ class Page:
                 for x in (self.size, self.linked, self.own, self.marks):
                     x.append(0)
             if not attributes.endswith("/"):
+                where[name].append(len(stack))
+                if name in BLOCKS and name != "p":
+                    blocks.append(len(stack))
                 stack.append((name, node))
                 links += name == "a"
         if at < len(text):
