@@ -61,3 +61,14 @@ def test_letters_tell_numbers_apart():
         text, width = phrases.letters(np.arange(0, top + 1, max(1, top // 50)))
         found = [text[k : k + width] for k in range(0, len(text), width)]
         assert len(set(found)) == len(found)
+
+
+@pytest.mark.parametrize("block", [4 << 20, 900])
+def test_windows_whose_keys_collide_are_told_apart(spark, monkeypatch, block):
+    """Keys of windows are cut to a few bits, so that very many different windows share one."""
+    rows = made(5)
+    docs = spark.createDataFrame([(d, t, "en", "kept?", 1) for d, t in rows], SCHEMA).coalesce(2)
+    monkeypatch.setattr(phrases, "KEYS", np.uint64(0b110 | 3 << 40))
+    monkeypatch.setattr(phrases, "BLOCK", block)
+    out = phrases.repeated_windows_removed(docs, 6)
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, r.text) for r in out.collect()], key=str) == brute(rows, 6)

@@ -4,7 +4,8 @@
    word sequences; neighbouring windows mostly share it, and equal windows always do. Blocks send their distinct marks
    to buckets, which answer with those that more than one document holds.
 2. Windows with such a mark are confirmed: blocks send their hashes, with the smallest and largest document of the
-   block that holds them, and buckets answer with the smallest document of all blocks.
+   block that holds them, and buckets answer with the smallest document of all blocks. A hash is 63 bits and 32 bits of
+   another one, so among n windows about n * n / 2^96 pairs are taken for equal that aren't: 0.001 among 10^13.
 3. Each block is a shard: of every run of repeated windows it takes just as many passages as cover the run, compiles
    them into one Aho-Corasick automaton, over a few letters per word, and streams all its documents through it. Every
    occurrence after the passage's first document is removed.
@@ -33,6 +34,8 @@ BLOCK = 4 << 20
 SHORT = 5
 LETTERS = 64
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: after all others
+KEYS = np.uint64((1 << 64) - 1)  # the bits of a window's hash that are its key; fewer in tests
+_CHECK = np.uint64(0xA0761D6478BD642F)
 _FAST, _SMALL = (pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=k)) for k in (1, 6))
 PACKED = "kind int, block long, bucket long, payload binary"
 
@@ -58,17 +61,34 @@ def rows(kind: int, block, bucket, payload: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(block, pa.int64()), pa.array(bucket, pa.int64()), pa.array(payload, pa.binary())], ["kind", "block", "bucket", "payload"])
 
 
-def question(key: np.ndarray, low: np.ndarray) -> bytes:
+def question(key: np.ndarray, check: np.ndarray, low: np.ndarray) -> bytes:
     """Windows in the order of their first documents: hashes as they are, documents as packed differences."""
     packed = pa.compress(np.diff(low, prepend=0).astype(np.int64), codec="zstd", asbytes=True) if len(key) else b""
-    return np.int64(len(key)).tobytes() + key.tobytes() + packed
+    return answer(key, check) + packed
 
 
-def asked_of(payload: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+def asked_of(payload: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = payload.as_buffer()
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    low = np.cumsum(np.frombuffer(pa.decompress(raw.slice(8 + 8 * n), 8 * n, codec="zstd"), np.int64)) if n else np.zeros(0, np.int64)
-    return np.frombuffer(raw, np.uint64, n, 8), low
+    low = np.cumsum(np.frombuffer(pa.decompress(raw.slice(8 + 12 * n), 8 * n, codec="zstd"), np.int64)) if n else np.zeros(0, np.int64)
+    return np.frombuffer(raw, np.uint64, n, 8), np.frombuffer(raw, np.uint32, n, 8 + 8 * n), low
+
+
+def answer(key: np.ndarray, check: np.ndarray) -> bytes:
+    return np.int64(len(key)).tobytes() + key.tobytes() + check.tobytes()
+
+
+def answered_of(payloads: list[pa.Scalar]) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of all answers, sorted."""
+    key, check = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+    for p in payloads:
+        raw = p.as_buffer()
+        n = int(np.frombuffer(raw, np.int64, 1)[0])
+        key.append(np.frombuffer(raw, np.uint64, n, 8))
+        check.append(np.frombuffer(raw, np.uint32, n, 8 + 8 * n))
+    key, check = np.concatenate(key), np.concatenate(check)
+    order = np.argsort(key, kind="stable")
+    return key[order], check[order]
 
 
 def dealt(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +101,7 @@ def dealt(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 class Block:
     """Words, windows and marks of the documents of one block."""
 
-    def __init__(self, batch: pa.RecordBatch, size: int):
+    def __init__(self, batch: pa.RecordBatch, size: int, keys: np.uint64 = KEYS):
         self.batch, self.size = batch, size
         ids = batch.column("doc_id")
         self.doc_id = ids.fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -89,6 +109,7 @@ class Block:
         self.starts, self.ends, self.first = words.spans(self.raw, at)
         self.word = words.hash_spans(self.raw, self.starts, self.ends)
         self.window, self.inside = words.windows(self.word, self.first, size)
+        self.window &= keys
         self.doc = np.repeat(self.doc_id, np.diff(self.first))
 
     def marks(self) -> np.ndarray:
@@ -100,18 +121,36 @@ class Block:
             out[: len(h) - k] = np.minimum(out[: len(h) - k], h[k:])
         return out
 
-    def first_last(self, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys at the given words, with the smallest and largest document that holds them."""
-        order = np.argsort(key[at], kind="stable")
-        k, d = key[at][order], self.doc[at][order]
-        new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-        return (k[new], np.minimum.reduceat(d, new), np.maximum.reduceat(d, new)) if len(k) else (k, d, d)
-
-    def passages(self, answer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def checks(self, at: np.ndarray) -> np.ndarray:
+        """32 more bits of the windows at the given words, mixed in another way."""
+        out = np.full(len(at), self.size, np.uint64)
+        for k in range(self.size):
+            out = words.mix(out + words.mix(self.word[at + k] ^ _CHECK))
+        return (out >> np.uint64(32)).astype(np.uint32)
+
+    def first_last(self, at: np.ndarray, key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct windows at the given words (keys with the lowest bit set, checks), or distinct given keys, with the smallest and largest document that holds each."""
+        check = self.checks(at) if key is None else np.zeros(len(at), np.uint32)
+        k = (self.window | np.uint64(1) if key is None else key)[at]
+        order = np.lexsort((check, k)) if key is None else np.argsort(k, kind="stable")
+        k, check, d = k[order], check[order], self.doc[at][order]
+        if not len(k):
+            return k, check, d, d
+        new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (check[1:] != check[:-1])]))
+        return k[new], check[new], np.minimum.reduceat(d, new), np.maximum.reduceat(d, new)
+
+    def passages(self, answer: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Windows that cover every run of repeated windows, given the confirmed ones (sorted); with each, the document of this block that keeps it, or one before all."""
-        key = answer | np.uint64(1)
-        place = np.minimum(np.searchsorted(key, self.window | np.uint64(1)), len(key) - 1)
-        found = np.flatnonzero(self.inside & (key[place] == self.window | np.uint64(1)) if len(key) else np.zeros(len(self.window), bool))
+        key, n = answer | np.uint64(1), len(self.window)
+        place = np.searchsorted(key, self.window | np.uint64(1))
+        found = np.flatnonzero(self.inside & (key[np.minimum(place, len(key) - 1)] == self.window | np.uint64(1)) if len(key) else np.zeros(n, bool))
+        own, hit, first = self.checks(found), np.zeros(len(found), bool), place.copy()
+        # Answers that share a key lie side by side and differ in their checks.
+        for k in range(int(np.unique(key, return_counts=True)[1].max()) if len(key) else 0):
+            at = np.minimum(first[found] + k, len(key) - 1)
+            new = ~hit & (key[at] == self.window[found] | np.uint64(1)) & (check[at] == own)
+            place[found[new]], hit = at[new], hit | new
+        found = found[hit]
         least = np.full(len(key), LAST)
         np.minimum.at(least, place[found], self.doc[found])
         least[(answer & np.uint64(1)) == 1] = np.iinfo(np.int64).min
@@ -127,13 +166,13 @@ class Block:
         last = np.zeros(len(begin), np.int64)
         np.maximum.at(last, run[at], at)
         take = at[((at - begin[run[at]]) % self.size == 0) | (at == last[run[at]])]
-        _, one = np.unique(self.window[take], return_index=True)
+        _, one = np.unique(place[take], return_index=True)
         return take[one], least[place[take[one]]]
 
-    def removed(self, answer: np.ndarray) -> np.ndarray:
+    def removed(self, answer: np.ndarray, check: np.ndarray) -> np.ndarray:
         """Which words are covered: all occurrences of the passages, by an automaton over the letters of words."""
         gone = np.zeros(len(self.word) + 1, np.int64)
-        at, least = self.passages(answer) if len(answer) and len(self.word) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        at, least = self.passages(answer, check) if len(answer) and len(self.word) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         if len(at):
             _, number = np.unique(self.word, return_inverse=True)
             text, width = letters(number)
@@ -192,9 +231,9 @@ def repeated_windows_removed(documents: DataFrame, size: int = 13, keep_clean: b
         base, n = TaskContext.get().partitionId() << 24, 0
         for batch in batches:
             for part in words.slices(batch, batch.schema.get_field_index("text"), BLOCK):
-                block = Block(part, size)
+                block = Block(part, size, KEYS)
                 # The lowest bit of a mark tells whether two documents of the block hold it.
-                key, low, high = block.first_last(block.marks() | np.uint64(1), np.flatnonzero(block.inside))
+                key, _, low, high = block.first_last(np.flatnonzero(block.inside), block.marks() | np.uint64(1))
                 key = key ^ (low == high).astype(np.uint64)
                 order, at = dealt(key, buckets)
                 yield rows(0, [base + n], [0], [pack(part, small=True)])
@@ -216,7 +255,7 @@ def repeated_windows_removed(documents: DataFrame, size: int = 13, keep_clean: b
         for part, at in whole_groups(batches, ["block"], 1):
             payload = part["payload"].combine_chunks()
             for first, last in zip(at[:-1], at[1:]):
-                yield part["block"][first].as_py(), Block(unpack(payload[first]), size), [payload[k] for k in range(first + 1, last)]
+                yield part["block"][first].as_py(), Block(unpack(payload[first]), size, KEYS), [payload[k] for k in range(first + 1, last)]
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, block, answers in by_block(batches):
@@ -224,37 +263,37 @@ def repeated_windows_removed(documents: DataFrame, size: int = 13, keep_clean: b
             mark = block.marks() | np.uint64(1)
             place = np.minimum(np.searchsorted(many, mark), max(0, len(many) - 1))
             at = np.flatnonzero(block.inside & (many[place] == mark)) if len(many) else np.zeros(0, np.int64)
-            key, low, high = block.first_last(block.window | np.uint64(1), at)
+            key, check, low, high = block.first_last(at)
             key = key ^ (low == high).astype(np.uint64)  # the lowest bit, as in marks
             order = np.argsort(low, kind="stable")
-            key, low = key[order], low[order]
+            key, check, low = key[order], check[order], low[order]
             order, at = dealt(key, buckets)
             some = np.flatnonzero(np.diff(at))
-            yield rows(2, [name] * len(some), some, [question(key[o], low[o]) for o in (order[at[k] : at[k + 1]] for k in some)])
+            yield rows(2, [name] * len(some), some, [question(key[o], check[o], low[o]) for o in (order[at[k] : at[k + 1]] for k in some)])
 
     def first_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, at in whole_groups(batches, ["bucket"], 1):
             payload = part["payload"].combine_chunks()
             for first, last in zip(at[:-1], at[1:]):
                 own = [asked_of(payload[k]) for k in range(first, last)]
-                key, low = (np.concatenate([x[c] for x in own]) for c in (0, 1))
-                key = key | np.uint64(1)
-                order = np.lexsort((low, key))
-                key, low = key[order], low[order]
-                new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
-                key, low = key[new], low[new]
-                out = []
-                for k, l in own:
-                    earlier = low[np.searchsorted(key, k | np.uint64(1))] < l
-                    # Lowest bit 1: the first document is in another block; 0: it is in this one, and later ones hold the window too.
-                    out.append(np.concatenate([k[earlier] | np.uint64(1), k[~earlier & ((k & np.uint64(1)) == 1)] ^ np.uint64(1)]).tobytes())
+                asked, check, low = (np.concatenate([x[c] for x in own]) for c in (0, 1, 2))
+                key = asked | np.uint64(1)
+                order = np.lexsort((low, check, key))
+                new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])])[: len(key)]
+                least = np.empty(len(key), np.int64)
+                least[order] = low[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+                earlier, later = least < low, (least == low) & ((asked & np.uint64(1)) == 1)
+                # Lowest bit 1: the first document is in another block; 0: it is in this one, and later ones hold the window too.
+                told, keep = np.where(earlier, key, key ^ np.uint64(1)), earlier | later
+                edge = np.concatenate([[0], np.cumsum([len(x[0]) for x in own])])
+                out = [answer(told[i:j][keep[i:j]], check[i:j][keep[i:j]]) for i, j in zip(edge, edge[1:])]
                 yield rows(2, part["block"].to_numpy()[first:last], [0] * (last - first), out)
 
     names = source.columns
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block, answers in by_block(batches):
-            gone = block.removed(np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in answers] or [np.zeros(0, np.uint64)])))
+            gone = block.removed(*answered_of(answers))
             total = np.concatenate([[0], np.cumsum(gone)])[block.first]
             text, lost = block.kept(gone), np.diff(total)
             if keep_clean:
