@@ -85,3 +85,73 @@ def test_packer_keeps_all_limits(cut):
 def test_packer_refuses_what_fits_nowhere():
     with pytest.raises(ValueError):
         list(packing.Packer(10, 2, 5, False).add(11, 0, "x"))
+
+
+def plain_packer(examples, limits, pool):
+    """The heuristic once more, in plain Python: (tokens, loss, name) to sequences of (name, start, length)."""
+    slots, free, out = [None] * pool, list(range(pool))[::-1], []
+
+    def sequence():
+        left, made = list(limits), []
+        while left[0] > 0 and left[1] > 0:
+            best, top = None, -1.0
+            for k, e in enumerate(slots):
+                if e and e[0] <= left[0] and 1 <= left[1] and e[1] <= left[2]:
+                    dot = sum(x / m * (y / m) for x, y, m in zip((e[0], 1, e[1]), left, limits))
+                    if dot > top + 1e-12:
+                        best, top = k, dot
+            n = slots[best][0] if best is not None else 0
+            if best is None:
+                can = [(min(left[0], e[0] - e[1] + left[2]), e[0], k) for k, e in enumerate(slots) if e]
+                if not can or max(can)[0] < 1:
+                    break
+                n, _, best = max(can)
+            tokens, loss, name, start = slots[best]
+            made.append((name, start, n))
+            left = [left[0] - n, left[1] - 1, left[2] - max(0, n - (tokens - loss))]
+            if n == tokens:
+                slots[best] = None
+                free.append(best)
+            else:
+                slots[best] = (tokens - n, min(loss, tokens - n), name, start + n)
+        return made
+
+    for tokens, loss, name in examples:
+        slots[free.pop()] = (tokens, loss, name, 0)
+        while not free:
+            out.append(sequence())
+    while len(free) < pool:
+        out.append(sequence())
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packer_against_plain_python(seed):
+    r = random.Random(seed)
+    # Sizes that differ in all ways, so that no two dot products are equal.
+    examples = [(n := r.randint(1, 90), r.randint(0, n), k) for k in range(120)]
+    limits, got = (64, 5, 40), []
+    packer = packing.Packer(*limits, cut=True, pool=9)
+    for tokens, loss, name in examples:
+        got += list(packer.add(tokens, loss, name))
+    got += list(packer.rest())
+    want = plain_packer(examples, limits, 9)
+    assert [[tuple(map(int, p)) for p in s] for s in got] == want
+    assert any(sum(n for _, _, n in s) < 64 for s in want)  # the limits on segments and loss act
+
+
+def test_examples_whose_prompts_bear_no_loss(spark):
+    """The limit on loss keeps answers apart where prompts alone would fit together; a null number means all tokens."""
+    rows = [(k, "one two three four five six seven eight nine ten " * 3, 20, "x") for k in range(30)] + [(100, "short", None, "x"), (101, None, -5, "x"), (102, "a b", 99, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, answer int, loss string").coalesce(1)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    few = packing.pack(docs, path, max_tokens=256, max_loss_tokens=64, loss="answer").collect()
+    assert sorted({r.doc_id for r in few}) == sorted(r[0] for r in rows)
+    bearing = {r[0]: r[2] for r in rows}
+    loss_of = {}
+    for r in few:
+        n = r.doc_tokens if bearing[r.doc_id] is None else max(0, min(bearing[r.doc_id], r.doc_tokens))
+        own = max(0, r.start + r.length - max(r.start, r.doc_tokens - n))
+        loss_of[r.sequence_id] = loss_of.get(r.sequence_id, 0) + own
+    assert max(loss_of.values()) <= 64
+    assert len({r.sequence_id for r in packing.pack(docs, path, max_tokens=256).collect()}) < len(loss_of)

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidewater.llm import bpe, words
 
@@ -103,18 +104,20 @@ def powers(sequence: list[tuple], tokens: int) -> Iterator[list[tuple]]:
         yield out
 
 
-def pack(documents: DataFrame, tokenizer: str, end_id: int = 1, max_tokens: int = 2048, max_segments: int = 256, max_loss_tokens: int | None = None) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, end_id: int = 1, max_tokens: int = 2048, max_segments: int = 256, max_loss_tokens: int | None = None, loss: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A document is its ids and end_id, all of them loss-bearing. Documents may be cut; whole sequences are cut from the
+    A document is its ids and end_id. loss names a column with the number of its last tokens that bear loss, as in
+    instruction data, whose prompts bear none (null and larger numbers: all, negative ones: none); without it all do, and
+    the limit on them is that on tokens unless max_loss_tokens is smaller. Documents may be cut; whole sequences are cut from the
     front of long ones. Null and empty texts are the end_id alone; repeated rows are packed each; an empty table gives
     no rows; other columns are ignored. sequence_id holds the partition above the lower 32 bits.
     """
-    loss = max_tokens if max_loss_tokens is None else max_loss_tokens
-    chunk = min(max_tokens, loss)
+    most_loss = max_tokens if max_loss_tokens is None else max_loss_tokens
+    chunk = min(max_tokens, most_loss)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = bpe.library_tokenizer(tokenizer), Packer(max_tokens, max_segments, loss, cut=True)
+        encode, packer = bpe.library_tokenizer(tokenizer), Packer(max_tokens, max_segments, most_loss, cut=True)
         base, n, rows = TaskContext.get().partitionId() << 32, 0, []
 
         def put(sequence: list[tuple]) -> None:
@@ -134,6 +137,7 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 1, max_tokens: int
             for part in words.slices(batch, 1, bpe.SLICE):
                 ids, at = encode(part.column(1))
                 ids = ids.astype("<u4")
+                bearing = part.column(2).to_pylist()
                 for k, doc_id in enumerate(part.column(0).to_pylist()):
                     own = np.append(ids[at[k] : at[k + 1]], np.uint32(end_id)).astype("<u4")
                     whole = len(own) // chunk * chunk if chunk == max_tokens else 0
@@ -141,7 +145,9 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 1, max_tokens: int
                         put([((doc_id, own[s : s + chunk], s, len(own)), 0, chunk)])
                     if len(own) > whole:
                         # A copy: what waits in the pool must not hold on to the rest of its document.
-                        for sequence in packer.add(len(own) - whole, len(own) - whole, (doc_id, own[whole:].copy(), whole, len(own))):
+                        left = len(own) - whole
+                        n_loss = left if bearing[k] is None else max(0, min(left, bearing[k]))
+                        for sequence in packer.add(left, n_loss, (doc_id, own[whole:].copy(), whole, len(own))):
                             for s in powers(sequence, max_tokens):
                                 put(s)
                 yield out()
@@ -150,4 +156,4 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 1, max_tokens: int
                 put(s)
         yield out()
 
-    return documents.select("doc_id", "text").mapInArrow(apply, PIECES)
+    return documents.select("doc_id", "text", (F.col(loss) if loss else F.lit(None)).cast("long").alias("loss")).mapInArrow(apply, PIECES)
