@@ -24,11 +24,11 @@ BLOCK = 1500
 PAIRS = 200_000
 
 
-def sign_codes(vectors: np.ndarray, tables: int, bits: int) -> np.ndarray:
-    """Of each row, one integer per table: on which side of its hyperplanes the vector lies."""
+def sign_codes(vectors: np.ndarray, tables: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row, one integer per table: on which side of its hyperplanes the vector lies; and all these bits, eight in a byte."""
     planes = np.random.default_rng([7, vectors.shape[1]]).standard_normal((vectors.shape[1], tables * bits))
-    side = (vectors @ planes > 0).reshape(len(vectors), tables, bits)
-    return side @ (1 << np.arange(bits, dtype=np.int64))
+    side = vectors @ planes > 0
+    return side.reshape(len(vectors), tables, bits) @ (1 << np.arange(bits, dtype=np.int64)), np.packbits(side, 1)
 
 
 def usable(vector) -> F.Column:
@@ -56,8 +56,8 @@ def near_pairs(classes: DataFrame, threshold: float, tables: int, bits: int) ->
             for n in np.unique(size):
                 rows = np.flatnonzero(size == n)
                 vectors = flat[(start[rows][:, None] + np.arange(n)).ravel()].reshape(len(rows), n)
-                code = sign_codes(vectors, tables, bits)
-                packed = pa.array([c.tobytes() for c in code.astype("<u4")], pa.binary())
+                code, side = sign_codes(vectors, tables, bits)
+                packed = pa.array([c.tobytes() for c in side], pa.binary())
                 key = ((n * tables + np.arange(tables)) << bits) + code
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays([pa.array(key[:, t]), batch.column(0).take(pa.array(rows)), packed], ["bucket", "node", "codes"])
@@ -65,7 +65,7 @@ def near_pairs(classes: DataFrame, threshold: float, tables: int, bits: int) ->
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, at in whole_groups(batches, ["bucket", "i", "j"], 20_000):
             node = part["node"].to_numpy()
-            code = np.frombuffer(b"".join(part["codes"].to_pylist()), "<u4").reshape(len(node), tables)
+            code = np.frombuffer(b"".join(part["codes"].to_pylist()), np.uint8).reshape(len(node), -1)
             table = (part["bucket"].to_numpy() >> bits) % tables
             size = np.diff(at)
             end = np.repeat(at[1:], size)
@@ -80,7 +80,10 @@ def near_pairs(classes: DataFrame, threshold: float, tables: int, bits: int) ->
                 y = first[x] + pair - done[x]
                 x, y = x[keep := node[x] != node[y]], y[keep]
                 differ = code[x] ^ code[y]
-                keep = (np.bitwise_count(differ).sum(1) <= most) & ((differ == 0).argmax(1) == table[x])
+                near = np.flatnonzero(np.bitwise_count(differ).sum(1) <= most)
+                x, y = x[near], y[near]
+                other = np.unpackbits(differ[near], 1, tables * bits).reshape(len(near), tables, bits).any(2)
+                keep = other.argmin(1) == table[x]
                 a, b = node[x[keep]], node[y[keep]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
