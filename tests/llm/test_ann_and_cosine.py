@@ -89,3 +89,31 @@ def test_near_duplicates(spark, monkeypatch, block):
 
 def test_no_vectors(spark):
     assert cosine.near_duplicates(table(spark, [])).collect() == []
+
+
+def test_lengths_are_searched_by_themselves_and_ids_may_repeat(spark):
+    """Vectors of two lengths; vec_id 40 has one of each, vec_id 3 two different ones and a copy."""
+    r = np.random.default_rng(8)
+    rows = [(k, r.standard_normal(6).tolist()) for k in range(45)] + [(100 + k, r.standard_normal(4).tolist()) for k in range(41)]
+    rows += [(40, r.standard_normal(4).tolist()), (3, rows[7][1]), (3, rows[3][1])]
+    got = {}
+    for x in ann.nearest(table(spark, rows), k=5).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, round(x.score, 9)))
+    want = {}
+    known = [(i, np.array(v, np.float32).astype(np.float64)) for i, v in rows]
+    for q, v in known:
+        if q % 20 == 0:
+            for i, w in known:
+                if i != q and len(w) == len(v):
+                    want.setdefault(q, {})[i] = max(want.get(q, {}).get(i, -np.inf), float((v * w).sum()))
+    assert set(got) == set(want) == {0, 20, 40, 100, 120, 140}
+    for q, near in want.items():
+        best = sorted(near.items(), key=lambda x: (-x[1], x[0]))[:5]
+        assert sorted(got[q]) == [(k + 1, i, round(s, 9)) for k, (i, s) in enumerate(best)]
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows that share a vec_id share their component; every row counts as a link of its equals."""
+    a, b = [1.0, 0.0, 0.2], [0.0, 1.0, 0.0]
+    out = sorted(map(tuple, cosine.near_duplicates(table(spark, [(5, a), (5, b), (7, a), (9, b), (2, [-1.0, 0.0, 0.0])])).collect()))
+    assert {x[0]: x[2] for x in out} == {2: 2, 5: 5, 7: 5, 9: 5} and len(out) == 5

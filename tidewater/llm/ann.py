@@ -12,6 +12,7 @@ the original vectors in double precision.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -99,18 +100,28 @@ def best(query_id: np.ndarray, vec_id: np.ndarray, score: np.ndarray, k: int) ->
 def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, lists: int | None = None, recall: float = 0.96, strictness: float = 2.1) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each vec_id that `every` divides, ties to the smaller vec_id.
 
-    Null and zero vectors, those with null or non-finite components and rows without a vec_id take no part, nor do
-    vectors of another length than most have. Rows of the query's own vec_id are no candidates; a vec_id appears once
+    Null and zero vectors, those with null or non-finite components and rows without a vec_id take no part. Vectors of
+    different lengths have no inner product: each length is searched by itself (the driver goes through the lengths, so
+    there should be few). Rows of the query's own vec_id are no candidates; a vec_id appears once
     per query, with its largest score. A query for which fewer than k (or all) candidates are found is searched once
     more, over all lists and without tests.
     """
     spark = embeddings.sparkSession
     rows = embeddings.select("vec_id", "embedding").filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-    shape = rows.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids"), F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x))).alias("norm")).orderBy(F.desc("n"), F.desc("dims")).limit(1).collect()
+    shape = rows.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids"), F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x))).alias("norm")).orderBy("dims").collect()
     if not shape:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dims, n, ids, norm = shape[0]
-    rows = rows.filter(F.size("embedding") == dims)
+    found = reduce(DataFrame.union, (nearest_of_length(rows.filter(F.size("embedding") == s.dims), *s, k, every, lists, recall, strictness) for s in shape))
+    # A vec_id whose rows hold vectors of several lengths has one answer.
+    if len(shape) > 1:
+        best_ = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        found = best_.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def nearest_of_length(rows: DataFrame, dims: int, n: int, ids: int, norm: float, k: int, every: int, lists: int | None, recall: float, strictness: float) -> DataFrame:
+    """nearest() for n usable vectors (vec_id, embedding) of dims components, with ids distinct vec_ids and norm the largest norm."""
+    spark = rows.sparkSession
     taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()  # SAMPLE rows at most
     turn = rotation(dims + 1)
     original = np.array([r["embedding"] for r in taken], np.float64)
@@ -119,7 +130,7 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, lists: int | No
     probes = probes_for(points, asked, centres, k, recall)
     some = points[:RADIUS_SAMPLE]
     fixed = spark.sparkContext.broadcast((turn, centres, some, np.array([r["vec_id"] for r in taken[:RADIUS_SAMPLE]])))  # sizes are bounded above
-    kind = embeddings.schema["embedding"].dataType.simpleString()
+    kind = rows.schema["embedding"].dataType.simpleString()
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_, centres_, _, _ = fixed.value
