@@ -68,3 +68,24 @@ def test_sketches_fill_every_coordinate_and_estimate_similarity():
     assert (out[:3] != np.uint64((1 << 64) - 1)).all()
     assert (out[3] == np.uint64((1 << 64) - 1)).all()
     assert abs((out[0] == out[1]).mean() - 0.8) < 0.1
+
+
+def boilerplate(n, seed, common=90, own=40):
+    """n documents that share most of their words, near copies of every tenth, and copies of the first."""
+    r = random.Random(seed)
+    shared = [f"s{r.randrange(10**6)}" for _ in range(common)]
+    rows = [(k, " ".join([*shared, *(f"u{r.randrange(10**9)}" for _ in range(own))])) for k in range(n)]
+    near = [(n + k, f"{rows[k][1]} end") for k in range(0, n, 10)]
+    return rows + near + [(2 * n + k, f"c{k} {rows[0][1]}") for k in range(n // 3)]
+
+
+@pytest.mark.parametrize(("hubs", "rulers"), [(4, 12), (1, 2), (0, 0)])
+def test_boilerplate_groups_against_brute_force(spark, monkeypatch, hubs, rulers):
+    monkeypatch.setattr(minhash, "CHUNK", 15)
+    monkeypatch.setattr(minhash, "HUBS", hubs)
+    monkeypatch.setattr(minhash, "RULERS", rulers)
+    monkeypatch.setattr(minhash, "banding", lambda n, percent: (60, 3))
+    rows = boilerplate(90, hubs)
+    docs = spark.createDataFrame([(d, t, 1, "k", None) for d, t in rows], SCHEMA)
+    got = sorted((tuple(r) for r in minhash.near_duplicates(docs, 2).collect()), key=str)
+    assert got == brute(rows, 2)

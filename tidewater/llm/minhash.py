@@ -9,8 +9,11 @@ two sets agree with the probability of their Jaccard similarity.
 Documents with equal sets form one class. Classes that share a band are candidates: the components of the candidate
 links are groups, and only documents in groups are read again for their full sets. Within a group, every two sets that
 are not yet connected are compared exactly, and links that connect something new are kept. Groups above a bounded size
-are dealt out in chunks: a few hub documents meet every chunk, which connects what is close to them; documents that stay
-outside the group's largest component then meet all chunks, so no link is lost and no task holds a whole group.
+are dealt out in chunks: a few hub documents meet every chunk, which connects what is close to them. Then groups are
+refined: two sets that are near share an element that is rare in the group (a prefix in a common order, rare elements
+first), so what holds a group together only by elements that most of it holds falls apart, and what is left is compared
+in its own, smaller groups. Once refining no longer halves what lies in large groups, documents outside a group's
+largest component meet all chunks, so no link is lost and no task holds a whole group.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import words
@@ -31,9 +34,14 @@ from tidewater.llm.groups import whole_groups
 SLICE = 4 << 20
 CHUNK = 400
 HUBS = 24
+RULERS = 128
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+def _long(x: Column) -> Column:
+    return x.cast("long")
+
+
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of each row, one row after another, and the rows' offsets.
 
@@ -138,6 +146,93 @@ def _linked(rows: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(run, "a long, b long")
 
 
+def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
+    """rows: g, j (one task per value of both), node, comp, ruler, own, elements. Returns key, node, comp, short for rows of their own.
+
+    Elements are ordered by the number of the group's rulers that hold them, rare ones first. Two sets near enough share
+    an element among the first of both: the smaller set's within its short prefix, the larger one's within its long one.
+    A key stands for group and element.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, at in whole_groups(batches, ["g", "j"], 8 << 20, lambda b: b.nbytes):
+            g, node, comp = (part[k].to_numpy() for k in ("g", "node", "comp"))
+            ruler, own = (part[k].to_numpy(zero_copy_only=False) for k in ("ruler", "own"))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part["elements"].combine_chunks()] if part.num_rows else []
+            key, row, short = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+                known, times = np.unique(np.concatenate([key[0], *(sets[k] for k in range(i, j) if ruler[k])]), return_counts=True)
+                for k in (i + np.flatnonzero(own[i:j])).tolist():
+                    x, n = sets[k], len(sets[k])
+                    seen = np.zeros(n, np.int64)
+                    if len(known):
+                        place = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                        seen = np.where(known[place] == x, times[place], 0)
+                    first = np.lexsort((x, seen))[: n - -(-percent * n // 100) + 1]
+                    key.append(words.mix(x[first] * _A + np.uint64(int(g[k]) % (1 << 64))))
+                    row.append(np.full(len(first), k))
+                    short.append(np.arange(len(first)) < n - -(-2 * percent * n // (100 + percent)) + 1)
+            at_row = np.concatenate(row)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(node[at_row]), pa.array(comp[at_row]), pa.array(np.concatenate(short))], ["key", "node", "comp", "short"])
+
+    met = rows.select("g", "j", "node", "comp", "ruler", "own", "elements").repartition("g", "j").sortWithinPartitions("g", "j")
+    return met.mapInArrow(run, "key long, node long, comp long, short boolean")
+
+
+def _refined(rows: DataFrame, percent: int) -> DataFrame:
+    """rows: g, m, node, comp, elements. Returns node, g, m: the groups that are left when only sets of different components that share a rare element stay together."""
+    own = _long(F.pmod(F.xxhash64("node"), F.col("chunks")))
+    dealt = rows.withColumn("chunks", _long(F.ceil(F.col("m") / CHUNK))).withColumn("ruler", F.pmod(F.xxhash64("node", F.lit(3)), F.col("m")) < RULERS)
+    dealt = dealt.withColumn("j", F.explode(F.when(F.col("ruler"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(own))))
+    prefixes = written(_prefixes(dealt.withColumn("own", F.col("j") == own), percent), "prefixes")
+    pivots = prefixes.groupBy("key").agg(F.min("node").alias("pivot"), F.max("short").alias("short"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    pivots = pivots.filter("short and low < high").select("key", "pivot")
+    stars = prefixes.join(pivots.hint("merge"), "key").filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    grouped = components(stars)
+    sizes = grouped.groupBy("component").agg(F.count("*").alias("m"))
+    return grouped.join(sizes.hint("merge"), "component").select("node", F.col("component").alias("g"), "m")
+
+
+def _strays(of: DataFrame) -> DataFrame:
+    """of: node, g, comp. Adds main, the group's largest component, and parts, by the number of nodes outside it; groups that are one component are left out."""
+    most = of.groupBy("g", "comp").agg(F.count("*").alias("n")).groupBy("g").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
+    most = most.select("g", F.col("top.comp").alias("main"), _long(F.ceil((F.col("all") - F.col("top.n")) / CHUNK)).alias("parts")).filter("parts > 0")
+    return of.join(most.hint("merge"), "g").select("node", "comp", "main", "parts")
+
+
+def _in_groups(sets: DataFrame, percent: int) -> DataFrame:
+    """sets: node, g, m, elements. Links a, b that connect all of a group that is near."""
+    zero = F.lit(0).cast("long")
+    rows = sets.withColumn("comp", F.col("node"))
+    links = _linked(rows.filter(F.col("m") <= CHUNK).withColumns({"s": zero, "j": zero, "probe": F.lit(True)}), percent)
+    large = rows.filter(F.col("m") > CHUNK)
+    near, size, shrinks = None, large.count(), True
+    while size:
+        dealt = large.withColumn("chunks", _long(F.ceil(F.col("m") / CHUNK)))
+        chunk, every = _long(F.pmod(F.xxhash64("node"), F.col("chunks"))), F.sequence(zero, F.col("chunks") - 1)
+        hub = F.pmod(F.xxhash64("node", F.lit(1)), F.col("m")) < HUBS
+        met = written(_linked(dealt.withColumns({"s": zero, "j": F.explode(F.when(hub, every).otherwise(F.array(chunk))), "probe": F.lit(True)}), percent), "links")
+        near = met if near is None else near.union(met)
+        known = components(near)
+        of = large.select("node", "g").distinct().join(known.hint("merge"), "node", "left").select("g", "node", F.coalesce("component", "node").alias("comp"))
+        of = written(_strays(of), "strays")
+        dealt = dealt.drop("comp").join(of.hint("merge"), "node")
+        if not shrinks:
+            # As a probe, a stray meets every chunk; as a member, every document meets the probes of every part.
+            rest = dealt.withColumn("probe", F.col("comp") != F.col("main"))
+            probes = rest.filter("probe").withColumns({"s": _long(F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts"))), "j": F.explode(every)})
+            others = rest.withColumns({"j": chunk, "s": F.explode(F.sequence(zero, F.col("parts") - 1)), "probe": F.lit(False)})
+            links = links.union(_linked(probes.unionByName(others), percent))
+            break
+        members = written(_refined(dealt, percent), "members")
+        rows = sets.drop("g", "m").join(members.hint("merge"), "node").join(of.select("node", "comp").hint("merge"), "node")
+        links = links.union(_linked(rows.filter(F.col("m") <= CHUNK).withColumns({"s": zero, "j": zero, "probe": F.lit(True)}), percent))
+        large = rows.filter(F.col("m") > CHUNK)
+        before, size = size, large.count()
+        shrinks = 2 * size <= before
+    return links if near is None else links.union(near)
+
+
 def banding(n: int, percent: int, missed: float = 3e-6) -> tuple[int, int]:
     """Bands and rows for n documents: longer bands for more documents, so that chance candidates stay in proportion, and as many bands as a pair at the threshold needs."""
     rows = max(6, math.ceil(math.log10(max(n, 1))))
@@ -184,28 +279,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), elements], ["node", "g", "m", "elements"])
 
     sets = written(source.join(members.hint("merge"), "doc_id").mapInArrow(full, "node long, g long, m long, elements binary"), "sets")
-    zero, long = F.lit(0).cast("long"), lambda x: x.cast("long")
-    small = sets.filter(F.col("m") <= CHUNK).withColumns({"s": zero, "j": zero, "comp": F.col("node"), "probe": F.lit(True)})
-    links = _linked(small, percent)
-    large = sets.filter(F.col("m") > CHUNK).withColumn("chunks", long(F.ceil(F.col("m") / CHUNK)))
-    if not large.isEmpty():
-        chunk = long(F.pmod(F.xxhash64("node"), F.col("chunks")))
-        hub = F.pmod(F.xxhash64("node", F.lit(1)), F.col("m")) < HUBS
-        every = F.sequence(zero, F.col("chunks") - 1)
-        dealt = large.withColumns({"s": zero, "j": F.explode(F.when(hub, every).otherwise(F.array(chunk))), "comp": F.col("node"), "probe": F.lit(True)})
-        near = written(_linked(dealt, percent), "links")
-        known = components(near)
-        of = large.select("node", "g").distinct().join(known.hint("merge"), "node", "left").select("g", "node", F.coalesce("component", "node").alias("comp"))
-        most = of.groupBy("g", "comp").agg(F.count("*").alias("n")).groupBy("g").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
-        most = most.select("g", F.col("top.comp").alias("main"), long(F.ceil((F.col("all") - F.col("top.n")) / CHUNK)).alias("parts")).filter("parts > 0")
-        of = written(of.join(most.hint("merge"), "g").drop("g"), "strays")
-        rest = large.join(of.hint("merge"), "node").withColumn("probe", F.col("comp") != F.col("main"))
-        part = long(F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")))
-        # As a probe, a stray meets every chunk; as a member, every document meets the probes of every part.
-        probes = rest.filter("probe").withColumns({"s": part, "j": F.explode(every)})
-        others = rest.withColumns({"j": chunk, "s": F.explode(F.sequence(zero, F.col("parts") - 1)), "probe": F.lit(False)})
-        links = links.union(near).union(_linked(probes.unionByName(others), percent))
-    found = components(links)
+    found = components(_in_groups(sets, percent))
 
     named = classes.select("key", "node").join(found.hint("merge"), "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     linked = sketched.filter("n_shingles > 0 and doc_id is not null").drop("bands").join(named.hint("merge"), "key").select("doc_id", "n_shingles", "component_id")
