@@ -79,11 +79,12 @@ def boilerplate(n, seed, common=90, own=40):
     return rows + near + [(2 * n + k, f"c{k} {rows[0][1]}") for k in range(n // 3)]
 
 
-@pytest.mark.parametrize(("hubs", "rulers"), [(4, 12), (1, 2), (0, 0)])
-def test_boilerplate_groups_against_brute_force(spark, monkeypatch, hubs, rulers):
+@pytest.mark.parametrize(("hubs", "rulers", "direct"), [(4, 12, 0), (1, 2, 2), (0, 0, 9)])
+def test_boilerplate_groups_against_brute_force(spark, monkeypatch, hubs, rulers, direct):
     monkeypatch.setattr(minhash, "CHUNK", 15)
     monkeypatch.setattr(minhash, "HUBS", hubs)
     monkeypatch.setattr(minhash, "RULERS", rulers)
+    monkeypatch.setattr(minhash, "DIRECT", direct)
     monkeypatch.setattr(minhash, "banding", lambda n, percent: (60, 3))
     rows = boilerplate(90, hubs)
     docs = spark.createDataFrame([(d, t, 1, "k", None) for d, t in rows], SCHEMA)

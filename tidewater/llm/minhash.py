@@ -12,8 +12,9 @@ are not yet connected are compared exactly, and links that connect something new
 are dealt out in chunks: a few hub documents meet every chunk, which connects what is close to them. Then groups are
 refined: two sets that are near share an element that is rare in the group (a prefix in a common order, rare elements
 first), so what holds a group together only by elements that most of it holds falls apart, and what is left is compared
-in its own, smaller groups. Once refining no longer halves what lies in large groups, documents outside a group's
-largest component meet all chunks, so no link is lost and no task holds a whole group.
+in its own, smaller groups. Where documents outside a group's largest component fill few chunks (DIRECT: a group is then
+sent a bounded number of times), or refining no longer halves what lies in large groups, they meet all chunks instead,
+so no link is lost and no task holds a whole group.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ SLICE = 4 << 20
 CHUNK = 400
 HUBS = 24
 RULERS = 128
+DIRECT = 4
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -217,18 +219,19 @@ def _in_groups(sets: DataFrame, percent: int) -> DataFrame:
         of = large.select("node", "g").distinct().join(known.hint("merge"), "node", "left").select("g", "node", F.coalesce("component", "node").alias("comp"))
         of = written(_strays(of), "strays")
         dealt = dealt.drop("comp").join(of.hint("merge"), "node")
-        if not shrinks:
-            # As a probe, a stray meets every chunk; as a member, every document meets the probes of every part.
-            rest = dealt.withColumn("probe", F.col("comp") != F.col("main"))
-            probes = rest.filter("probe").withColumns({"s": _long(F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts"))), "j": F.explode(every)})
-            others = rest.withColumns({"j": chunk, "s": F.explode(F.sequence(zero, F.col("parts") - 1)), "probe": F.lit(False)})
-            links = links.union(_linked(probes.unionByName(others), percent))
+        # As a probe, a stray meets every chunk; as a member, every document meets the probes of every part.
+        rest = dealt.filter(F.col("parts") <= DIRECT if shrinks else F.lit(True)).withColumn("probe", F.col("comp") != F.col("main"))
+        probes = rest.filter("probe").withColumns({"s": _long(F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts"))), "j": F.explode(every)})
+        others = rest.withColumns({"j": chunk, "s": F.explode(F.sequence(zero, F.col("parts") - 1)), "probe": F.lit(False)})
+        links = links.union(_linked(probes.unionByName(others), percent))
+        before = of.filter(F.col("parts") > DIRECT).count() if shrinks else 0
+        if not before:
             break
-        members = written(_refined(dealt, percent), "members")
+        members = written(_refined(dealt.filter(F.col("parts") > DIRECT), percent), "members")
         rows = sets.drop("g", "m").join(members.hint("merge"), "node").join(of.select("node", "comp").hint("merge"), "node")
         links = links.union(_linked(rows.filter(F.col("m") <= CHUNK).withColumns({"s": zero, "j": zero, "probe": F.lit(True)}), percent))
         large = rows.filter(F.col("m") > CHUNK)
-        before, size = size, large.count()
+        size = large.count()
         shrinks = 2 * size <= before
     return links if near is None else links.union(near)
 
