@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import ann, bpe, cosine, html_text, lm, minhash, packing, phrases, toxicity, warc
+from tidewater.llm import ann, bpe, cosine, decontaminate, hard_negatives, html_text, kmeans, lm, minhash, packing, phrases, toxicity, warc
 from tidewater.llm.common import reachable, table
 
 QUERIES = {}
@@ -150,3 +150,87 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+    hit = decontaminate.n_hit("spans")
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated")
+    )
+
+
+_WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+ORACLES["op12_decontamination"] = f"""
+with d as (
+  select row_number() over () as r, doc_id, {_WORDS} as w from documents
+), i as (
+  select item_id::VARCHAR as item, {_WORDS} as w from benchmark where item_id is not null
+), g as (
+  select distinct item, least(10, len(w)) as n, array_to_string(w[k : k + 9], ' ') as x from i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as t(k) where len(w) > 0
+), p as (
+  select r, k, s.n, array_to_string(w[k : k + s.n - 1], ' ') as x from d, (select distinct n from g) s, unnest(range(1, len(w) - s.n + 2)) as t(k)
+), found as (
+  select r, k, p.n, item from p join g using (n, x)
+), words as (
+  select r, count(distinct k + o) as n_hit from found, unnest(range(0, n)) as t(o) group by r
+), named as (
+  select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item from found) group by r
+)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (r) left join named using (r)
+"""
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op11_hard_negatives"] = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_dot_product(a.e, b.e)::BIGINT as score from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where a.vec_id % 50 = 0
+), p as (
+  select * from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+)
+select p.anchor_id, p.id as positive_id, row_number() over (partition by p.anchor_id, p.id order by n.score desc, n.id)::INT as rank, n.id as negative_id, p.score as positive_score, n.score as negative_score
+from p join s n on n.anchor_id = p.anchor_id and not n.same and 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score
+qualify row_number() over (partition by p.anchor_id, p.id order by n.score desc, n.id) <= 3
+"""
+
+
+@query
+def op13_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def _kmeans_sql(rounds: int = 3, k: int = 16) -> str:
+    parts = [
+        """v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) as e from embeddings
+  where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        f"c0 as (select row_number() over (order by h) - 1 as number, e from (select sha256('1:' || vec_id::VARCHAR) as h, e from v order by h limit {k}))",
+    ]
+    for r in range(rounds + 1):
+        parts.append(
+            f"""a{r} as materialized (select vec_id, any_value(v.e) as e, arg_min(number, (d, number)) as number, min(d) as d from
+  (select vec_id, v.e, number, list_dot_product(v.e, v.e) - 2 * list_dot_product(v.e, c.e) + list_dot_product(c.e, c.e) as d from v, c{r} c) v group by vec_id)"""
+        )
+        if r < rounds:
+            parts.append(
+                f"""m{r} as (select number, list(floor(s / n) order by j) as e from (select number, j, sum(e[j]) as s, count(*) as n from a{r}, unnest(range(1, 65)) t(j) group by all) group by number),
+c{r + 1} as materialized (select c.number, coalesce(m.e, c.e) as e from c{r} c left join m{r} m using (number))"""
+            )
+    return (
+        "with " + ",\n".join(parts) + f""" select vec_id, a.number::INT as cluster, d::BIGINT as distance, sum(d) over (partition by a.number)::BIGINT as cluster_inertia, sum(d) over ()::BIGINT as inertia,
+  sha256(array_to_string(list_transform(c.e, lambda x: x::BIGINT::VARCHAR), ',')) as centroid_sha256 from a{rounds} a join c{rounds} c using (number)"""
+    )
+
+
+ORACLES["op13_bit_planes"] = _kmeans_sql()

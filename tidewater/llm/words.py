@@ -49,10 +49,10 @@ def slices(batch: pa.RecordBatch, text: int, most: int) -> Iterator[pa.RecordBat
         first = last
 
 
-def spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and the number of words before each row (one more entry than rows)."""
+def spans(raw: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _BREAK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and the number of words before each row (one more entry than rows). breaks: of each byte, whether it lies between words."""
     inside = np.zeros(len(raw) + 1, bool)
-    inside[:-1] = ~_BREAK[raw]
+    inside[:-1] = ~breaks[raw]
     start = inside.copy()
     start[1:] &= ~inside[:-1]
     end = np.zeros(len(raw) + 1, bool)
