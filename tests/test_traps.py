@@ -1,14 +1,16 @@
 """Hand-made cases for the semantics that are easy to get wrong."""
 
 import datetime as dt
+import itertools
 import json
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import math, text, time
-from tidewater.operators import asof, changes, dataset, distribution, drift, history, identity, keywords, lifetime, metrics, releases, requests, revisions
+from tidewater.operators import asof, changes, cohorts, dataset, distribution, drift, history, identity, keywords, lifetime, metrics, quantiles, releases, requests, revisions
 from tidewater.sources import ingest, readers, sinks
 
 T = dt.datetime
@@ -208,6 +210,88 @@ def test_history_against_the_loop(spark):
         assert x.merge_rate == pytest.approx(merged / past if past else 0) and x.recent_merge_rate == pytest.approx(both / len(recent) if recent else 0)
 
 
+def test_history_of_a_hot_owner_within_days_and_after_the_last_event(spark):
+    """One owner has a third of all changes, events fall at any instant, and probes go on after the last one."""
+    r = random.Random(6)
+    at = lambda: T(2020, 1, 1) + dt.timedelta(seconds=r.randint(0, 60 * 86400))
+    events = [(0 if k % 3 == 0 else k % 40, at(), None if k % 4 == 0 else at(), r.randint(0, 9)) for k in range(600)]
+    probes = [(k, t) for k in (0, 1, 2, 77) for t in [T(2019, 12, 1), T(2020, 6, 1), *(T(2020, 1, 1) + dt.timedelta(d) for d in range(0, 80, 9)), *(e[1] for e in events[:30]), *(e[1] + dt.timedelta(14) for e in events[:30])]]
+    e = spark.createDataFrame(events, "owner_id long, created timestamp_ntz, merged timestamp_ntz, lines long")
+    p = spark.createDataFrame(probes, "owner_id long, t timestamp_ntz")
+    rows = history.developer_history(p, e, "owner_id", 14).collect()
+    assert len(rows) == len(set(probes))
+    for x in rows:
+        mine = [(c, m) for o, c, m, _ in events if o == x.owner_id]
+        recent = [m for c, m in mine if x.t - dt.timedelta(14) <= c <= x.t]
+        past, done, both = sum(c <= x.t for c, _ in mine), sum(m is not None and m <= x.t for _, m in mine), sum(m is not None and m <= x.t for m in recent)
+        assert (x.past_reports, x.recent_reports) == (past, len(recent)) and x.merge_rate == pytest.approx(done / past if past else 0) and x.recent_merge_rate == pytest.approx(both / len(recent) if recent else 0)
+    changed = e.withColumnsRenamed({"merged": "decision_time"}).withColumn("updated", F.col("created"))
+    for x in history.open_count(changed, p).collect():
+        assert x.n_open == sum(c <= x.t for _, c, _, _ in events) - sum(m is not None and m <= x.t for _, _, m, _ in events)
+    for x in history.lines_in_period(changed, p, 14).collect():
+        assert x.reviewed_lines == sum(n for _, c, _, n in events if x.t - dt.timedelta(14) <= c <= x.t)
+
+
+def test_step_functions_split_owners_by_time(spark):
+    """No window is over a key alone but those of blocks; deltas of one instant are combined."""
+    e = spark.createDataFrame([(1, T(2020, 1, 1), None)], "owner_id long, created timestamp_ntz, merged timestamp_ntz")
+    plan = history.developer_history(e.select("owner_id", F.col("created").alias("t")), e)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert len(windows) == 2 and all("_block" in w for w in windows)
+
+
+def test_open_count_and_lines_as_reported_once(spark):
+    late = spark.createDataFrame([(1, T(2020, 1, 1), None), (2, T(2020, 1, 2), None), (3, T(2020, 1, 1), T(2020, 1, 3))], "change_number long, created timestamp_ntz, decision_time timestamp_ntz")
+    four_weeks = spark.createDataFrame([(T(2020, 1, 31),)], "t timestamp_ntz")
+    assert [r.n_open for r in history.open_count(late, four_weeks).collect()] == [2]
+    updates = spark.createDataFrame([(T(2020, 1, 1, 23), 5), (T(2020, 1, 2), 1)], "updated timestamp_ntz, lines long")
+    assert [r.reviewed_lines for r in history.lines_in_period(updates, spark.createDataFrame([(T(2020, 1, 16),)], "t timestamp_ntz")).collect()] == [1]
+
+
+def test_quantiles_against_sorting(spark):
+    """A group with most rows, ties, one value, nulls, values far apart, a null key."""
+    r = random.Random(8)
+    rows = [("hot", r.gauss(1e6, 1)) for _ in range(3000)] + [("ties", float(r.randint(0, 3))) for _ in range(500)] + [("one", -2.5), ("none", None), (None, 1.0), (None, 4.0), ("wide", -1e300), ("wide", 0.0), ("wide", 1e-300)]
+    df = spark.createDataFrame(rows, "g string, value double").repartition(5)
+    percents = [0.0, 1.0, 25.0, 50.0, 90.0, 99.9, 100.0]
+    counts = quantiles.counted(df, ["g"], "value")
+    told = {x.g: x for x in quantiles.described(counts, ["g"], percents).collect()}
+    assert set(told) == {"hot", "ties", "one", "wide", None} and {x.g: x.quantiles for x in quantiles.select(counts, ["g"], percents).collect()} == {g: x.quantiles for g, x in told.items()}
+    for g, x in told.items():
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        assert x.n == len(own) and x.min == own[0] and x.max == own[-1]
+        if g != "wide":
+            assert x.mean == pytest.approx(statistics.fmean(own), rel=1e-12) and x.std == pytest.approx(statistics.pstdev(own), abs=1e-9)
+        for p, q in zip(percents, x.quantiles):
+            k = (len(own) - 1) * p / 100
+            low, high = own[int(k)], own[min(int(k) + 1, len(own) - 1)]
+            assert q == pytest.approx(low + (high - low) * (k - int(k)) if k > int(k) else low, rel=1e-12)
+    ranks = quantiles.below(counts, ["g"]).collect()
+    assert all(x.below == sum(v is not None and v < x.value for k, v in rows if k == x.g) for x in ranks[::7])
+    assert quantiles.select(quantiles.counted(df.limit(0), ["g"], "value"), ["g"], percents).collect() == []
+
+
+def test_exact_p_values_against_enumeration():
+    known = {(a, b, u): p for a, b, u, p in cohorts.exact_p_values(12)}
+    for n in range(2, 13):
+        for n1 in range(1, n):
+            sums = [sum(c) - n1 * (n1 + 1) // 2 for c in itertools.combinations(range(1, n + 1), n1)]
+            for u in range(n1 * (n - n1) + 1):
+                tail = min(sum(s <= u for s in sums), sum(s >= u for s in sums))
+                assert known[(n1, n - n1, u)] == pytest.approx(min(1.0, 2 * tail / len(sums)))
+            assert set(sums) == set(range(n1 * (n - n1) + 1))
+
+
+def test_rank_test_is_exact_for_small_groups_without_ties(spark):
+    rows = [("a", "x", 1.0), ("a", "x", 2.0), ("a", "x", 3.0), ("a", "y", 4.0), ("a", "y", 5.0), ("a", "y", None), ("t", "x", 1.0), ("t", "y", 1.0), ("t", "y", 2.0), ("e", "x", 1.0)]
+    rows += [("big", "xy"[k % 2], float(k)) for k in range(40)]
+    got = {r.g: r for r in cohorts.mann_whitney(spark.createDataFrame(rows, "g string, side string, value double"), ["g"], "side", "x", "y").collect()}
+    assert (got["a"].n1, got["a"].n2, got["a"].u1, got["a"].median1, got["a"].mean2) == (3, 2, 0.0, 2.0, 4.5) and got["a"].p_value == pytest.approx(0.2)
+    z = got["t"].z
+    assert got["t"].p_value == pytest.approx(2 * (1 - statistics.NormalDist().cdf(abs(z))), abs=1e-6) and got["e"].p_value is None
+    assert got["big"].p_value == pytest.approx(2 * (1 - statistics.NormalDist().cdf(abs(got["big"].z))), abs=1e-6) and got["big"].median1 == 19.0
+
+
 def test_metrics(spark):
     rows = [(1, 1, 0, "a", k, float(y), float(z)) for k, (y, z) in enumerate([(1, 4), (2, 3), (3, 2), (4, 1)])] + [(1, 1, 0, "b", 9, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "d int, p int, repeat int, t string, change_id long, y_true double, y_pred double")

@@ -33,10 +33,11 @@ def is_open(created: Column, decision: Column, t: Column, lookback_days: int | N
     return out & (created >= t - F.expr(f"interval {int(lookback_days)} days")) if lookback_days is not None else out
 
 
-def active_days(changes: DataFrame, start: Column, end: Column, lookback_days: int | None, undecided: bool = True, step_days: int = 1) -> DataFrame:
+def active_days(changes: DataFrame, start: Column, end: Column, lookback_days: int | None, undecided: bool = True, step_days: int = 1, alike: list[str] | None = None) -> DataFrame:
     """A row per change (created, decision_time) and midnight t in [start, end] at which it is open.
 
     No join: each change spans an interval of the grid, which is clipped and exploded. The grid starts at start's first midnight.
+    alike: only these columns are wanted. Changes that agree in them and in their days are then one row, and n_alike their number.
     """
     grid0 = time.first_midnight(start)
     low = F.greatest(F.col("created"), grid0)
@@ -50,6 +51,13 @@ def active_days(changes: DataFrame, start: Column, end: Column, lookback_days: i
         day = F.date_diff(first.cast("date"), F.date_trunc("day", start).cast("date"))
         first = first + F.make_interval(days=F.pmod(-day, F.lit(step_days)))
     rows = rows.withColumns({"_first": first, "_last": high}).filter("_first <= _last")
+    # Days multiply what may have come together in few partitions, because it was small before. Rows that are alike are
+    # made one before they are dealt out, so that what they have in common is no large group.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if alike:
+        rows = rows.groupBy(*alike, "_first", "_last").agg(F.count("*").alias("n_alike")).repartition(parts, *alike)
+    else:
+        rows = rows.repartition(parts, *rows.columns)
     return rows.withColumn("t", F.explode(F.sequence("_first", "_last", F.expr(f"interval {int(step_days)} days")))).drop("_first", "_last")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import time
+from tidewater.operators import quantiles
 
 PERCENTS = (10, 30, 50, 70, 90)
 
@@ -30,18 +31,17 @@ def drop_unfinished(rows: DataFrame) -> DataFrame:
 
 
 def outlier_bounds(rows: DataFrame, keys: list[str], method: str = "iqr", k: float = 1.5, percent: float = 99.0) -> DataFrame:
-    """keys, low, high of what is kept; groups of fewer than four rows keep everything."""
+    """keys, low, high of what is kept; groups of fewer than four values keep everything."""
+    q = lambda i: F.get("quantiles", F.lit(i))
     if method == "iqr":
-        q = F.percentile("screening", F.array(F.lit(0.25), F.lit(0.75)))
-        low, high = F.get("_q", F.lit(0)) - k * (F.get("_q", F.lit(1)) - F.get("_q", F.lit(0))), F.get("_q", F.lit(1)) + k * (F.get("_q", F.lit(1)) - F.get("_q", F.lit(0)))
+        wanted, low, high = [25.0, 75.0], q(0) - k * (q(1) - q(0)), q(1) + k * (q(1) - q(0))
     elif method == "percentile":
-        q = F.percentile("screening", F.array(F.lit((100.0 - percent) / 100), F.lit(percent / 100)))
-        low, high = F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
+        wanted, low, high = [100.0 - percent, percent], q(0), q(1)
     else:
         raise ValueError(f"unknown method: {method}")
-    few = F.col("_n") < 4
-    inf = F.lit(float("inf"))
-    return rows.groupBy(*keys).agg(q.alias("_q"), F.count("*").alias("_n")).select(*keys, F.when(few, -inf).otherwise(low).alias("low"), F.when(few, inf).otherwise(high).alias("high"))
+    found = quantiles.select(quantiles.counted(rows, keys, "screening"), keys, wanted, "screening")
+    few, inf = F.col("n") < 4, F.lit(float("inf"))
+    return found.select(*keys, F.when(few, -inf).otherwise(low).alias("low"), F.when(few, inf).otherwise(high).alias("high"))
 
 
 def drop_outliers(rows: DataFrame, keys: list[str], method: str = "iqr", k: float = 1.5, percent: float = 99.0) -> DataFrame:
@@ -59,14 +59,21 @@ def exclusions(pool: DataFrame, keys: list[str], method: str = "iqr") -> DataFra
     return total.join(kept, keys, "left").select(*keys, "n_total", (F.col("n_total") - F.col("_n")).alias("n_dropped_unfinished"), (F.col("_n") - F.coalesce("_k", F.lit(0))).alias("n_dropped_outliers"))
 
 
-def points(active: DataFrame, keys: list[str], value: Column, start: Column, end: Column, mode: str = "normalized", min_active: int = 1, std_factor: float = 1.0, percents: tuple[int, ...] = PERCENTS) -> DataFrame:
-    """keys, x, timestamp, n_active, mean, std, lower, upper, p..: one row per day t with enough values (as many as percentiles at least)."""
-    rows = active.withColumn("_v", value).filter("_v is not null")
-    p = F.percentile("_v", F.array(*(F.lit(q / 100) for q in percents)))
-    out = rows.groupBy(*keys, "t", start.alias("_start"), end.alias("_end")).agg(F.count("*").alias("n_active"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"), p.alias("_p"))
-    out = out.filter(F.col("n_active") >= max(min_active, len(percents)))
+def points(active: DataFrame, keys: list[str], value: Column, start: Column, end: Column, mode: str = "normalized", min_active: int = 1, std_factor: float = 1.0, percents: tuple[int, ...] = PERCENTS, times: str | None = None) -> DataFrame:
+    """keys, x, timestamp, n_active, mean, std, lower, upper, p..: one row per day t with enough values (as many as percentiles at least).
+
+    times: a column that says for how many changes a row stands.
+    """
+    # Changes that wait equally long at a time are one row from here on.
+    rows = active.select(*keys, "t", start.alias("_start"), end.alias("_end"), value.alias("_v"), *([times] if times else []))
+    group = [*keys, "t", "_start", "_end"]
+    out = quantiles.described(quantiles.counted(rows, group, "_v", times), group, [float(q) for q in percents], "_v")
+    out = out.filter(F.col("n") >= max(min_active, len(percents)))
     half = F.col("std") * std_factor
-    return out.select(*keys, time.relative_x(F.col("t"), F.col("_start"), F.col("_end"), mode).alias("x"), F.col("t").alias("timestamp"), "n_active", "mean", "std", (F.col("mean") - half).alias("lower"), (F.col("mean") + half).alias("upper"), *(F.get("_p", F.lit(k)).alias(f"p{q}") for k, q in enumerate(percents)))
+    return out.select(
+        *keys, time.relative_x(F.col("t"), F.col("_start"), F.col("_end"), mode).alias("x"), F.col("t").alias("timestamp"), F.col("n").alias("n_active"), "mean", "std",
+        (F.col("mean") - half).alias("lower"), (F.col("mean") + half).alias("upper"), *(F.get("quantiles", F.lit(k)).alias(f"p{q}") for k, q in enumerate(percents)),
+    )
 
 
 def bin_points(rows: DataFrame, n_bins: int, percents: tuple[int, ...] = PERCENTS) -> DataFrame:

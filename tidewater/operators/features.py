@@ -25,8 +25,8 @@ def build(records: DataFrame, texts: DataFrame, patch_sets: DataFrame, events: D
     known = known.withColumnsRenamed({"past_reports": "past_report_count", "recent_reports": "recent_report_count"})
     days = records.select("t").distinct().withColumn("component", F.lit(component))
     project = releases.days_to_major(days, calendar).drop("component").withColumnRenamed("days_to_major", "days_to_major_release")
-    project = project.join(history.open_count(events).withColumnRenamed("n_open", "open_ticket_count"), "t", "left")
-    project = project.join(history.lines_in_period(events, period_days, every_day=True).withColumnRenamed("reviewed_lines", "reviewed_lines_in_period"), "t", "left")
+    project = project.join(history.open_count(events, days).withColumnRenamed("n_open", "open_ticket_count"), "t", "left")
+    project = project.join(history.lines_in_period(events, days, period_days).withColumnRenamed("reviewed_lines", "reviewed_lines_in_period"), "t", "left")
     rows = records.withColumn("elapsed_time", time.elapsed_minutes(F.col("created"), F.col("t"))).join(said, "change_number", "left")
     rows = rows.join(state, ["change_number", "t"], "left").join(counted, ["change_number", "t"], "left").join(known, ["owner_id", "t"], "left").join(project, "t", "left")
     zero = {f: F.coalesce(f, F.lit(0)).cast("double") for f in FEATURES}

@@ -1,67 +1,58 @@
-"""What a developer or project had done at a time: running counts over the union of events and probes."""
+"""What a developer or project had done at a time, as step functions: every count is a sum of deltas at exact instants."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import time
-
-DAY = 86_400_000_000
+from tidewater.operators.steps import sums_until
 
 
 def _ratio(part, whole):
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
+def _after(ts: Column, days: float) -> Column:
+    """The first instant at which ts no longer lies within the last days, both ends included."""
+    return ts + F.expr(f"interval {round(days * 86400 * 10**6) + 1} microseconds")
+
+
 def developer_history(probes: DataFrame, events: DataFrame, key: str = "owner_id", lookback_days: float = 90) -> DataFrame:
     """probes (key, t) with past_reports, recent_reports, merge_rate, recent_merge_rate. events: key, created, merged.
 
     Reports count if created at or before t, recent ones within the lookback, both ends included; merges count if merged
     at or before t (whenever created); the recent rate asks both of the same change. Probes are made distinct first.
+    A change is recent from its creation, and recent and merged from the later of both, to the end of its lookback.
     """
-    asked = probes.select(key, "t").distinct()
-    made = events.filter("created is not null").select(key, time.micros("created").alias("_s"), F.lit(1).alias("_c"), F.lit(0).alias("_m"), F.lit(None).cast("timestamp_ntz").alias("t"))
-    done = events.filter("created is not null and merged is not null").select(key, time.micros("merged").alias("_s"), F.lit(0).alias("_c"), F.lit(1).alias("_m"), F.lit(None).cast("timestamp_ntz").alias("t"))
-    ask = asked.select(key, time.micros("t").alias("_s"), F.lit(0).alias("_c"), F.lit(0).alias("_m"), "t")
-    # A frame by value takes in events of the probe's own instant, whichever row comes first.
-    past = Window.partitionBy(key).orderBy("_s").rangeBetween(Window.unboundedPreceding, 0)
-    recent = Window.partitionBy(key).orderBy("_s").rangeBetween(-int(lookback_days * DAY), 0)
-    counted = made.union(done).union(ask).withColumns({"past_reports": F.sum("_c").over(past), "recent_reports": F.sum("_c").over(recent), "_merged": F.sum("_m").over(past)}).filter("t is not null")
-    counted = counted.select(key, "t", "past_reports", "recent_reports", _ratio(F.col("_merged"), F.col("past_reports")).alias("merge_rate"))
-    return counted.join(recent_merges(asked, events, key, lookback_days), [key, "t"]).withColumn("recent_merge_rate", _ratio(F.col("_both"), F.col("recent_reports"))).drop("_both")
-
-
-def recent_merges(asked: DataFrame, events: DataFrame, key: str, lookback_days: float) -> DataFrame:
-    """key, t, _both: changes created within the lookback of t and merged by t.
-
-    A two-sided condition: both sides get a bucket of the lookback's length, and a probe meets its own bucket and the one before.
-    """
-    size = F.lit(int(lookback_days * DAY))
-    bucket = F.floor(time.micros("t") / size).cast("long")
-    ask = asked.withColumn("_k", F.explode(F.array(bucket, bucket - 1)))
-    made = events.filter("merged is not null").select(key, "created", "merged", F.floor(time.micros("created") / size).cast("long").alias("_k"))
-    met = ask.join(made, [key, "_k"], "left")
-    inside = (time.micros("created") <= time.micros("t")) & (time.micros("created") >= time.micros("t") - size) & (F.col("merged") <= F.col("t"))
-    return met.groupBy(key, "t").agg(F.count_if(inside).alias("_both"))
-
-
-def open_count(changes: DataFrame) -> DataFrame:
-    """t, n_open at each midnight from the first creation to the last event: created at or before t, not decided by t. The window holds a row per day."""
-    later = lambda c: time.first_midnight(F.col(c))
-    opened = changes.filter("created is not null").select(later("created").alias("t"), F.lit(1).cast("long").alias("d"))
-    closed = changes.filter("created is not null and decision_time is not null").select(later("decision_time").alias("t"), F.lit(-1).cast("long").alias("d"))
-    delta = opened.union(closed).groupBy("t").agg(F.sum("d").alias("d"))
-    days = delta.agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a is not null").select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("t"))
-    return days.join(delta, "t", "left").select("t", F.sum(F.coalesce("d", F.lit(0).cast("long"))).over(Window.orderBy("t")).alias("n_open"))
-
-
-def lines_in_period(changes: DataFrame, days: int = 14, every_day: bool = False) -> DataFrame:
-    """t, reviewed_lines: lines of changes updated in [t - days, t], for day-grained updates; at midnights with updates, or at every one from the first on while updates count."""
-    per_day = changes.filter("updated is not null").groupBy(time.first_midnight(F.col("updated")).alias("t")).agg(F.sum("lines").alias("lines"))
-    if every_day:
-        span = per_day.agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a is not null")
-        grid = span.select(F.explode(F.sequence("a", F.col("b") + F.make_dt_interval(days=F.lit(days)), F.expr("interval 1 day"))).alias("t"))
-        per_day = grid.join(per_day, "t", "left").fillna({"lines": 0})
-    order = Window.orderBy(F.unix_date(F.col("t").cast("date"))).rangeBetween(-days, 0)
-    return per_day.select("t", F.sum("lines").over(order).alias("reviewed_lines"))
+    created, merged = F.col("created"), F.col("merged")
+    both, end = F.greatest(created, merged), _after(created, lookback_days)
+    kept = F.coalesce((merged.isNotNull() & (both < end)).cast("int"), F.lit(0))
+
+    def delta(at: Column, past=0, recent=0, done=0, recently_done=0) -> Column:
+        return F.struct(at.alias("at"), *(F.lit(x).cast("long").alias(c) if isinstance(x, int) else x.cast("long").alias(c) for c, x in (("past", past), ("recent", recent), ("done", done), ("both", recently_done))))
+
+    steps = F.array(delta(created, 1, 1), delta(merged, 0, 0, 1), delta(F.when(kept == 1, both), 0, 0, 0, 1), delta(end, 0, -1, 0, -kept))
+    deltas = events.filter("created is not null").select(key, F.explode(steps).alias("_d")).select(key, "_d.*")
+    out = sums_until(probes, deltas, [key], ["past", "recent", "done", "both"])
+    rates = {"merge_rate": _ratio(F.col("done"), F.col("past")), "recent_merge_rate": _ratio(F.col("both"), F.col("recent"))}
+    return out.withColumns(rates).select(key, "t", F.col("past").alias("past_reports"), F.col("recent").alias("recent_reports"), *rates)
+
+
+def open_count(changes: DataFrame, times: DataFrame) -> DataFrame:
+    """t of times (made distinct), n_open: changes created at or before t less those decided at or before it, whenever t is."""
+    steps = F.array(F.struct(F.col("created").alias("at"), F.lit(1).cast("long").alias("n_open")), F.struct(F.col("decision_time").alias("at"), F.lit(-1).cast("long").alias("n_open")))
+    return sums_until(times, changes.filter("created is not null").select(F.explode(steps).alias("_d")).select("_d.*"), [], ["n_open"])
+
+
+def lines_in_period(changes: DataFrame, times: DataFrame, days: float = 14) -> DataFrame:
+    """t of times (made distinct), reviewed_lines: lines of changes updated in [t - days, t], whenever t and the updates are."""
+    lines = F.coalesce("lines", F.lit(0)).cast("long")
+    steps = F.array(F.struct(F.col("updated").alias("at"), lines.alias("reviewed_lines")), F.struct(_after(F.col("updated"), days).alias("at"), (-lines).alias("reviewed_lines")))
+    return sums_until(times, changes.filter("updated is not null").select(F.explode(steps).alias("_d")).select("_d.*"), [], ["reviewed_lines"])
+
+
+def days_between_events(changes: DataFrame) -> DataFrame:
+    """t: every midnight from that at or after the first creation or decision to that at or after the last one."""
+    ends = changes.filter("created is not null").agg(F.least(F.min("created"), F.min("decision_time")).alias("a"), F.greatest(F.max("created"), F.max("decision_time")).alias("b")).filter("a is not null")
+    return ends.select(F.explode(F.sequence(time.first_midnight(F.col("a")), time.first_midnight(F.col("b")), F.expr("interval 1 day"))).alias("t"))

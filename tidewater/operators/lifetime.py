@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import time
+from tidewater.operators import quantiles
 from tidewater.operators.changes import DECIDED
 
 # The groups of statuses that are analysed side by side.
@@ -63,15 +64,16 @@ def histogram(values: DataFrame, keys: list[str], bins: int = 50, log_bins: bool
 
 def summarize(values: DataFrame, keys: list[str], percents: tuple[int, ...] = (10, 25, 50, 75, 90)) -> DataFrame:
     """keys, n, mean, median, min, max, p..: nulls where a group is empty."""
-    rows = values.filter("value is not null")
-    p = F.percentile("value", F.array(*(F.lit(q / 100) for q in percents)))
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.min("value").alias("min"), F.max("value").alias("max"), p.alias("_p"))
-    return out.select(*keys, "n", "mean", "median", "min", "max", *(F.get("_p", F.lit(k)).alias(f"p{q}") for k, q in enumerate(percents)))
+    out = quantiles.described(quantiles.counted(values, keys, "value"), keys, [50.0, *map(float, percents)])
+    at = lambda i: F.get("quantiles", F.lit(i))
+    return out.select(*keys, "n", "mean", at(0).alias("median"), "min", "max", *(at(k + 1).alias(f"p{q}") for k, q in enumerate(percents)))
 
 
 def box_plot(values: DataFrame, keys: list[str], k: float = 1.5) -> DataFrame:
     """keys, n, q1, median, q3, low and high whisker (the outermost values within k interquartile ranges), n_fliers."""
-    q = values.groupBy(*keys).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = q.select(*keys, F.get("_q", F.lit(0)).alias("q1"), F.get("_q", F.lit(1)).alias("median"), F.get("_q", F.lit(2)).alias("q3"))
+    counts = quantiles.counted(values, keys, "value")
+    at = lambda i: F.get("quantiles", F.lit(i))
+    q = quantiles.select(counts, keys, [25.0, 50.0, 75.0]).select(*keys, at(0).alias("q1"), at(1).alias("median"), at(2).alias("q3"))
     inside = (F.col("value") >= F.col("q1") - k * (F.col("q3") - F.col("q1"))) & (F.col("value") <= F.col("q3") + k * (F.col("q3") - F.col("q1")))
-    return values.join(q, keys).groupBy(*keys, "q1", "median", "q3").agg(F.count("*").alias("n"), F.min(F.when(inside, F.col("value"))).alias("whisker_low"), F.max(F.when(inside, F.col("value"))).alias("whisker_high"), F.count_if(~inside).alias("n_fliers"))
+    met = quantiles.joined(counts, q, keys).groupBy(*keys, "q1", "median", "q3")
+    return met.agg(F.sum("c").alias("n"), F.min(F.when(inside, F.col("value"))).alias("whisker_low"), F.max(F.when(inside, F.col("value"))).alias("whisker_high"), F.sum(F.when(inside, 0).otherwise(F.col("c"))).alias("n_fliers"))

@@ -86,7 +86,8 @@ def active_set_daily(spark, sf_dir):
 
 @query(S.using("changes") + ", e as (select created as t, 1 as d from changes union all select decision_time, -1 from changes where decision_time is not null), days as (select unnest(generate_series((select min(t) from e), (select max(t) from e), interval 1 day)) as t), s as (select t, sum(d) as d from e group by all) select days.t, cast(sum(coalesce(d, 0)) over (order by days.t) as BIGINT) as n_open from days left join s on s.t = days.t")
 def open_ticket_count(spark, sf_dir):
-    return history.open_count(S.changes(spark, sf_dir))
+    made = S.changes(spark, sf_dir)
+    return history.open_count(made, history.days_between_events(made))
 
 
 @query(S.using("human") + " select change_number, count(*) as n_reviews, min(date) as first_review, max(date) as last_review from human group by all")
@@ -129,8 +130,8 @@ points as (select version, (epoch_us(t) - epoch_us(cycle_start)) / (epoch_us(cyc
 
 def waiting_points(spark, sf_dir):
     rows = distribution.drop_outliers(distribution.drop_unfinished(distribution.screened(pool(spark, sf_dir), "time_to_decision")), ["version"])
-    active = changes.active_days(rows, F.col("cycle_start"), F.col("cycle_end"), S.LOOKBACK, undecided=False)
-    return distribution.points(active, ["version"], distribution.waiting("time_to_decision", F.col("t"), "days"), F.col("cycle_start"), F.col("cycle_end"))
+    active = changes.active_days(rows, F.col("cycle_start"), F.col("cycle_end"), S.LOOKBACK, undecided=False, alike=["version", "cycle_start", "cycle_end", "decision_time"])
+    return distribution.points(active, ["version"], distribution.waiting("time_to_decision", F.col("t"), "days"), F.col("cycle_start"), F.col("cycle_end"), times="n_alike")
 
 
 @query(WAIT + " select version, round(x, 6) as x, timestamp, n_active, " + ", ".join(f"round({n}, 6) as {n}" for n in POINT_NAMES) + " from points")
@@ -191,9 +192,19 @@ def recent_merge_rate(spark, sf_dir):
     return _developers(spark, sf_dir).select("owner_id", "t", *r6("recent_merge_rate"))
 
 
-@query(S.using("history") + ", d as (select case when date_trunc('day', created) < created then date_trunc('day', created) + interval 1 day else created end as t, sum(lines) as lines from history group by all) select a.t, sum(b.lines)::BIGINT as reviewed_lines from d a join d b on b.t <= a.t and b.t >= a.t - interval 3 day group by all")
+@query(
+    S.using("history")
+    + """, d as (select distinct case when date_trunc('day', created) < created then date_trunc('day', created) + interval 1 day else created end as t from history),
+asked as (select t from d union select t + interval 40 hour from d)
+select t, coalesce(sum(lines), 0)::BIGINT as reviewed_lines from asked left join history on created <= t and created >= t - interval 3 day group by t"""
+)
 def reviewed_lines(spark, sf_dir):
-    return history.lines_in_period(S.history(spark, sf_dir).withColumnRenamed("created", "updated"), 3)
+    """Lines of the three days before every midnight after an update, and before an instant within a day."""
+    from tidewater.functions.time import first_midnight
+
+    made = S.history(spark, sf_dir).withColumnRenamed("created", "updated")
+    days = made.select(first_midnight(F.col("updated")).alias("t")).distinct()
+    return history.lines_in_period(made, days.union(days.select(F.col("t") + F.expr("interval 40 hours"))), 3)
 
 
 @query(S.using("lines") + ", probes as (select o_orderkey as change_number, o_orderdate + interval 30 day as t from orders) select p.change_number, p.t, number::INT as number, round(l_quantity)::BIGINT as lines_inserted, round(l_discount * 100)::BIGINT as lines_deleted from probes p left join (select *, row_number() over (partition by change_number, l_shipdate order by number desc) as k from lines) l on l.change_number = p.change_number and l_shipdate = (select max(l_shipdate) from lineitem x where x.l_orderkey = p.change_number and x.l_shipdate <= p.t) and k = 1")
@@ -252,6 +263,25 @@ def mann_whitney(spark, sf_dir):
     return out.select("version", "n1", "n2", "differ", *r6("p_value", "u1", "z", "mean1", "mean2", "median1", "median2"))
 
 
+SMALL = cohorts.EXACT
+
+
+@query(f"""with v as (select o_custkey as owner_id, o_orderstatus = 'F' as a, o_totalprice as value from orders where o_orderstatus in ('F', 'O')),
+r as (select *, rank() over (partition by owner_id order by value) + (count(*) over (partition by owner_id, value) - 1) / 2.0 as rk, count(*) over (partition by owner_id, value) as same from v),
+u as (select owner_id, count(*) filter (a) as n1, count(*) filter (not a) as n2, sum(rk) filter (a) as r1, max(same) as same from r group by 1),
+masks as (select n, bit_count(m)::BIGINT as n1, list_sum(list_transform(range(0, n), lambda i: case when (m >> i) & 1 = 1 then i + 1 else 0 end))::BIGINT as s from range(2, {SMALL + 1}) t(n), lateral (select unnest(range(1, (1::BIGINT << n) - 1)) as m)),
+c as (select n, n1, s - n1 * (n1 + 1) // 2 as u, count(*) as c from masks group by all),
+p as (select n, n1, u, least(1.0, 2.0 * least(sum(c) over (g order by u), sum(c) over (g order by u desc)) / sum(c) over g)::DOUBLE as p from c window g as (partition by n, n1))
+select owner_id, u.n1, u.n2, round(r1 - u.n1 * (u.n1 + 1) / 2, 6)::DOUBLE as u1, round(p, 6) as p_value, p < 0.05 as differ
+from u join p on p.n = u.n1 + u.n2 and p.n1 = u.n1 and p.u = r1 - u.n1 * (u.n1 + 1) / 2 where same = 1""")
+def mann_whitney_exact(spark, sf_dir):
+    """Whether a customer's finished orders cost other than open ones, by exact p-values: customers of few orders without ties."""
+    rows = S.table(spark, sf_dir, "orders").filter("o_orderstatus in ('F', 'O')").select(F.col("o_custkey").alias("owner_id"), "o_orderstatus", F.col("o_totalprice").alias("value"))
+    apart = rows.groupBy("owner_id").agg(F.count("*").alias("n"), F.countDistinct("value").alias("k")).filter(f"n <= {SMALL} and n = k")
+    out = cohorts.mann_whitney(rows.join(apart, "owner_id", "left_semi"), ["owner_id"], "o_orderstatus", "F", "O").filter("n1 > 0 and n2 > 0")
+    return out.select("owner_id", "n1", "n2", *r6("u1", "p_value"), "differ")
+
+
 @query("select o_orderpriority as project, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 6) as percent from orders group by 1")
 def project_shares(spark, sf_dir):
     return cohorts.shares(S.table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "project"), "project").select("project", "n", *r6("percent"))

@@ -295,7 +295,7 @@ def _features(spark, sf_dir):
     rows = reviewed_days(spark, sf_dir).withColumn("merged", F.lit(None).cast("timestamp_ntz"))
     events = c.select("owner_id", "created", changes.merged_time(F.col("status"), F.col("updated")).alias("merged"))
     known = history.developer_history(rows.select("owner_id", "t"), events, "owner_id", 90)
-    return rows.join(known, ["owner_id", "t"]).join(history.open_count(c), "t")
+    return rows.join(known, ["owner_id", "t"]).join(history.open_count(c, rows.select("t")), "t")
 
 
 @query(S.using("changes", "human", "grid") + ", a as (select change_number, owner_id, t from grid join changes on created <= t and created >= t - interval 365 day and (decision_time is null or t < decision_time)), p as (select distinct owner_id, t from a), k as (select p.owner_id, p.t, count(*) filter (created <= p.t) as past, count(*) filter (created <= p.t and created >= p.t - interval 90 day) as recent, count(*) filter (status = 'MERGED' and updated <= p.t) as m, count(*) filter (created <= p.t and created >= p.t - interval 90 day and status = 'MERGED' and updated <= p.t) as rm from p join changes using (owner_id) group by all), o as (select t, (select count(*) from changes where created <= t) - (select count(*) from changes where decision_time <= t) as n_open from grid) select change_number, t, past as past_reports, recent as recent_reports, round(coalesce(m / nullif(past, 0)::DOUBLE, 0), 6) as merge_rate, round(coalesce(rm / nullif(recent, 0)::DOUBLE, 0), 6) as recent_merge_rate, n_open from a join k using (owner_id, t) join o using (t)")
