@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tidewater.operators import dataset
+from tidewater.operators import dataset, keywords
 from tidewater.plans import mining
 from tidewater.plans import standins as S
 
@@ -46,6 +46,18 @@ def test_phrases_of_one_to_ten_words(spark, tmp_path):
     assert set(out) == mined and len(out) == len(mined) and {k for k, _ in out} == {"request", "confirmation"}
 
 
+def test_frequent_phrases_are_those_of_all_counts(spark):
+    """Against counting everything; the filter prunes nothing wrongly when it is almost full, and slices cut no comment."""
+    r = random.Random(7)
+    rows = [(" ".join(r.choice("abcdefgh") * r.randint(1, 2) for _ in range(r.randint(0, 30))), k % 2 == 0) for k in range(200)] + [(None, True), ("", False), ("x" * 5000, True), (" ".join(["again"] * 3000), True)]
+    comments = spark.createDataFrame(rows, "cleaned string, flag boolean").repartition(3)
+    want = {tuple(x) for x in keywords.phrase_counts(comments.fillna(""), ["flag"], 1, 5).filter("total >= 4").collect()}
+    for bits, words in ((26, 1 << 19), (7, 40)):
+        out = list(map(tuple, keywords.frequent_phrases(comments, ["flag"], 4, 5, bits, words).collect()))
+        assert len(out) == len(set(out)) and set(out) == want and {len(p.split()) for p, *_ in want} >= {1, 2, 3}
+    assert keywords.frequent_phrases(comments.limit(0), ["flag"]).collect() == []
+
+
 def test_feature_vectors_of_every_day(spark):
     folder = "/root/testdata/sf0.001"
     out = mining.feature_vectors_daily(spark, folder).toPandas()

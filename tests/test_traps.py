@@ -1,6 +1,7 @@
 """Hand-made cases for the semantics that are easy to get wrong."""
 
 import datetime as dt
+import hashlib
 import itertools
 import json
 import random
@@ -317,6 +318,26 @@ def test_splits_do_not_leak(spark):
     assert {round(x.w, 9) for x in made.filter("side = 'train'").groupBy("d", "p", "repeat", "change_id").agg(F.sum("weight").alias("w")).collect()} == {1.0}
 
 
+def test_samples_by_bound_are_the_first_of_each_layer(spark):
+    """Against sorting everything; with a slack so small that layers are taken whole; the window holds few rows."""
+    r = random.Random(12)
+    rows = [(d, 1, k, r.choice((1, 1, 1, 2, 3))) for d in (1, 2) for k in range(3000)]
+    layered = spark.createDataFrame(rows, "d int, p int, change_id long, layer int")
+    quota = {(x.d, x.p): x for x in dataset.quotas(layered, 40, 10).collect()}
+    want = set()
+    for d in (1, 2):
+        q = quota[(d, 1)]
+        for repeat in (0, 1):
+            for layer in (1, 2, 3):
+                order = sorted((hashlib.md5(f"{42 + repeat}-{k}".encode()).hexdigest(), k) for x, _, k, own in rows if (x, own) == (d, layer))
+                cut, end = {1: (q.t1, q.t1), 2: (q.t2, q.t2 + q.e2), 3: (0, q.e3)}[layer]
+                want |= {(d, 1, repeat, k, "train" if i < cut else "eval") for i, (_, k) in enumerate(order[:end])}
+    for slack in (6.0, 1.0, 0.0):
+        assert set(map(tuple, dataset.split(layered, 40, 10, 2, slack=slack).collect())) == want
+    plan = dataset.split(layered, 40, 10, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
 def test_drift(spark):
     step = [("m", 1, p, v) for p, v in enumerate((0.1, 0.1, 0.1, 0.9, 0.9, 0.9), 1)] + [("m", 2, p, 0.5) for p in range(1, 7)] + [("m", 3, p, 0.5) for p in (1, 2)]
     s = drift.series(spark.createDataFrame(step, "metric string, d int, p int, value double"), ["metric", "d"])

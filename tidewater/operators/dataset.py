@@ -51,17 +51,28 @@ def quotas(layered: DataFrame, n_train: int, n_eval: int, keys: list[str] | None
     return q.withColumn("ok", F.coalesce(F.expr("t1 <= n1 and e3 <= n3 and t2 >= 0 and e2 >= 0 and t2 + e2 <= n2"), F.lit(False)))
 
 
-def split(layered: DataFrame, n_train: int, n_eval: int, repeats: int = 1, seed: int = 42, keys: list[str] | None = None) -> DataFrame:
-    """keys, d, p, repeat, change_id, side (train or eval): changes in the order of md5(seed + repeat, id), the first ones of each layer."""
-    keys = keys or []
+def split(layered: DataFrame, n_train: int, n_eval: int, repeats: int = 1, seed: int = 42, keys: list[str] | None = None, slack: float = 6.0) -> DataFrame:
+    """keys, d, p, repeat, change_id, side (train or eval): changes in the order of md5(seed + repeat, id), the first ones of each layer.
+
+    A layer is thinned before it is put in order: as its size is known, a bound on the md5 keeps a few more changes than
+    are wanted. Where it kept too few (a chance of about 1e-9 at the given slack), that layer is taken whole.
+    """
+    cell = [*(keys or []), "d", "p"]
     q = quotas(layered, n_train, n_eval, keys).filter("ok")
-    rows = layered.join(q, [*keys, "d", "p"]).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))  # a row per cell
+    take = F.when(F.col("layer") == 1, F.col("t1")).when(F.col("layer") == 2, F.col("t2") + F.col("e2")).otherwise(F.col("e3"))
+    size = F.when(F.col("layer") == 1, F.col("n1")).when(F.col("layer") == 2, F.col("n2")).otherwise(F.col("n3"))
+    rows = layered.join(q, cell).withColumn("_take", take).filter("_take > 0").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))  # q: a row per cell
     draw = F.md5(F.concat_ws("-", (F.lit(seed) + F.col("repeat")).cast("string"), F.col("change_id").cast("string")))
-    order = Window.partitionBy(*keys, "d", "p", "repeat", "layer").orderBy(draw, "change_id")
-    ranked = rows.withColumn("_n", F.row_number().over(order))
+    share = F.conv(F.substring("_draw", 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    bound = (F.col("_take") + F.lit(slack) * F.sqrt("_take") + F.lit(slack * slack)) / size
+    rows = rows.withColumn("_draw", draw).withColumn("_low", share < bound).select(*cell, "repeat", "layer", "change_id", "_draw", "_low", "_take", "t1", "t2", "e2", "e3")
+    layer = [*cell, "repeat", "layer"]
+    short = rows.groupBy(*layer, "_take").agg(F.count_if("_low").alias("_n")).filter("_n < _take").select(*layer, F.lit(True).alias("_short"))  # no rows, as a rule
+    kept = rows.join(short, layer, "left").filter("_low or _short")
+    ranked = kept.withColumn("_n", F.row_number().over(Window.partitionBy(*layer).orderBy("_draw", "change_id"))).filter(F.col("_n") <= n_train + n_eval)
     train = F.expr("(layer = 1 and _n <= t1) or (layer = 2 and _n <= t2)")
     evaluate = F.expr("(layer = 3 and _n <= e3) or (layer = 2 and _n > t2 and _n <= t2 + e2)")
-    return ranked.withColumn("side", F.when(train, "train").when(evaluate, "eval")).filter("side is not null").select(*keys, "d", "p", "repeat", "change_id", "side")
+    return ranked.withColumn("side", F.when(train, "train").when(evaluate, "eval")).filter("side is not null").select(*cell, "repeat", "change_id", "side")
 
 
 def samples(records: DataFrame, chosen: DataFrame, pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:

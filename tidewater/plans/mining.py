@@ -91,7 +91,7 @@ def mined_phrase_counts(spark, sf_dir):
 @query(MINED.replace("<where>", "") + " select 'request' as kind, phrase, total from counts where total >= 10 and request / total >= 0.3 union all select 'confirmation', phrase, total from counts where total >= 10 and confirmation / total >= 0.9")
 def mined_keyword_precision(spark, sf_dir):
     """keyword_precision of all phrases of 1 to 10 words."""
-    counts = mined_phrase_counts(spark, sf_dir)
+    counts = keywords.frequent_phrases(_comments(spark, sf_dir), ["request", "confirmation"], 10)
     found = [keywords.precise(counts, k, 10, ratio).select(F.lit(k).alias("kind"), "phrase", "total") for k, ratio in (("request", 0.3), ("confirmation", 0.9))]
     return found[0].unionByName(found[1])
 
