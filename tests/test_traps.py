@@ -144,6 +144,21 @@ def test_antichain_against_all_pairs(spark):
     assert got == {p for p in phrases if not any(q != p and q in p for q in phrases)}
 
 
+def test_antichain_of_thousands_of_phrases(spark):
+    """5000 phrases of words, most of which begin alike; no key of a join is more than one phrase."""
+    r = random.Random(3)
+    words = ["the", "then", "other", "fix", "fixes", *(f"w{k}" for k in range(400))]
+    phrases = {" ".join(["the"] * r.randint(0, 1) + [r.choice(words) for _ in range(r.randint(1, 5))]) for _ in range(5200)}
+    out = [x.phrase for x in keywords.without_longer(spark.createDataFrame([(p,) for p in phrases] * 2, "phrase string")).collect()]
+    short = sorted(phrases, key=len)
+    least = []
+    for p in short:
+        if not any(q in p for q in least):
+            least.append(p)
+    assert len(phrases) > 4500 and sorted(out) == sorted(least)
+    assert keywords.without_longer(spark.createDataFrame([(None,)], "phrase string")).collect() == []
+
+
 def test_outliers(spark):
     rows = [("few", 1, 1.0), ("few", 2, 2.0), ("few", 3, 999.0)] + [("many", k, float(v)) for k, v in enumerate((1, 2, 3, 4, 5.5, 100))]
     df = spark.createDataFrame(rows, "g string, decision_time long, screening double")

@@ -1,22 +1,18 @@
-"""Regressors of Spark MLlib over sampled records. Labels go in and come out in hours."""
+"""Regressors over sampled records: every cell is a group of bounded size, and all of them are fitted in one job. Labels go in and come out in hours."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.ml import Pipeline
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.math import from_label, to_label
+from tidewater.operators import trees as grown
 
-#: Models by name, as functions of a seed; more can be added.
-MODELS = {
-    "gradient_boosting": lambda seed, trees: GBTRegressor(featuresCol="features", labelCol="target", weightCol="weight", maxIter=trees, maxDepth=4, seed=seed),
-    "random_forest": lambda seed, trees: RandomForestRegressor(featuresCol="features", labelCol="target", weightCol="weight", numTrees=trees, seed=seed),
-}
+#: Models by name: from training features, targets and weights to predictions for other features. More can be added.
+MODELS = {"gradient_boosting": grown.boosted, "random_forest": grown.forest}
 
 
 def assembled(rows: DataFrame, features: list[str], defaults: dict | None = None) -> DataFrame:
@@ -31,35 +27,31 @@ def scaled(rows: DataFrame, features: list[str], defaults: dict | None = None) -
     return StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(made).transform(made)
 
 
-def train_predict(samples: DataFrame, features: list[str], model: str, seed: int, trees: int = 200, log_label: bool = True, keys: list[str] | None = None) -> DataFrame:
-    """Predictions for the evaluation rows of one cell and repeat: keys, d, p, repeat, t, change_id, y_true, y_pred."""
-    target = to_label(F.col("label")) if log_label else F.col("label")
-    rows = samples.withColumn("target", target).fillna({"weight": 1.0, **dict.fromkeys(features, 0.0)})
-    made = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), MODELS[model](seed, trees)]).fit(rows.filter("side = 'train'"))
-    out = made.transform(rows.filter("side = 'eval'"))
-    hours = from_label(F.col("prediction")) if log_label else F.col("prediction")
-    return out.select(*(keys or []), "d", "p", "repeat", "t", "change_id", F.col("label").alias("y_true"), hours.alias("y_pred"))
-
-
-def all_cells(samples: DataFrame, features: list[str], models: list[str], path: str, keys: list[str] | None = None, seed: int = 42, trees: int = 200, at_once: int = 4) -> DataFrame:
+def all_cells(samples: DataFrame, features: list[str], models: list[str], keys: list[str] | None = None, seed: int = 42, trees: int = 200, log_label: bool = True) -> DataFrame:
     """Predictions of all cells (keys, d, p, repeat) in samples by each model: keys, model, d, p, repeat, t, change_id, y_true, y_pred.
 
-    A cell's fit is a distributed job, of which at_once run side by side; the driver holds the list of cells alone, and
-    every cell's predictions are a folder under path, so what is fitted stays when others fail. samples should be a table.
+    A cell is one group, fitted in one task: it holds the days that so many sampled changes spend in one bin of a cycle,
+    so its size follows from the design (dataset.split) and not from the tables. Cells, repeats, releases and models
+    are spread over the cluster in one shuffle; lost tasks are fitted again with the same result, as rows are put in
+    order and draws follow from seed + repeat. Null features count as 0; a cell without training rows gives nothing.
     """
-    keys = keys or []
-    cells = samples.filter("side = 'train'").select(*keys, "d", "p", "repeat").distinct().collect()
-
-    def run(cell, name: str, number: int) -> None:
-        rows = samples
-        for k in (*keys, "d", "p", "repeat"):
-            rows = rows.filter(F.col(k) == F.lit(cell[k]))
-        out = train_predict(rows, features, name, seed + cell["repeat"], trees, keys=keys).withColumn("model", F.lit(name))
-        out.write.mode("overwrite").parquet(f"{path}/cell={number}-{name}")
-
-    with ThreadPoolExecutor(at_once) as pool:
-        for done in [pool.submit(run, c, m, k) for m in models for k, c in enumerate(sorted(cells))]:
-            done.result()
-    schema = samples.select(*keys, "d", "p", "repeat", "t", "change_id", F.col("label").alias("y_true"), F.lit(0.0).alias("y_pred"), F.lit("").alias("model")).schema
-    out = samples.sparkSession.read.schema(schema).option("recursiveFileLookup", True).parquet(path) if cells else samples.sparkSession.createDataFrame([], schema)
-    return out.select(*keys, "model", "d", "p", "repeat", "t", "change_id", "y_true", "y_pred")
+    cell = [*(keys or []), "d", "p", "repeat"]
+    target = to_label(F.col("label")) if log_label else F.col("label")
+    wanted = [*cell, "t", "change_id", "side", "label", "weight", *features]
+    rows = samples.select(*wanted).fillna({"weight": 1.0, **dict.fromkeys(features, 0.0)}).withColumn("_target", target)
+    rows = rows.withColumn("model", F.explode(F.array(*(F.lit(m) for m in models))))
+    out = rows.select(*(keys or []), "model", "d", "p", "repeat", "t", "change_id", F.col("label").alias("y_true"), F.lit(0.0).alias("y_pred"))
+
+    schema, names = out.schema, out.columns
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["change_id", "t"], kind="stable")
+        train, ask = group[group.side == "train"], group[group.side == "eval"]
+        made = np.zeros(0)
+        if len(train) and len(ask):
+            x, asked = (part[features].to_numpy(np.float64) for part in (train, ask))
+            made = MODELS[group.model.iloc[0]](x, train["_target"].to_numpy(np.float64), train["weight"].to_numpy(np.float64), asked, seed + int(group.repeat.iloc[0]), trees)
+        return ask.iloc[: len(made)].rename(columns={"label": "y_true"}).assign(y_pred=made)[names]
+
+    fitted = rows.groupBy(*cell, "model").applyInPandas(fit, schema)
+    return fitted.withColumn("y_pred", from_label(F.col("y_pred"))) if log_label else fitted

@@ -60,7 +60,9 @@ def analyze(all_changes: DataFrame, cycles: DataFrame, features, names: list[str
     made = dataset.samples(rows, chosen, pairs, keys)
     made.write.mode("overwrite").parquet(f"{path}/samples")
     made = spark.read.schema(made.schema).parquet(f"{path}/samples")
-    predictions = model.all_cells(made, names, list(models), f"{path}/predictions", keys, seed, trees)
+    predictions = model.all_cells(made, names, list(models), keys, seed, trees)
+    predictions.write.mode("overwrite").parquet(f"{path}/predictions")
+    predictions = spark.read.schema(predictions.schema).parquet(f"{path}/predictions")
     out = recompute(predictions, ["model", "version"], permutations, alpha)
     out["count"] = drift.drift_count(out["found"], ["model", "metric"])
     sinks.table(out["matrix"], f"{path}/matrix")

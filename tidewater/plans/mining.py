@@ -10,7 +10,7 @@ from tidewater.plans import standins as S
 from tidewater.plans.activity import r6, reviewed_days
 from tidewater.plans.registry import query
 from tidewater.sources import ingest
-from tidewater.sources.scratch import folder
+from tidewater.sources.scratch import folder, written
 from tidewater.streaming import ingest as stream
 
 # Subjects that the documents' own words never give, so that every score occurs.
@@ -349,16 +349,33 @@ def _known_by(spark, sf_dir):
     return lambda made: features.build(made, texts, sets, c, releases.of_component(S.releases(spark), S.PROJECT), S.PROJECT)
 
 
+def _samples(spark, sf_dir, n_train, n_eval, repeats):
+    """The records of all cells, sampled, with what they were sampled by."""
+    rows = dataset.labelled(reviewed_days(spark, sf_dir), "time_to_next_review").withColumnRenamed("change_number", "change_id")
+    rows = written(dataset.with_bins(rows, S.ntz("1998-04-01"), S.ntz("1998-06-30"), 6).drop("next_review", "decision_time"), "records")
+    chosen = dataset.split(dataset.layers(rows, _pairs(spark)), n_train, n_eval, repeats)
+    return dataset.samples(rows, chosen, _pairs(spark))
+
+
+LABELLED = S.using("changes", "human", "grid") + f""", records as (select a.change_number as change_id, a.t, floor((epoch_us(a.t) - epoch_us(timestamp '1998-04-01')) / 1e6 / (90 * 86400 / 6.0))::INT as bin
+from (select change_number, t from grid join changes on created <= t and created >= t - interval 365 day and (decision_time is null or t < decision_time)) a asof join human h on h.change_number = a.change_number and h.date > a.t), {PAIR_SQL}"""
+DRAWN = SPLIT.replace(RECORDS, LABELLED + RECORDS[RECORDS.index(", held as") :]).replace("80.0 *", "400.0 *").replace("20.0 *", "100.0 *").replace("80 - t1", "400 - t1").replace("20 - e3", "100 - e3").replace("range(0, 2) t(repeat)", "range(0, 10) t(repeat)")
+
+
+@query(DRAWN + """ select c.d, c.p, c.repeat::INT as repeat, c.side, count(*) as n_records, count(distinct c.change_id) as n_changes, round(case when any_value(c.side) = 'train' then count(distinct c.change_id) end, 6)::DOUBLE as weight
+from chosen c join pairs using (d, p) join records r on r.change_id = c.change_id and r.bin = case c.side when 'train' then i else j end group by 1, 2, 3, 4""")
+def sampled_records(spark, sf_dir):
+    """How many labelled records and changes all cells and ten repeats hold, 400 changes to train and 100 to evaluate each; weights sum to the changes."""
+    rows = _samples(spark, sf_dir, 400, 100, 10)
+    return rows.groupBy("d", "p", "repeat", "side").agg(F.count("*").alias("n_records"), F.countDistinct("change_id").alias("n_changes"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
 @query(None)
 def train_predict(spark, sf_dir):
-    """All cells of the design from records to predictions, on the fifteen features, by both models: split, weights, fits (of few trees), predictions."""
-    rows = dataset.labelled(reviewed_days(spark, sf_dir), "time_to_next_review").withColumnRenamed("change_number", "change_id")
-    rows = dataset.with_bins(rows, S.ntz("1998-04-01"), S.ntz("1998-06-30"), 6).drop("next_review", "decision_time")
-    chosen = dataset.split(dataset.layers(rows, _pairs(spark)), 40, 10)
-    made, path = dataset.samples(rows, chosen, _pairs(spark)), folder(spark, "cells")
+    """All cells and ten repeats from records to predictions, on the fifteen features, by both models: split, weights, fits (of 5 trees), predictions."""
+    made = written(_samples(spark, sf_dir, 400, 100, 10), "samples")
     known = _known_by(spark, sf_dir)(made.select(F.col("change_id").alias("change_number"), "owner_id", "created", "t").distinct()).withColumnRenamed("change_number", "change_id").drop("owner_id", "created")
-    made.join(known, ["change_id", "t"]).write.parquet(f"{path}/samples")
-    return model.all_cells(spark.read.parquet(f"{path}/samples"), dataset.FEATURES, list(model.MODELS), f"{path}/predictions", trees=3)
+    return model.all_cells(made.join(known, ["change_id", "t"]), dataset.FEATURES, list(model.MODELS), trees=5)
 
 
 @query("with x as (select l_quantity as a, l_extendedprice as b from lineitem), s as (select avg(a) as ma, stddev_samp(a) as sa, avg(b) as mb, stddev_samp(b) as sb from x) select l_orderkey, l_linenumber, round((l_quantity - ma) / sa, 4) as quantity, round((l_extendedprice - mb) / sb, 4) as price from lineitem, s")
