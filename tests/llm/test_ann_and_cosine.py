@@ -117,3 +117,11 @@ def test_near_duplicates_of_repeated_ids(spark):
     a, b = [1.0, 0.0, 0.2], [0.0, 1.0, 0.0]
     out = sorted(map(tuple, cosine.near_duplicates(table(spark, [(5, a), (5, b), (7, a), (9, b), (2, [-1.0, 0.0, 0.0])])).collect()))
     assert {x[0]: x[2] for x in out} == {2: 2, 5: 5, 7: 5, 9: 5} and len(out) == 5
+
+
+def test_one_id_with_different_vectors_links_them(spark):
+    """3 and 5 share a vector, 5 and 7 another; 8 holds two of which one is near 9."""
+    a, b, c, d = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0], [0.0, 0.0, 0.0, 1.0]
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, c), (8, d), (9, [0.0, 0.0, 0.1, 1.0]), (10, c)]
+    out = sorted((r.vec_id, r.component_id, r.kept) for r in cosine.near_duplicates(table(spark, rows)).collect())
+    assert out == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (8, 8, True), (8, 8, True), (9, 8, False), (10, 8, False)]

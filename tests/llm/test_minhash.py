@@ -90,3 +90,11 @@ def test_boilerplate_groups_against_brute_force(spark, monkeypatch, hubs, rulers
     docs = spark.createDataFrame([(d, t, 1, "k", None) for d, t in rows], SCHEMA)
     got = sorted((tuple(r) for r in minhash.near_duplicates(docs, 2).collect()), key=str)
     assert got == brute(rows, 2)
+
+
+def test_one_id_with_different_texts_links_them(spark):
+    """3 and 5 share a text, 5 and 7 another; 8 holds two, of which one is a near copy of 9."""
+    text = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(3, text(1)), (5, text(1)), (5, text(2)), (7, text(2)), (8, text(3)), (8, text(4)), (9, text(4) + " more"), (10, text(3)), (11, text(5)), (5, None)]
+    out = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame([(d, t, 1, "k", None) for d, t in rows], SCHEMA)).collect())
+    assert out == [(3, 3, True), (5, 3, False), (5, 3, False), (5, 5, True), (7, 3, False), (8, 8, True), (8, 8, True), (9, 8, False), (10, 8, False), (11, 11, True)]

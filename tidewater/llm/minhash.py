@@ -247,7 +247,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
 
     Links documents whose shingle sets have a Jaccard similarity of percent / 100 or more; component_id is the smallest
     doc_id reachable, itself included; kept marks the document that has it. Null and empty texts and null ids link with
-    nothing; repeated rows of a doc_id count as one document. A pair at similarity 0.8 shares no band with a chance of
+    nothing; rows that repeat a doc_id are one document, which is linked with what any of its rows is linked with. A pair at similarity 0.8 shares no band with a chance of
     about 3e-6; a pair that shares one, or whose documents are in one group, is decided on full sets.
     """
 
@@ -282,7 +282,10 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), elements], ["node", "g", "m", "elements"])
 
     sets = written(source.join(members.hint("merge"), "doc_id").mapInArrow(full, "node long, g long, m long, elements binary"), "sets")
-    found = components(_in_groups(sets, percent))
+    # A doc_id whose rows hold different sets is in several classes, and links them.
+    several = sketched.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("_a"), F.max("key").alias("_b")).filter("_a < _b").select("doc_id")
+    own = sketched.filter("n_shingles > 0").select("doc_id", "key").join(several.hint("merge"), "doc_id").join(classes.select("key", "node").hint("merge"), "key")
+    found = components(_in_groups(sets, percent).select("a", "b").union(own.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))))
 
     named = classes.select("key", "node").join(found.hint("merge"), "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     linked = sketched.filter("n_shingles > 0 and doc_id is not null").drop("bands").join(named.hint("merge"), "key").select("doc_id", "n_shingles", "component_id")
