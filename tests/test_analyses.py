@@ -2,9 +2,11 @@
 
 import datetime as dt
 import random
+import shutil
 
 from pyspark.sql import functions as F
 
+from tidewater.functions import time
 from tidewater.operators import dataset, releases
 from tidewater.plans import analyses
 from tidewater.streaming import ingest
@@ -84,3 +86,35 @@ def test_resumed_ingest(spark, tmp_path):
     spark.createDataFrame([(2, "c", 2)], "k long, v string, n int").write.mode("append").json(f"{tmp_path}/in")
     go()
     assert {(r.k, r.v) for r in ingest.latest(spark, f"{tmp_path}/out", "k", [F.desc("n")]).collect()} == {(1, "a"), (2, "c")}
+
+
+def test_upsert_stopped_repeated_and_resumed(spark, tmp_path):
+    schema, target = "k long, v string, n int", f"file://{tmp_path}/target"
+    made = lambda *rows: spark.createDataFrame(list(rows), schema).repartition(2)
+    held = lambda: sorted(map(tuple, ingest.current(spark, target, schema).collect()))
+    assert held() == []
+    ingest.merge(made((1, "a", 1), (2, "b", 1), (2, "b2", 2), (None, "x", 1)), 0, target, "k", ["n"], 4)
+    assert held() == [(1, "a", 1), (2, "b2", 2)]
+    hot = [(7, f"h{n}", n) for n in range(300)]
+    batch = made((2, "stale", 1), (1, "same", 1), (3, "c", None), *hot)
+    ingest.merge(batch, 1, target, "k", ["n"], 4)
+    want = [(1, "same", 1), (2, "b2", 2), (3, "c", None), (7, "h299", 299)]
+    assert held() == want
+    ingest.merge(batch, 1, target, "k", ["n"], 4)  # comes again after its manifest was written
+    shutil.rmtree(tmp_path / "target" / "manifest" / "batch=1")
+    assert held() == [(1, "a", 1), (2, "b2", 2)]  # stopped before: nothing of it is seen
+    ingest.merge(batch, 1, target, "k", ["n"], 4)
+    ingest.merge(made(), 2, target, "k", ["n"], 4)
+    assert held() == want
+    plan = ingest.current(spark, target, schema)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+
+
+def test_date_chunks(spark):
+    rows = [("2015-03-01", "2017-06-01"), ("2015-03-01", "2016-01-01"), ("2015-01-01", "2015-01-01"), ("2015-05-05", "2015-05-05"), ("2014-12-31", "2018-01-02")]
+    df = spark.createDataFrame(rows, "a string, b string").withColumns({c: F.col(c).cast("timestamp_ntz") for c in "ab"})
+    for years in (1, 2, None):
+        got = [[(f"{x.start:%Y-%m-%d}", f"{x.end:%Y-%m-%d}") for x in r.c] for r in df.select(time.date_chunks(F.col("a"), F.col("b"), years).alias("c")).collect()]
+        for (a, b), chunks in zip(rows, got):
+            starts = [a] + [f"{y}-01-01" for y in range(int(a[:4]) + years, int(b[:4]) + 1, years)] if years else [a]
+            assert chunks == list(zip(starts, [*starts[1:], b]))

@@ -151,5 +151,9 @@ def owner_email(owner: Column, revisions: Column) -> Column:
     return F.coalesce(F.nullif(owner["email"], F.lit("")), F.when(F.size(named) > 0, F.try_element_at(named, F.lit(1))["e"]), F.lit(""))
 
 
+def change_file_key(change_number: Column) -> Column:
+    return F.concat(F.lit("change_"), change_number.cast("string"))
+
+
 def commit_file_key(change_number: Column, revision_id: Column) -> Column:
     return F.concat(F.lit("commit_"), change_number.cast("string"), F.lit("_"), F.substring(revision_id, 1, 8))

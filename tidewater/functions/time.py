@@ -63,10 +63,13 @@ def bin_index(t: Column, start: Column, end: Column, bins: int) -> Column:
 
 
 def date_chunks(start: Column, end: Column, years: int | None) -> Column:
-    """An array of structs (start, end): contiguous intervals cut at every so many years' first of January; one without years."""
+    """An array of structs (start, end): contiguous intervals cut at every so many years' first of January; one without years.
+
+    A span that ends on such a day ends with an empty interval of that day alone.
+    """
     if not years:
         return F.array(F.struct(start.alias("start"), end.alias("end")))
-    first = F.year(start)
-    cuts = F.transform(F.sequence(first + F.lit(int(years)), F.greatest(first + F.lit(int(years)), F.year(end) + F.lit(1)), F.lit(int(years))), lambda y: F.make_date(y, F.lit(1), F.lit(1)).cast("timestamp_ntz"))
-    edges = F.concat(F.array(start), F.filter(cuts, lambda c: (c > start) & (c < end)), F.array(end))
+    first, last, step = F.year(start), F.year(end), F.lit(int(years))
+    later = F.filter(F.sequence(first, F.greatest(first, last), step), lambda y: y > first)
+    edges = F.concat(F.array(start), F.transform(later, lambda y: F.make_date(y, F.lit(1), F.lit(1)).cast("timestamp_ntz")), F.array(end))
     return F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda i: F.struct(F.element_at(edges, i).alias("start"), F.element_at(edges, i + 1).alias("end")))

@@ -101,12 +101,13 @@ def _bots(spark, sf_dir):
     return readers.bot_names(spark, paths[0]), readers.bot_accounts(spark, paths[1]), readers.extra_bots(spark, paths[2]), readers.bot_names(spark, paths[0], lower=False)
 
 
-@query(f"with {MESSAGES} select change_number, list(date order by date) as times, count(*) as n_reviews from people group by 1")
+@query(f"with {MESSAGES} select change_number, string_agg(strftime(date, '%Y-%m-%d %H:%M:%S'), ',' order by date) as times, count(*) as n_reviews from people group by 1")
 def human_messages(spark, sf_dir):
     """Messages that are neither automatic nor by a bot nor by the owner, by change, in the order of time."""
     people = identity.human_messages(_messages(spark, sf_dir))
     people = identity.without_bots(people, readers.all_bots(*_bots(spark, sf_dir)[:3]), identity.identities(F.col("author")))
-    return identity.human_times(people).withColumn("n_reviews", F.size("times").cast("long"))
+    out = identity.human_times(people).withColumn("n_reviews", F.size("times").cast("long"))
+    return out.withColumn("times", F.array_join(F.transform("times", lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")), ","))
 
 
 @query("""select lower(n_name) as identity, 1 as n_lists from nation where n_nationkey % 5 = 0 union all select lower(s_name), 1 from supplier where s_suppkey % 10 in (0, 1) union all select 'x@y', 1
@@ -244,7 +245,7 @@ def saved_table(spark, sf_dir):
 
 
 @query(S.using("lines") + """ select l_orderkey as change_number, 'part ' || arg_max(l_partkey, number) as said, coalesce('s' || arg_min(l_suppkey, number) filter (l_suppkey % 3 = 0) || '@x', '') as email,
-'commit_' || l_orderkey || '_' || substr(md5(concat_ws('-', l_orderkey::VARCHAR, max(number)::VARCHAR)), 1, 8) as file, count(*)::INT as n from lines group by 1""")
+'commit_' || l_orderkey || '_' || substr(md5(concat_ws('-', l_orderkey::VARCHAR, max(number)::VARCHAR)), 1, 8) as file, 'change_' || l_orderkey as key, count(*)::INT as n from lines group by 1""")
 def change_texts(spark, sf_dir):
     """What a change says, its owner's address and a commit's file name, all from its revisions."""
     rows = mining._nested(spark, sf_dir)
@@ -252,7 +253,7 @@ def change_texts(spark, sf_dir):
     # Even changes name their current revision, odd ones a revision that isn't there.
     current = F.when(F.col("change_number") % 2 == 0, name).otherwise("gone")
     said = text.change_text(F.col("revisions"), current, F.when(F.col("change_number") % 3 == 0, ""))
-    return rows.select("change_number", said.alias("said"), text.owner_email(F.col("owner"), F.col("revisions")).alias("email"), text.commit_file_key(F.col("change_number"), name).alias("file"), F.size("revisions").alias("n"))
+    return rows.select("change_number", said.alias("said"), text.owner_email(F.col("owner"), F.col("revisions")).alias("email"), text.commit_file_key(F.col("change_number"), name).alias("file"), text.change_file_key(F.col("change_number")).alias("key"), F.size("revisions").alias("n"))
 
 
 @query(S.using("lines") + """, c as (select l_orderkey, arg_max(round(l_quantity)::BIGINT, number) as q, arg_max(round(l_discount * 100)::BIGINT, number) as d from lines group by 1)

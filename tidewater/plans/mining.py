@@ -400,6 +400,20 @@ def resumable_ingest(spark, sf_dir):
     return stream.latest(spark, f"{base}/target", "o_orderkey", []).select("o_orderkey", "o_custkey", "o_orderstatus").join(counted, "o_orderkey")
 
 
+@query("""select o_orderkey as change_number, case when o_orderkey % 3 = 0 then o_orderstatus else 'NEW' end as status, (year(o_orderdate) * 100 + case when o_orderkey % 3 = 0 then 50 else 10 end)::INT as updated,
+(case when o_orderkey % 3 = 0 then 2 when o_orderkey % 7 = 0 then 4 else 1 end)::INT as landing from orders""")
+def upserted_changes(spark, sf_dir):
+    """Changes that land as files and are merged by their numbers: first all as new, then a third as decided, then stale ones, then again what is as old."""
+    base = folder(spark, "upsert")
+    rows = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("change_number"), "o_orderstatus", (F.year("o_orderdate") * 100).alias("y"))
+    schema = "change_number BIGINT, status STRING, updated INT, landing INT"
+    for landing, (part, status, add) in enumerate((("true", F.lit("NEW"), 10), ("change_number % 3 = 0", F.col("o_orderstatus"), 50), ("change_number % 5 = 0", F.lit("STALE"), 1), ("change_number % 7 = 0 and change_number % 3 != 0", F.lit("NEW"), 10)), 1):
+        landed = rows.filter(part).select("change_number", status.alias("status"), (F.col("y") + add).cast("int").alias("updated"), F.lit(landing).alias("landing"))
+        landed.coalesce(1).write.mode("append").json(f"{base}/landed")
+        stream.upsert(spark, f"{base}/landed", schema, f"{base}/target", f"{base}/checkpoint", "change_number", ["updated"], 16)
+    return stream.current(spark, f"{base}/target", schema)
+
+
 @query("""select distinct year(o_orderdate)::INT as y, md5(o_orderpriority) as component from orders
 where (year(o_orderdate), o_orderpriority) not in (select distinct year(o_orderdate), o_orderpriority from orders where o_orderkey % 40 = 0 and year(o_orderdate) < 1997)""")
 def ledger(spark, sf_dir):
@@ -409,13 +423,14 @@ def ledger(spark, sf_dir):
     return stream.not_done(rows.select("y", "component").distinct(), done, ["y", "component"])
 
 
-@query("select o_custkey, min(o_orderdate) as first, max(o_orderdate) as last, count(*) as n_orders, year(max(o_orderdate)) - year(min(o_orderdate)) + 1 as n_chunks from orders group by 1 having min(o_orderdate) < max(o_orderdate) and month(max(o_orderdate)) * 100 + day(max(o_orderdate)) > 101")
+@query("""with c as (select o_custkey, min(o_orderdate) as first, max(o_orderdate) as last from orders group by 1),
+y as (select *, unnest(range(year(first), year(last) + 1)) as y from c)
+select o_custkey, y - year(first) + 1 as chunk, case when y = year(first) then first else make_timestamp(y, 1, 1, 0, 0, 0.0) end as chunk_start,
+case when y = year(last) then last else make_timestamp(y + 1, 1, 1, 0, 0, 0.0) end as chunk_end from y""")
 def year_chunks(spark, sf_dir):
     """Contiguous yearly intervals of each customer's history."""
     from tidewater.functions.time import date_chunks
 
-    rows = S.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"), F.count("*").alias("n_orders"))
-    rows = rows.filter("first < last and date_format(last, 'MMdd') > '0101'")
-    return rows.withColumn("n_chunks", F.size(date_chunks(F.col("first"), F.col("last"), 1)).cast("long"))
-
-
+    rows = S.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"))
+    rows = rows.select("o_custkey", F.posexplode(date_chunks(F.col("first"), F.col("last"), 1)).alias("pos", "c"))
+    return rows.select("o_custkey", (F.col("pos") + 1).cast("long").alias("chunk"), F.col("c.start").alias("chunk_start"), F.col("c.end").alias("chunk_end"))
