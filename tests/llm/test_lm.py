@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 import pyarrow as pa
 
 from tidewater.llm import gru, lm
@@ -130,3 +131,18 @@ def test_state_is_carried_over_windows_and_documents_are_apart():
             total += float(gru.log_likelihood(w, at, h, np.array([token]))[0])
             before = token
         assert abs(total - got) < 1e-2
+
+
+def test_memory_follows_the_tokens_not_the_longest_text():
+    """511 short texts beside one of 300,000 tokens: a rectangle over the longest one would take gigabytes."""
+    import tracemalloc
+
+    w, at = small()
+    draw = np.random.default_rng(6)
+    documents = [draw.integers(1, 10, n).astype(np.int32) for n in [300_000, *[20] * 511]]
+    tracemalloc.start()
+    together = gru.score(w, at, documents)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60_000_000
+    assert together[1:] == pytest.approx(gru.score(w, at, documents[1:]), abs=1e-4) and np.isfinite(together).all()

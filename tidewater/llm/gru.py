@@ -225,14 +225,13 @@ def score(w: dict, at: np.ndarray, documents: list[np.ndarray]) -> np.ndarray:
     load = np.array([sum(len(documents[d]) + 1 for d in ds) for ds in held])
     order = np.argsort(-load, kind="stable")
     load, longest = load[order], int(load.max())
-    target = np.zeros((longest, lanes), np.int32)
-    of = np.zeros((longest, lanes), np.int32)
-    first = np.zeros((longest, lanes), bool)
-    for lane, k in enumerate(order.tolist()):
-        t = 0
+    # Lanes lie one after another, whatever their lengths: memory follows the number of tokens.
+    start = np.cumsum(load) - load
+    target, of, first = np.zeros(load.sum(), np.int32), np.zeros(load.sum(), np.int32), np.zeros(load.sum(), bool)
+    for t, k in zip(start.tolist(), order.tolist()):
         for d in held[k]:
             n = len(documents[d])
-            target[t : t + n, lane], of[t : t + n + 1, lane], first[t, lane] = documents[d], d, True
+            target[t : t + n], of[t : t + n + 1], first[t] = documents[d], d, True
             t += n + 1
     inputs = np.zeros_like(target)
     inputs[1:] = np.where(first[1:], 0, target[:-1])
@@ -242,9 +241,11 @@ def score(w: dict, at: np.ndarray, documents: list[np.ndarray]) -> np.ndarray:
         # Lanes are in the order of their loads: those that still have tokens come first.
         n = int(np.searchsorted(-load, -k))
         last = min(k + wide, longest)
-        after = states(table, w["wh"], inputs[k:last, :n], (~first[k:last, :n]).astype(np.float32), h[:n])
+        place = np.minimum(np.arange(k, last)[:, None], load[None, :n] - 1) + start[None, :n]
+        after = states(table, w["wh"], inputs[place], (~first[place]).astype(np.float32), h[:n])
         h = after[-1]
         live = (np.arange(k, last)[:, None] < load[None, :n]).ravel()
-        p = log_likelihood(w, at, after.reshape(-1, HIDDEN)[live], target[k:last, :n].ravel()[live])
-        out += np.bincount(of[k:last, :n].ravel()[live], p, len(documents))
+        place = place.ravel()[live]
+        p = log_likelihood(w, at, after.reshape(-1, HIDDEN)[live], target[place])
+        out += np.bincount(of[place], p, len(documents))
     return out
