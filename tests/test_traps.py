@@ -159,6 +159,19 @@ def test_antichain_of_thousands_of_phrases(spark):
     assert keywords.without_longer(spark.createDataFrame([(None,)], "phrase string")).collect() == []
 
 
+@pytest.mark.parametrize("most", [1 << 22, 40_000])
+def test_thousands_of_phrases_in_comments(spark, most):
+    """5000 phrases that overlap, against plain search, in one automaton and in several."""
+    r = random.Random(11)
+    phrases = [(r.choice("abc"), "".join(r.choice("xyz ") for _ in range(r.randint(4, 30)))) for _ in range(5000)] + [("d", "xx"), ("e", "ü"), (None, "x"), ("a", None)]
+    texts = [(k, "".join(r.choice("xyz ") for _ in range(r.randint(0, 300)))) for k in range(60)] + [(90, None), (91, ""), (92, "fü")]
+    df = spark.createDataFrame(texts, "id long, cleaned string").withColumn("kind", F.lit(1))
+    out = {x.id: x.kinds for x in keywords.kinds_found(df.repartition(3), spark.createDataFrame(phrases, "kind string, phrase string"), most=most).collect()}
+    assert out == {k: sorted({kind for kind, p in phrases if kind and p is not None and t is not None and p in t}) for k, t in texts}
+    assert {x.id: x.kinds for x in keywords.kinds_found(df, spark.createDataFrame([("z", "")], "kind string, phrase string")).collect()} == {k: [] if t is None else ["z"] for k, t in texts}
+    assert keywords.kinds_found(df.limit(3), spark.createDataFrame([], "kind string, phrase string")).filter("size(kinds) > 0").collect() == []
+
+
 def test_outliers(spark):
     rows = [("few", 1, 1.0), ("few", 2, 2.0), ("few", 3, 999.0)] + [("many", k, float(v)) for k, v in enumerate((1, 2, 3, 4, 5.5, 100))]
     df = spark.createDataFrame(rows, "g string, decision_time long, screening double")

@@ -136,12 +136,10 @@ def labelled_comment_classes(spark, sf_dir):
     labels = {role: [] for role in ("request", "confirmation", "strip")}
     for r in readers.review_labels(spark, paths[0]).collect():  # a configuration file
         labels[r.role].append(r.label)
-    words = {"request": [], "confirmation": []}
-    for r in readers.keywords(spark, paths[1], {"requests": "request", "confirmations": "confirmation"}).collect():
-        words[r.kind].append(r.phrase)
-    cleaned = F.col("cleaned")
-    rows = S.table(spark, sf_dir, "documents").select("doc_id", text.clean_comment("text", labels["strip"]).alias("cleaned"))
-    asks, confirms = (text.holds_keyword(cleaned, words[k], labels[k]) for k in ("request", "confirmation"))
+    words = readers.keywords(spark, paths[1], {"requests": "request", "confirmations": "confirmation"})  # a table: mined ones may be many
+    cleaned = S.table(spark, sf_dir, "documents").select("doc_id", text.clean_comment("text", labels["strip"]).alias("cleaned"))
+    rows = keywords.kinds_found(cleaned, words)
+    asks, confirms = (F.array_contains("kinds", k) | text.holds_keyword(F.col("cleaned"), [], labels[k]) for k in ("request", "confirmation"))
     return rows.select("doc_id", text.comment_class(asks, confirms).alias("class"))
 
 
