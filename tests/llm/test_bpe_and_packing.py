@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 
@@ -155,3 +156,15 @@ def test_examples_whose_prompts_bear_no_loss(spark):
         loss_of[r.sequence_id] = loss_of.get(r.sequence_id, 0) + own
     assert max(loss_of.values()) <= 64
     assert len({r.sequence_id for r in packing.pack(docs, path, max_tokens=256).collect()}) < len(loss_of)
+
+
+def test_other_tokenizers_are_refused():
+    """A file that cuts texts otherwise would give wrong ids."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    bpe.supported(spec)
+    for key, value in (("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("pre_tokenizer", spec["pre_tokenizer"] | {"use_regex": False}), ("pre_tokenizer", None), ("model", spec["model"] | {"ignore_merges": True})):
+        with pytest.raises(ValueError, match="splitting"):
+            bpe.supported(spec | {key: value})
+    with pytest.raises(ValueError, match="pre_tokenizer"):
+        bpe.Vocabulary(public_tokenizers.path("word_bpe_49k.json"))

@@ -24,6 +24,7 @@ from tidewater.llm import words
 
 SLICE = 4 << 20
 MOST_CACHED = 1_200_000
+# Fixed value: how byte-level tokenizers cut texts before merging, where their file says use_regex.
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
 
@@ -33,12 +34,26 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(own))}
 
 
+def supported(spec: dict) -> None:
+    """Raises where a tokenizers file asks for another way of encoding than the one that is built here."""
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    wanted = {
+        "normalizer": (spec.get("normalizer"), None), "pre_tokenizer": (before.get("type"), "ByteLevel"), "add_prefix_space": (before.get("add_prefix_space"), False),
+        "use_regex": (before.get("use_regex", True), True), "model": (model.get("type", "BPE"), "BPE"),
+    }
+    wanted |= {k: (model.get(k) or None, None) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")}
+    wrong = [f"{k} {given!r}" for k, (given, known) in wanted.items() if given != known]
+    if wrong:
+        raise ValueError(f"not a byte-level BPE with the standard splitting: {', '.join(wrong)}")
+
+
 class Vocabulary:
     """Tokens, merges and special tokens of a tokenizers file with a byte-level BPE."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        supported(spec)
         byte = byte_letters()
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         raw = {t: bytes(byte[c] for c in t) for t in spec["model"]["vocab"]}
