@@ -124,3 +124,48 @@ def test_held_out_pages_without_marks(spark):
         found, wanted, both = found + len(got), wanted + len(want), both + len(got & want)
     print("precision", both / found, "recall", both / wanted)
     assert both / found > 0.95 and both / wanted > 0.95
+
+
+# Pages and their main text, both written by hand: names with furniture's words inside and outside of articles.
+HAND = [
+    ("<nav><a href=/>Home</a></nav><article><h1>Bleach and vinegar</h1><p class='warning'>Warning: never mix the two substances, as the gas is poisonous.</p><div class='search-study'><p>The search study asked 40 people.</p></div></article><footer>All rights</footer>",
+     "Bleach and vinegar\nWarning: never mix the two substances, as the gas is poisonous.\nThe search study asked 40 people."),
+    ("<article><h2>Court</h2><p>The court met on Monday.</p><div class=ad>Buy shoes!</div><p class='legal-notice'>The notice was read to all who came.</p></article><aside><p>Most read</p></aside>",
+     "Court\nThe court met on Monday.\nThe notice was read to all who came."),
+    ("<main><article><p>Bees dance.</p><div class='share-buttons'><a href=/s>Share</a></div><p>They show the way.</p></article><div id=comments><p>I saw them, too. It was lovely.</p></div></main>", "Bees dance.\nThey show the way."),
+    ("<article><div class='feedback-loop'><p>A loop amplifies what it hears.</p></div><ul class=alerts><li>The first alert came at noon.</li><li>The second came later.</li></ul></article><div class='cookie-notice'><p>We use cookies to serve you.</p></div>",
+     "A loop amplifies what it hears.\nThe first alert came at noon.\nThe second came later."),
+    ("<div class=notice><p>We moved to a new address.</p></div><article><p>Only this is told here.</p><form><p>Your mail</p><input></form><div class='comment-list'><div class=comment><p>Well said, thank you!</p></div></div></article>", "Only this is told here."),
+    ("<article><div class='widget-factory'><p>The factory made widgets until 1990.</p></div><div hidden><p>Not to be seen.</p></div><div class='newsletter signup'><p>Join our list.</p></div></article>", "The factory made widgets until 1990."),
+]
+
+
+def test_names_inside_articles_against_hand_written_texts(spark):
+    """The truth is written by hand; the model learns from pages of another make, whose advert lies outside the article."""
+    learnt = spark.createDataFrame([(k, "u", ARTICLE, 0, "x") for k in range(60)], SCHEMA)
+    asked = spark.createDataFrame([(100 + k, "v", f"<html><body>{page}</body></html>", 0, "x") for k, (page, _) in enumerate(HAND)], SCHEMA)
+    got = {r.page_id - 100: r.text for r in H.extract(learnt.union(asked)).collect() if r.page_id >= 100}
+    assert got == {k: want for k, (_, want) in enumerate(HAND)}
+
+
+def test_names_of_elements():
+    level = lambda x: H.Page.hinted(f" class='{x}'")
+    assert [level(x) for x in ("ad", "ad-slot top", "comment-body", "cookie-notice", "story ad-container")] == [1] * 5
+    assert [level(x) for x in ("warning", "search-study", "notice", "ad-hoc", "header")] == [2] * 5
+    assert [level(x) for x in ("", "story", "has-sidebar", "badge", "content-with-sidebar")] == [0] * 5
+
+
+def test_trained_weights_may_drop_what_a_name_hints_at():
+    page = "<article><p>This is the story, and it is long enough.</p><p class=warning>Read our terms of use before all.</p></article>"
+    assert "terms" in H.main_text(page, MODEL)
+    labelled = H.Counter()
+    for _ in range(20):
+        labelled += H.count(H.Page(page), ["This is the story, and it is long enough."])
+    assert H.main_text(page, H.model_of(labelled)) == "This is the story, and it is long enough."
+
+
+def test_names_don_t_confirm_themselves():
+    """What only its name makes furniture within an article is no label of the page's own."""
+    page = H.Page("<article><p>This is the story.</p><div class=ad><p>Buy it now!</p></div></article>")
+    own, foreign = H.count(page, H.marked_main(page), True), H.count(page, ["This is the story."])
+    assert own["look 0 hint 1"] == 0 and foreign["look 0 hint 1"] > 0

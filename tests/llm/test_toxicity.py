@@ -1,6 +1,9 @@
+import math
 import random
 import zlib
 
+import numpy as np
+
 from tidewater.llm import toxicity
 
 SCHEMA = "doc_id long, text string, score string, toxic int"
@@ -51,3 +54,68 @@ def test_no_labels_and_no_rows(spark):
     none = spark.createDataFrame([], LABELS)
     assert toxicity.toxicity(docs, none).first().score == 0.5
     assert toxicity.toxicity(spark.createDataFrame([], SCHEMA), none).collect() == []
+
+
+def plain_features(text):
+    """Features by their definition: n-grams of each distinct word between two blanks, counted by the distinct words that hold them (once for each place)."""
+    import re
+
+    found = sorted(set(re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))))
+    out = {}
+    for word in found:
+        framed = f" {word} ".lower()
+        for n in toxicity.ORDERS:
+            for i in range(len(framed) - n + 1):
+                h = n
+                for c in framed[i : i + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+                    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                    h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+                    h ^= h >> 31
+                out[h % toxicity.BUCKETS] = out.get(h % toxicity.BUCKETS, 0) + 1
+    return {b: c / math.sqrt(max(1, len(found))) for b, c in out.items()}
+
+
+def plain_fit(rows, labels, passes=8, batch=32, rate=0.3, l2=1e-4):
+    """Log-count ratios and logistic regression by AdaGrad, one number at a time."""
+    sums = [{}, {}]  # a text counts a feature once
+    for x, y in zip(rows, labels):
+        for b in x:
+            sums[y][b] = sums[y].get(b, 0) + 1
+    total = [toxicity.BUCKETS + sum(s.values()) for s in sums]
+    known = set(sums[0]) | set(sums[1])
+    r = {b: math.log((sums[1].get(b, 0) + 1) / total[1]) - math.log((sums[0].get(b, 0) + 1) / total[0]) for b in known}
+    w, bias, seen, seen_b = dict.fromkeys(known, 0.0), 0.0, dict.fromkeys(known, 1e-3), 1e-3
+    n = [len(labels) - sum(labels), sum(labels)]
+    draw = np.random.default_rng(5)
+    for _ in range(passes):
+        order = draw.permutation(len(labels))
+        for k in range(0, len(order), batch):
+            grad, g_b, some = {}, 0.0, order[k : k + batch]
+            for i in some:
+                z = bias + sum(w[b] * x * r[b] for b, x in rows[i].items())
+                g = (1 / (1 + math.exp(-z)) - labels[i]) * len(labels) / (2 * n[labels[i]]) / len(some)
+                g_b += g
+                for b, x in rows[i].items():
+                    grad[b] = grad.get(b, 0.0) + g * x * r[b]
+            for b, g in grad.items():
+                g += l2 * w[b]
+                seen[b] += g * g
+                w[b] -= rate * g / math.sqrt(seen[b])
+            seen_b += g_b * g_b
+            bias -= rate * g_b / math.sqrt(seen_b)
+    return {b: w[b] * r[b] for b in known}, bias
+
+
+def test_features_ratios_and_scores_against_a_plain_version(spark):
+    rows, labels = made(3, 90)
+    rows = [(d, t + (" ÄRGER é\u3000z\tx\n" if d % 3 == 0 else " a  ")) for d, t in rows] + [(500, ""), (501, None), (502, "abababab abababab aaaaaaaa")]
+    docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA).repartition(3)
+    truth = {d: t for d, _, t in labels}
+    train = sorted(d for d in truth if zlib.crc32(str(d).encode()) % 5)
+    texts = dict(rows)
+    weights, bias = plain_fit([plain_features(texts[d]) for d in train], [truth[d] for d in train])
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, spark.createDataFrame(labels, LABELS)).collect()}
+    for d, text in rows:
+        z = bias + sum(x * weights.get(b, 0.0) for b, x in plain_features(text).items())
+        assert abs(got[d] - 1 / (1 + math.exp(-z))) < 2e-3, (d, got[d], z)

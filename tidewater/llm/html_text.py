@@ -42,6 +42,10 @@ HINTS = set(
     "popup promo promoted promotion recommended related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar "
     "topbar widget widgets warning alert alerts contentinfo complementary".split()
 )
+# Those of them that may as well tell what a part of an article is about, or that it warns the reader.
+SOFT = set("alert alerts banner billboard disclaimer feedback header notice notices notification promotion search sharing skip social subscription teaser warning widget widgets".split())
+# Words in class names that tell of place, size and make only.
+NEUTRAL = set("area bar block body bottom box button buttons col column container content desktop form group icons inner item items js large left link links list mobile outer panel reader right row section size slot small top unit user wrap wrapper".split())
 
 # Possessive where a second try could only fail again; cut marks what runs to the end of the page.
 TOKEN = re.compile(
@@ -61,7 +65,7 @@ class Page:
     """The nodes of a page in page order, and its pieces of text: block number, node, text as it stands."""
 
     def __init__(self, text: str):
-        self.parent, self.name, self.hint, self.inside = [-1], ["#root"], [0], [0]
+        self.parent, self.name, self.hint, self.inside, self.unsure = [-1], ["#root"], [0], [0], [False]
         self.pieces: list[tuple[int, int, str]] = []
         self.size, self.linked, self.own, self.marks = [0], [0], [0], [0]
         wraps, mains = [False], [False]
@@ -113,17 +117,20 @@ class Page:
             if name in VOID:
                 continue
             attributes = m["attributes"]
-            named = name not in ("html", "body") and self.hinted(attributes)
-            # An article has a header and a footer of its own.
-            own = name in ("header", "footer") and bool(where.get("article") or where.get("main"))
-            hint = name in FURNITURE and not own or name not in MAINS and named
+            named = self.hinted(attributes) if name not in ("html", "body") else 0
+            # An article has a header and a footer of its own, and parts whose names are but looks, with weights from labelled pages.
+            told = bool(where.get("article") or where.get("main"))
+            own = name in ("header", "footer") and told
+            by_name = named and name not in MAINS
+            hint = 1 if name in FURNITURE and not own or by_name and (named == 1 or not told) else 2 if by_name else 0
             node = stack[-1][1]
             if name in BLOCKS or hint:
                 node = len(self.parent)
                 self.parent.append(stack[-1][1])
                 self.name.append(name)
-                self.hint.append(int(hint))
-                wraps.append(hint and (name in ("form", "fieldset") or name not in FURNITURE) and not HIDDEN.search(attributes))
+                self.hint.append(hint)
+                self.unsure.append(told and name not in FURNITURE and hint == 1)
+                wraps.append(hint == 1 and (name in ("form", "fieldset") or name not in FURNITURE) and not HIDDEN.search(attributes))
                 mains.append(name in MAINS and not named)
                 for x in (self.size, self.linked, self.own, self.marks):
                     x.append(0)
@@ -153,15 +160,23 @@ class Page:
         for k in range(1, len(held)):
             if wraps[k] and (held[k] == held[0] if held[0] else self.name[k] == "form" and 2 * self.size[k] > self.size[0]):
                 self.hint[k] = 0
-            self.inside.append(int(self.hint[k] or self.inside[self.parent[k]]))
+            self.inside.append(int(self.hint[k] == 1 or self.inside[self.parent[k]]))
 
     @staticmethod
-    def hinted(attributes: str) -> bool:
+    def hinted(attributes: str) -> int:
+        """1: the element is hidden, or one of its names holds nothing but furniture; 2: a name holds such words beside others, or soft ones; 0: none."""
         if not attributes or "=" not in attributes and "hidden" not in attributes:
-            return False
-        named = " ".join(x for m in NAMES.findall(attributes) for x in m).lower().split()
-        # A name such as has-sidebar or content-with-sidebar tells of something else than the element itself.
-        return any(not HINTS.isdisjoint(WORDS.findall(x)) for x in named if not OTHER.match(x)) or bool(HIDDEN.search(attributes))
+            return 0
+        if HIDDEN.search(attributes):
+            return 1
+        level = 0
+        for x in " ".join(x for m in NAMES.findall(attributes) for x in m).lower().split():
+            # A name such as has-sidebar or content-with-sidebar tells of something else than the element itself.
+            if not OTHER.match(x) and (found := HINTS.intersection(held := WORDS.findall(x))):
+                if found - SOFT and HINTS.union(NEUTRAL).issuperset(held):
+                    return 1
+                level = 2
+        return level
 
     def put(self, block: int, node: int, text: str, links: int) -> None:
         n = len(text.strip())
@@ -200,20 +215,26 @@ class Page:
 
 
 def marked_main(page: Page) -> list[str] | None:
-    """The lines inside the one article or main element of a page, but those in furniture; None if there isn't exactly one, or if it lies in furniture."""
+    """The lines inside the one article or main element of a page, but those in furniture (hint 1); None if there isn't exactly one, or if it lies in furniture."""
     tops = [k for k, n in enumerate(page.name) if n in MAINS and page.name[page.parent[k]] not in MAINS]
     if len(tops) != 1 or page.inside[tops[0]]:
         return None
     inside = [False] * len(page.parent)
     for k in range(len(page.parent)):
-        inside[k] = (k == tops[0] or k > 0 and inside[page.parent[k]]) and not page.hint[k]
+        inside[k] = (k == tops[0] or k > 0 and inside[page.parent[k]]) and page.hint[k] != 1
     return [line for _, line in page.lines(lambda k: inside[k])]
 
 
-def count(page: Page, main: list[str]) -> Counter:
-    """How often labels send looks and meet along edges on one labelled page; a node with several lines or children follows most of its text."""
+def count(page: Page, main: list[str], own: bool = False) -> Counter:
+    """How often labels send looks and meet along edges on one labelled page; a node with several lines or children follows most of its text.
+
+    Labels that a page gave itself (own) say nothing on what only its name makes furniture within an article.
+    """
+    unsure = [False] * len(page.parent)
+    for k in range(1, len(unsure) if own else 0):
+        unsure[k] = page.unsure[k] or unsure[page.parent[k]]
     wanted, yes, total = set(main), [0] * len(page.parent), [0] * len(page.parent)
-    for node, line in page.lines(lambda k: True):
+    for node, line in page.lines(lambda k: not unsure[k]):
         yes[node] += len(line) * (line in wanted)
         total[node] += len(line)
     for k in range(len(page.parent) - 1, 0, -1):
@@ -230,7 +251,7 @@ def count(page: Page, main: list[str]) -> Counter:
 
 #: What is known without pages, as shares of what a label sends or of what follows a parent's label (0, 1).
 KNOWN = {
-    "look 0 hint": {"0": 0.5, "1": 0.5}, "look 1 hint": {"0": 0.999, "1": 0.001},
+    "look 0 hint": {"0": 0.5, "1": 0.49, "2": 0.01}, "look 1 hint": {"0": 0.994, "1": 0.001, "2": 0.005},
     "look 0 length": {"none": 0.3, "short": 0.35, "middle": 0.2, "long": 0.1, "very long": 0.05}, "look 1 length": {"none": 0.25, "short": 0.25, "middle": 0.2, "long": 0.2, "very long": 0.1},
     "look 0 links": {"none": 0.4, "few": 0.1, "some": 0.1, "most": 0.4}, "look 1 links": {"none": 0.7, "few": 0.25, "some": 0.04, "most": 0.01},
     "look 0 kind": {"heading": 0.15, "text": 0.43, "item": 0.4, "main": 0.02}, "look 1 kind": {"heading": 0.12, "text": 0.48, "item": 0.3, "main": 0.1},
@@ -314,14 +335,14 @@ def self_labelling(pages: DataFrame) -> DataFrame:
     return tagged.mapInArrow(run, "page_id long").distinct()
 
 
-def train(labelled: DataFrame) -> dict[str, float]:
-    """labelled: html, main (the lines of the main text)."""
+def train(labelled: DataFrame, own: bool = False) -> dict[str, float]:
+    """labelled: html, main (the lines of the main text); own: the labels are own_labels()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = Counter()
         for batch in batches:
             for source, main in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total += count(Page(source or ""), (main or "").split("\n"))
+                total += count(Page(source or ""), (main or "").split("\n"), own)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["what", "n"])
 
     summed = labelled.select("html", "main").mapInArrow(run, "what string, n long").groupBy("what").agg(F.sum("n").alias("n"))
@@ -335,10 +356,10 @@ def extract(pages: DataFrame, labelled: DataFrame | None = None, max_training_pa
     trained on `labelled` or, without it, on at most max_training_pages of the pages that label themselves (taken by a
     hash of page_id).
     """
-    if labelled is None:
+    if own := labelled is None:
         ids = self_labelling(pages).orderBy(F.xxhash64("page_id"), "page_id").limit(max_training_pages)
         labelled = own_labels(pages.select("page_id", "html").join(F.broadcast(ids), "page_id"))  # a bounded number of ids
-    handle = pages.sparkSession.sparkContext.broadcast(train(labelled))  # about forty numbers
+    handle = pages.sparkSession.sparkContext.broadcast(train(labelled, own))  # about forty numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,6 +17,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -72,12 +73,32 @@ def record(page_id, url, payload: bytes, original, date: str, copy: str = "") ->
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
 
+@contextmanager
+def equal_partitions(spark) -> Iterator[None]:
+    """Files are cut into the same partitions at each reading, also if executors come or go in between.
+
+    Without the setting the cut follows the cores that are registered when a job is planned.
+    """
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, before or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def write_archives(pages: DataFrame, folder: str, min_payload_bytes: int = 0, archive_bytes: int = 64 << 20, level: int = 3, date: str | None = None) -> DataFrame:
     """Writes archives of about archive_bytes compressed bytes at most; returns the manifest: path, n_records.
 
     pages is read twice and must come in the same partitions both times, as tables that are read from files do; a row
     that the first reading didn't see in its partition ends the job with an error.
     """
+    with equal_partitions(pages.sparkSession):
+        return _write_archives(pages, folder, min_payload_bytes, archive_bytes, level, date)
+
+
+def _write_archives(pages: DataFrame, folder: str, min_payload_bytes: int, archive_bytes: int, level: int, date: str | None) -> DataFrame:
     known_at = f"{folder}-originals"
     originals(pages, min_payload_bytes).repartition("part").write.partitionBy("part").parquet(known_at)
     date = date or datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
