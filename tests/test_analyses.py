@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import time
 from tidewater.operators import dataset, releases
 from tidewater.plans import analyses
+from tidewater.sources import readers
 from tidewater.streaming import ingest
 
 T = dt.datetime
@@ -72,6 +73,10 @@ def test_analyze_from_changes_to_counts(spark, tmp_path):
     assert sides.filter("n > 1").isEmpty() and sides.count() > 0
     assert out["matrix"].select("model", "version", "metric").distinct().count() >= 2 * 9
     assert {r.n for r in out["count"].collect()} <= {1, 2} and spark.read.json(f"{tmp_path}/one/count/json").count() == out["count"].count()
+    # Features that come late, for sampled rows alone, give the same predictions.
+    late = lambda rows: known(rows).select("change_number", "owner_id", "created", "t", "a", "b")
+    same = analyses.analyze(changes, cycles.filter("version != '3.0.0'"), lambda rows: rows, ["a", "b"], f"file://{tmp_path}/three", label="time_to_decision", n_train=4, n_eval=2, repeats=1, bins=2, trees=2, permutations=20, late=late)
+    assert sorted(map(tuple, same["predictions"].collect()), key=str) == sorted(map(tuple, rows), key=str)
     again = go(tmp_path / "two")["predictions"]
     assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, rows), key=str)
 
@@ -118,3 +123,10 @@ def test_date_chunks(spark):
         for (a, b), chunks in zip(rows, got):
             starts = [a] + [f"{y}-01-01" for y in range(int(a[:4]) + years, int(b[:4]) + 1, years)] if years else [a]
             assert chunks == list(zip(starts, [*starts[1:], b]))
+
+
+def test_checklist_up_to_a_number_and_whole(spark, tmp_path):
+    rows = [("382", "a", "x", "1", " "), ("383", "b", 'say "so",\nplease', "", "1"), ("384", "c", "y", "0", None)]
+    spark.createDataFrame(rows, "PRNumber string, author string, comment string, request string, confirmation string").write.option("header", True).option("escape", '"').option("quoteAll", True).csv(f"{tmp_path}/c")
+    got = {most: sorted((r.PRNumber, r.comment, r.request, r.confirmation) for r in readers.checklist(spark, f"{tmp_path}/c", most).collect()) for most in (383, None, 0)}
+    assert got[383] == [(382, "x", "1", None), (383, 'say "so",\nplease', None, "1")] and got[None] == [*got[383], (384, "y", "0", None)] and got[0] == []

@@ -45,10 +45,11 @@ def records(all_changes: DataFrame, cycles: DataFrame, features, label: str = "t
 
 
 def analyze(all_changes: DataFrame, cycles: DataFrame, features, names: list[str], path: str, models: tuple[str, ...] = ("gradient_boosting", "random_forest"), label: str = "time_to_next_review",
-            n_train: int = 400, n_eval: int = 100, repeats: int = 10, bins: int = 6, trees: int = 200, permutations: int = 1000, alpha: float = 0.05, seed: int = 42) -> dict[str, DataFrame]:
+            n_train: int = 400, n_eval: int = 100, repeats: int = 10, bins: int = 6, trees: int = 200, permutations: int = 1000, alpha: float = 0.05, seed: int = 42, late=None) -> dict[str, DataFrame]:
     """The drift analysis of all models, releases and metrics: predictions, matrix, relative, tests, found, count (of releases, by model and metric).
 
-    features gives (change, t) rows the columns in names. Records, samples and predictions are tables under path; what
+    features gives (change, t) rows the columns in names; what only fits need may come from late instead, which is
+    asked for the sampled (change_number, owner_id, created, t) alone. Records, samples and predictions are tables under path; what
     comes of them is written there too. A release without enough changes for a cell has no predictions there.
     """
     spark, keys = all_changes.sparkSession, ["version"]
@@ -58,12 +59,20 @@ def analyze(all_changes: DataFrame, cycles: DataFrame, features, names: list[str
     pairs = spark.createDataFrame([(d, p, i, j) for p, d, i, j in dataset.cells(bins)], "d int, p int, i int, j int")
     chosen = dataset.split(dataset.layers(rows, pairs, keys), n_train, n_eval, repeats, seed, keys)
     made = dataset.samples(rows, chosen, pairs, keys)
+    if late:
+        asked = made.select(F.col("change_id").alias("change_number"), "owner_id", "created", "t").distinct()
+        known = late(asked).drop("owner_id", "created").withColumnRenamed("change_number", "change_id")
+        made = made.join(known.hint("merge"), ["change_id", "t"])
     made.write.mode("overwrite").parquet(f"{path}/samples")
     made = spark.read.schema(made.schema).parquet(f"{path}/samples")
     predictions = model.all_cells(made, names, list(models), keys, seed, trees)
     predictions.write.mode("overwrite").parquet(f"{path}/predictions")
     predictions = spark.read.schema(predictions.schema).parquet(f"{path}/predictions")
-    out = recompute(predictions, ["model", "version"], permutations, alpha)
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    out = recompute(predictions, ["model", "version"], permutations, alpha, keep)
     out["count"] = drift.drift_count(out["found"], ["model", "metric"])
     sinks.table(out["matrix"], f"{path}/matrix")
     sinks.drift_test(out["tests"], f"{path}/tests")
@@ -71,10 +80,13 @@ def analyze(all_changes: DataFrame, cycles: DataFrame, features, names: list[str
     return {"predictions": predictions, **out}
 
 
-def recompute(predictions: DataFrame, keys: list[str] | None = None, permutations: int = 1000, alpha: float = 0.05) -> dict[str, DataFrame]:
-    """Matrices, tests, findings and counts from saved predictions, without any model. keys: what tells runs apart (a model, a release)."""
+def recompute(predictions: DataFrame, keys: list[str] | None = None, permutations: int = 1000, alpha: float = 0.05, keep=lambda df, name: df) -> dict[str, DataFrame]:
+    """Matrices, tests, findings and counts from saved predictions, without any model. keys: what tells runs apart (a model, a release).
+
+    keep may write a table under a name and read it again, so that what follows doesn't compute it anew.
+    """
     keys = keys or []
-    matrix = metrics.matrices(predictions, [*keys, "d", "p", "repeat"])
-    tests = drift.permutation_test(drift.series(matrix, [*keys, "metric", "d"]), [*keys, "metric", "d"], permutations)
+    matrix = keep(metrics.matrices(predictions, [*keys, "d", "p", "repeat"]), "matrix-rows")
+    tests = keep(drift.permutation_test(drift.series(matrix, [*keys, "metric", "d"]), [*keys, "metric", "d"], permutations), "test-rows")
     found = drift.drift_exists(tests, [*keys, "metric"], alpha)
     return {"matrix": matrix, "relative": metrics.relative(matrix), "tests": tests, "found": found, "count": drift.drift_count(found, ["metric"])}

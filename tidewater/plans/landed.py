@@ -143,18 +143,15 @@ def labelled_comment_classes(spark, sf_dir):
     return rows.select("doc_id", text.comment_class(asks, confirms).alias("class"))
 
 
-MOST = 383
-
-
-@query(mining.MINED.replace("<where>", f"where doc_id <= {MOST} and source <> 'nobody'") + mining.MINED_KEYWORDS)
+@query(mining.MINED.replace("<where>", "where source <> 'nobody'") + mining.MINED_KEYWORDS)
 def checklist_keywords(spark, sf_dir):
-    """The miner from a checklist CSV to the file of keywords and back: flags as people set them, changes up to a number."""
+    """The miner from a checklist CSV to the file of keywords and back: flags as people set them, all changes of the table."""
     rows = S.table(spark, sf_dir, "documents").join(S.table(spark, sf_dir, "labels"), "doc_id")
     flag = lambda on: F.when(on, F.when(F.col("doc_id") % 2 == 0, "1").otherwise(" 1.0 ")).otherwise(F.when(F.col("doc_id") % 2 == 0, "  ").otherwise("0"))
     rows = rows.select(F.col("doc_id").alias("PRNumber"), F.col("source").alias("author"), F.col("text").alias("comment"), flag(F.col("quality") == 0).alias("request"), flag(F.col("toxic") == 1).alias("confirmation"))
     paths = [folder(spark, n) for n in ("checklist", "keywords")]
     rows.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(paths[0])
-    sinks.keywords(keywords.mine(readers.checklist(spark, paths[0], MOST), mining.LABELS, bots=["nobody"]), paths[1])
+    sinks.keywords(keywords.mine(readers.checklist(spark, paths[0], None), mining.LABELS, bots=["nobody"]), paths[1])
     return readers.keywords(spark, paths[1], {"request": "request", "confirmation": "confirmation"})
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater.functions import text
-from tidewater.operators import changes, dataset, drift, features, history, keywords, metrics, model, releases
+from tidewater.operators import asof, changes, dataset, drift, features, history, keywords, metrics, model, releases
+from tidewater.plans import analyses
 from tidewater.plans import standins as S
 from tidewater.plans.activity import r6, reviewed_days
 from tidewater.plans.registry import query
@@ -378,6 +379,18 @@ def train_predict(spark, sf_dir):
     return model.all_cells(made.join(known, ["change_id", "t"]), dataset.FEATURES, list(model.MODELS), trees=5)
 
 
+@query(None)
+def drift_run(spark, sf_dir):
+    """The whole drift analysis, from changes to counts: which releases show drift in which metric of which model, and how many do.
+
+    All releases and cells, both models (of 5 trees), one repeat, 100 changes to train and 25 to evaluate, 200 permutations.
+    """
+    c = S.changes(spark, sf_dir).select("project", "change_number", "owner_id", "created", "decision_time")
+    reviewed = lambda rows: asof.next_after(rows, S.human(spark, sf_dir).select("change_number", "date"), "change_number", "t", "date", "next_review")
+    out = analyses.analyze(c, S.cycles(spark), reviewed, dataset.FEATURES, folder(spark, "drift-run"), tuple(model.MODELS), n_train=100, n_eval=25, repeats=1, trees=5, permutations=200, late=_known_by(spark, sf_dir))
+    return out["found"].join(out["count"], ["model", "metric"]).select("model", "metric", "version", "drift_exists", "n", "k")
+
+
 @query("with x as (select l_quantity as a, l_extendedprice as b from lineitem), s as (select avg(a) as ma, stddev_samp(a) as sa, avg(b) as mb, stddev_samp(b) as sb from x) select l_orderkey, l_linenumber, round((l_quantity - ma) / sa, 4) as quantity, round((l_extendedprice - mb) / sb, 4) as price from lineitem, s")
 def feature_scaling(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array

@@ -69,11 +69,11 @@ def keywords(spark: SparkSession, path: str, names: dict[str, str]) -> DataFrame
     return rows.filter("kind is not null").distinct()
 
 
-def checklist(spark: SparkSession, path: str, most: int = 383) -> DataFrame:
-    """Labelled comments of changes up to a number; blank flags are null."""
+def checklist(spark: SparkSession, path: str, most: int | None = 383) -> DataFrame:
+    """Labelled comments of changes up to a number (None: of all); blank flags are null."""
     rows = spark.read.schema(schema.CHECKLIST).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     blank = lambda c: F.when(F.trim(c) != "", F.col(c)).alias(c)
-    return rows.filter(F.col("PRNumber") <= most).select("PRNumber", "author", "comment", blank("request"), blank("confirmation"))
+    return rows.filter(F.col("PRNumber") <= most if most is not None else F.lit(True)).select("PRNumber", "author", "comment", blank("request"), blank("confirmation"))
 
 
 def predictions(spark: SparkSession, path: str, form: str = "csv") -> DataFrame:
