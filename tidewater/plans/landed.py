@@ -264,9 +264,11 @@ def change_lines(spark, sf_dir):
     return revisions.with_lines(S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("change_number")), lines)
 
 
-@query(S.using("lines") + """, c as (select o_orderkey as change_number, o_orderdate + interval 30 day as t from orders)
-select change_number, t, count(l_orderkey) filter (l_shipdate <= t and not (o.change_number % 3 = 0 and number % 4 = 3)) as revision_count
-from c o left join (select l_orderkey, l_shipdate, number from lines) on l_orderkey = o.change_number group by all""")
+@query(S.using("lines") + """, c as (select o_orderkey as change_number, o_orderdate + interval 30 day as t from orders),
+h as (select l_orderkey, l_shipdate, number, substr(md5(concat_ws('-', l_orderkey::VARCHAR, number::VARCHAR)), 1, 8) as sha from lines),
+f as (select l_orderkey, sha, max(l_shipdate) as dated from h where l_orderkey % 3 = 0 and number % 4 <> 3 group by all),
+r as (select l_orderkey, l_shipdate as dated from h where l_orderkey % 3 <> 0 union all select l_orderkey, dated from h join f using (l_orderkey, sha))
+select change_number, t, count(l_orderkey) filter (dated <= t) as revision_count from c left join r on l_orderkey = change_number group by all""")
 def revision_count_from_files(spark, sf_dir):
     """Revisions at a time; every third change has no revisions but lists commits, of which some have no file."""
     rows = S.lines(spark, sf_dir)
