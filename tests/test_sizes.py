@@ -44,3 +44,14 @@ def test_commits_whose_hashes_begin_alike_have_one_file(spark, tmp_path):
     (tmp_path / "late").mkdir()
     c = folder_of(tmp_path / "late", orders[:1], [(1605420, 1, 1, T(1998, 1, 5)), (1605420, 2, 1, T(1998, 3, 6))])
     assert [r[2] for r in same(spark, c, "revision_count_from_files", tmp_path / "late")] == [0]
+
+
+def test_nested_records_are_made_of_narrow_lists(spark, tmp_path):
+    """Commits, addresses and files are made after lines have come together; equal lines count each, in the order that SQL gives them."""
+    lines = [(k, p, s, T(1998, 1, d)) for k in (1, 2, 5) for p, s, d in ((3, 4, 9), (3, 4, 9), (1, 3, 9), (2, 9, 2))]
+    c = folder_of(tmp_path, [(k, k, T(1998, 1, 1), "F") for k in (1, 2, 4, 5)], lines)
+    for name in ("change_texts", "change_lines", "commit_summary", "first_revisions", "ingest_totals"):
+        same(spark, c, name, tmp_path)
+    plan = landed.change_texts(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    dealt = plan[plan.index("RepartitionByExpression") :]
+    assert "Window" not in plan and "src/f" not in dealt and "part " not in dealt and "md5" not in dealt
