@@ -1,10 +1,12 @@
 """What shows only on larger tables, on small ones made for it."""
 
 import datetime as dt
+import random
 
 import duckdb
 from pyspark.sql import functions as F
 
+from tidewater.operators import dataset
 from tidewater.plans import landed, mining, registry
 
 T = dt.datetime
@@ -55,3 +57,30 @@ def test_nested_records_are_made_of_narrow_lists(spark, tmp_path):
     plan = landed.change_texts(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     dealt = plan[plan.index("RepartitionByExpression") :]
     assert "Window" not in plan and "src/f" not in dealt and "part " not in dealt and "md5" not in dealt
+
+
+def test_layers_group_changes_and_not_cells(spark):
+    """Bins of any number are words of bits; the plan groups by change alone, before cells multiply rows."""
+    r = random.Random(3)
+    held = {(k, r.randint(-80, 80)) for k in range(60) for _ in range(8)}
+    records = spark.createDataFrame(sorted(held) * 2 + [(99, None)], "change_id long, bin int")
+    cells = [(d, p, p - d, p) for d in (1, 70) for p in range(-5, 75)]
+    got = dataset.layers(records, spark.createDataFrame(cells, "d int, p int, i int, j int"))
+    want = {(d, p, k, 2 if {(k, i), (k, j)} <= held else 1 if (k, i) in held else 3) for d, p, i, j in cells for k in range(60) if {(k, i), (k, j)} & held}
+    rows = list(map(tuple, got.collect()))
+    assert set(rows) == want and len(rows) == len(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and plan.count("Join") == plan.count("Join Cross") == 1
+    assert dataset.layers(records, spark.createDataFrame([], "d int, p int, i int, j int")).collect() == []
+
+
+def test_records_of_days_are_not_broadcast(spark, tmp_path):
+    """Days multiply records, which their estimated size doesn't show."""
+    c = folder_of(tmp_path, [(k, k % 7, T(1997, 9, 1) + dt.timedelta(days=k), "FOP"[k % 3]) for k in range(200)], [(k, k, k % 30, T(1998, 4, 1) + dt.timedelta(days=k)) for k in range(200)])
+    rows = mining._records(spark, str(tmp_path))
+    chosen = dataset.split(dataset.layers(rows, mining._pairs(spark)), 8, 2, 1)
+    plan = dataset.samples(rows, chosen, mining._pairs(spark))._jdf.queryExecution().sparkPlan().toString()
+    top = plan[: plan.index("Generate explode(sequence")]
+    assert "SortMergeJoin [change_id" in top
+    for name in ("layers", "split_quota", "split_sample", "sample_weights"):
+        same(spark, c, name, tmp_path)
