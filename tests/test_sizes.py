@@ -84,3 +84,11 @@ def test_records_of_days_are_not_broadcast(spark, tmp_path):
     assert "SortMergeJoin [change_id" in top
     for name in ("layers", "split_quota", "split_sample", "sample_weights"):
         same(spark, c, name, tmp_path)
+
+
+def test_history_of_days_is_not_broadcast(spark, tmp_path):
+    """Records of days meet what their owners had done by sorting; only what is known by day is broadcast."""
+    c = folder_of(tmp_path, [(k, k % 7, T(1997, 9, 1) + dt.timedelta(days=k), "FOP"[k % 3]) for k in range(200)], [(k, k, k % 30, T(1998, 4, 1) + dt.timedelta(days=k)) for k in range(200)])
+    plan = mining.drift_features(spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [owner_id" in plan and "BroadcastHashJoin [owner_id" not in plan
+    same(spark, c, "drift_features", tmp_path)
