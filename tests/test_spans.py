@@ -5,8 +5,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from tidewater.operators import changes, dataset, features
-from tidewater.plans import mining
+from tidewater.operators import asof, changes, dataset, features
+from tidewater.plans import analyses, mining
 from tidewater.plans import standins as S
 
 START, END = datetime(1998, 1, 1), datetime(1998, 3, 1)
@@ -43,3 +43,37 @@ def test_days_multiply_feature_vectors_last(spark):
     plan = mining.feature_vectors_daily(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString().split("\n")
     made = next(k for k, line in enumerate(plan) if "explode(sequence(_lo" in line)
     assert not any("SortMergeJoin" in line or "Window" in line for line in plan[:made])
+
+
+def test_records_as_spans_are_those_by_day(spark):
+    """Reviews at midnights and at odd instants, bins narrower than a day: cut spans hold the days of next_after() and with_bins()."""
+    c, sets = history(spark)
+    own, events = c.select("change_number", "owner_id", "created", "decision_time"), sets.select("change_number", F.col("created").alias("date"))
+    for n in (7, 40):
+        events = events.union(c.select("change_number", F.col("created") + F.expr(f"interval {n} days")))
+    grid = [F.lit(x).cast("timestamp_ntz") for x in (START, END)]
+    for a, b, n in ((datetime(1998, 1, 20, 5, 0, 0, 1), datetime(1998, 2, 20), 6), (datetime(1998, 1, 20), datetime(1998, 1, 26), 13)):
+        cycle = [F.lit(x).cast("timestamp_ntz") for x in (a, b)]
+        days = asof.next_after(changes.active_days(own, *grid, 60), events, "change_number", "t", "date", "next_review").filter("next_review is not null")
+        want = dataset.with_bins(days, *cycle, n).select("change_number", "t", "next_review", "bin")
+        spans = dataset.span_bins(asof.next_of_days(changes.open_spans(own, *grid, 60), events, "change_number", "date", "next_review"), *cycle, n)
+        got = dataset.span_days(spans).select("change_number", "t", "next_review", "bin")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 200
+
+
+def test_samples_read_spans_not_days(spark):
+    """Records of the drift analysis are written as spans: fewer rows than days, which they were before."""
+    folder = "/root/testdata/sf0.001"
+    made = mining._samples(spark, folder, 4, 1, 1)
+    files = {f.rpartition("/")[0] for f in made.inputFiles() if "/records-" in f}
+    rows = spark.read.parquet(*files)
+    assert {"_first", "_last", "bin"} <= set(rows.columns) and dataset.span_days(rows).count() > 5 * rows.count() > 0
+
+
+def test_records_that_agree_are_one_row(spark):
+    c = S.changes(spark, "/root/testdata/sf0.001").select("change_number", "project", "created", "decision_time")
+    alike = ["version", "cycle_start", "cycle_end", "decision_time"]
+    rows = analyses.records(c, S.cycles(spark), lambda rows: rows, "time_to_decision", alike=alike)
+    want = analyses.records(c, S.cycles(spark), lambda rows: rows, "time_to_decision").groupBy("version", "t", "bin", "label").count()
+    got = rows.groupBy("version", "t", "bin", "label").agg(F.sum("n_alike"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
