@@ -303,8 +303,9 @@ select version, bin, count(*) as n, round(avg(label), 4) as mean_label from r gr
 def drift_records(spark, sf_dir):
     """Records of all releases by bin: open changes of a cycle and of the span as long before it, by day."""
     c = S.changes(spark, sf_dir).select("change_number", "project", "created", "decision_time")
-    rows = analyses.records(c, S.cycles(spark), lambda rows: rows, "time_to_decision")
-    return rows.groupBy("version", "bin").agg(F.count("*").alias("n"), F.round(F.avg("label"), 4).alias("mean_label"))
+    rows = analyses.records(c, S.cycles(spark), lambda rows: rows, "time_to_decision", alike=["version", "cycle_start", "cycle_end", "decision_time"])
+    mean = F.sum(F.col("label") * F.col("n_alike")) / F.sum("n_alike")
+    return rows.groupBy("version", "bin").agg(F.sum("n_alike").alias("n"), F.round(mean, 4).alias("mean_label"))
 
 
 @query(mining.SPLIT + """, s as (select d, p, repeat, change_id, side, case side when 'train' then i else j end as bin from chosen join pairs using (d, p))
