@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidewater.operators import dataset, keywords
@@ -73,3 +74,12 @@ def test_feature_vectors_of_every_day(spark):
     assert len(some) == len(want)
     for r in some[::50]:
         assert all(abs(getattr(known[r.change_number, r.t], f) - r[f]) < 1e-5 for f in dataset.FEATURES)
+
+
+def test_comments_are_cut_in_bounded_pieces():
+    """A batch of comments is no longer turned into words as a whole."""
+    rows = ["x" * 40, None, "", "y" * 300, "z", "w" * 60, "v" * 60]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows), pa.array(range(7))], ["cleaned", "n"])
+    parts = [p.column(0).to_pylist() for p in keywords._pieces(batch, 100)]
+    assert sum(parts, []) == rows and all(len(p) == 1 or sum(len(x or "") for x in p) <= 100 for p in parts) and len(parts) == 4
+    assert list(keywords._pieces(batch.slice(0, 0), 100)) == []
