@@ -83,3 +83,23 @@ def test_comments_are_cut_in_bounded_pieces():
     parts = [p.column(0).to_pylist() for p in keywords._pieces(batch, 100)]
     assert sum(parts, []) == rows and all(len(p) == 1 or sum(len(x or "") for x in p) <= 100 for p in parts) and len(parts) == 4
     assert list(keywords._pieces(batch.slice(0, 0), 100)) == []
+
+
+def test_all_phrases_are_counted_without_sending_them(spark):
+    """What goes to buckets is less than the comments, equal windows of a block go once, and counts are those of plain Python."""
+    r = random.Random(11)
+    rows = [(" ".join(r.choice(["a", "bb", "c", f"w{r.randint(0, 40)}"]) for _ in range(r.randint(0, 25))), r.choice([True, False, None])) for _ in range(150)]
+    rows += [(None, True), ("", False), ("  b  b ", None), ("x x x x x x x x x x x x x", True)] + [("the same comment again and again and again in every copy", False)] * 50
+    for least, most, block in ((1, 10, 1 << 20), (1, 10, 300), (2, 3, 2000), (1, 1, 2000), (3, 4, 2000)):
+        want = {}
+        for text, flag in rows:
+            words = [w for w in (text or "").split(" ") if w]
+            for p in {" ".join(words[i : i + n]) for n in range(least, most + 1) for i in range(len(words) - n + 1)}:
+                was = want.get(p, (0, None))
+                want[p] = (was[0] + 1, was[1] if flag is None else (was[1] or 0) + flag)
+        got = keywords.phrase_counts(spark.createDataFrame(rows, "cleaned string, flag boolean").repartition(3), ["flag"], least, most, block).collect()
+        assert {x[0]: (x[1], x[2]) for x in got} == want and len(got) == len(want)
+    batch = pa.RecordBatch.from_arrays([pa.array([t or "" for t, _ in rows]), pa.array([1] * len(rows))], ["cleaned", "total"])
+    sent = list(keywords._windows(batch, 1, 10, 2))
+    copies = keywords._windows(batch.slice(len(rows) - 50), 1, 10, 2)
+    assert sum(len(p[2]) + len(p[4]) + len(p[5]) for p in sent) < 2 * sum(len(t or "") for t, _ in rows) and sum(p[1] for p in copies) <= 2 * 11
