@@ -103,3 +103,31 @@ def test_all_phrases_are_counted_without_sending_them(spark):
     sent = list(keywords._windows(batch, 1, 10, 2))
     copies = keywords._windows(batch.slice(len(rows) - 50), 1, 10, 2)
     assert sum(len(p[2]) + len(p[4]) + len(p[5]) for p in sent) < 2 * sum(len(t or "") for t, _ in rows) and sum(p[1] for p in copies) <= 2 * 11
+
+
+def test_later_levels_read_what_longer_phrases_can_hold(spark, monkeypatch):
+    """Comments are trimmed once, words that others were between do not become neighbours, and counts stay those of everything."""
+    r = random.Random(5)
+    rows = [(" ".join(["one two three four five", "a b c d", "b c d e", f"u{k}  v{k}"][r.randint(0, 3)] if r.random() < 0.7 else f"z{r.randint(0, 3)}" for _ in range(9)), k % 2 == 0) for k in range(60)] + [(None, True), ("", True)]
+    comments, kept = spark.createDataFrame(rows, "cleaned string, flag boolean").repartition(2), []
+    trim = keywords._trimmed
+    monkeypatch.setattr(keywords, "_trimmed", lambda *x: kept.append(trim(*x)) or kept[-1])
+    got = list(map(tuple, keywords.frequent_phrases(comments, ["flag"], 3, 10).collect()))
+    want = {tuple(x) for x in keywords.phrase_counts(comments, ["flag"]).filter("total >= 3").collect()}
+    assert set(got) == want and len(got) == len(want) and max(len(p.split()) for p, *_ in got) > 4
+    assert len(kept) == 1 and not any(w[:1] in ("u", "v") for x in kept[0].collect() for w in x.cleaned.split())
+
+
+def test_cleaning_looks_for_links_where_they_can_begin(spark):
+    """Against the patterns as they are stated; a long run of letters no longer takes time by its square."""
+    from tidewater.functions import text
+
+    r = random.Random(3)
+    parts = ["a.bc", ".", "..", "http://", "www.", "x", " ", "<", '"', ".com", "1", "é", "😀", "nova", "ci", "CI", "verified", "ſ", "code-review+2", "-", ",", "\u00a0", "patch set 3:", "(2 comments)", "İ", "K"]
+    rows = [("".join(r.choice(parts) for _ in range(r.randint(0, 14))),) for _ in range(3000)] + [("y" * 60000,)]
+    df = spark.createDataFrame(rows, "c string")
+    plain = F.lower("c")
+    for p in ("(?U)" + text.LINKS, "(?U)" + text.PATCH_SET, "(?U)" + text.INLINE, "(?iU)" + text.alternation(mining.LABELS), text.SYMBOLS, "(?U)" + text.PROJECTS, " +"):
+        plain = F.regexp_replace(plain, p, " ")
+    assert df.filter("length(c) < 1000").filter(text.clean_comment("c", mining.LABELS) != F.trim(plain)).count() == 0
+    assert "(?<![^" in text._links() and df.filter(F.length(text.clean_comment("c", mining.LABELS)) == 60000).count() == 1
