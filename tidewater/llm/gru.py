@@ -15,8 +15,9 @@ HIDDEN = 16
 STEPS = 16
 LANES = 256  # in scoring
 WEIGHTS_PER_LANE = 800
-ROWS = 2048  # logits at once
-SLOW = {"bc": 0.1, "bw": 0.1}  # biases start where they belong, as those of the unigram model
+ROWS = 512  # softmaxes over classes at once
+SPACE = 1 << 16  # logits in a class at once
+SLOW = 0.1  # biases of outputs start where they belong, as those of the unigram model
 
 
 def classes_of(counts: np.ndarray, n: int) -> np.ndarray:
@@ -32,106 +33,128 @@ def how_many_classes(tokens: int) -> int:
 
 
 def new(counts: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
-    """Weights for tokens with these counts: those of the unigram model, with small random inner weights."""
+    """Weights for tokens with these counts: those of the unigram model, with small random inner weights. Rows of wc (classes) and ww (tokens) end with a bias."""
     draw, share = np.random.default_rng(3), (counts + 1.0) / (counts + 1.0).sum()
     of_class = np.add.reduceat(share, at[:-1])
     small = lambda *shape: (draw.standard_normal(shape) * 0.1).astype(np.float32)
+    biased = lambda bias: np.column_stack([np.zeros((len(bias), HIDDEN)), bias]).astype(np.float32)
     return {
         "embed": small(len(counts), HIDDEN), "wx": small(HIDDEN, 3 * HIDDEN) * 3, "b": np.repeat(np.float32([0, 1, 0]), HIDDEN), "wh": small(HIDDEN, 3 * HIDDEN) * 3,
-        "wc": np.zeros((HIDDEN, len(at) - 1), np.float32), "bc": np.log(of_class).astype(np.float32),
-        "ww": np.zeros((HIDDEN, len(counts)), np.float32), "bw": np.log(share / np.repeat(of_class, np.diff(at))).astype(np.float32),
+        "wc": biased(np.log(of_class)), "ww": biased(np.log(share / np.repeat(of_class, np.diff(at)))),
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x *= 0.5
-    np.tanh(x, out=x)
-    x *= 0.5
-    x += 0.5
-    return x
+def _turned(x: np.ndarray) -> np.ndarray:
+    """Weights into gates and candidates with units first; those of gates are negative, as gates are 1 / (1 + exp(-x))."""
+    out = x.T.copy()
+    np.negative(out[: 2 * HIDDEN], out=out[: 2 * HIDDEN])
+    return out
 
 
-def run(w: dict, tokens: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple:
-    """States before each step's output; tokens and keep are steps x lanes, keep is 0 where a document starts."""
+def _step(a: np.ndarray, un: np.ndarray, h: np.ndarray, g: np.ndarray, c: np.ndarray, out: np.ndarray) -> None:
+    """One step of all lanes: g holds what states add to the gates and becomes the gates, candidates go into c, states into out. Lanes lie along the last axis, so each slice is contiguous."""
+    g += a[: 2 * HIDDEN]
+    np.minimum(g, 80, out=g)  # float32 holds exp(80)
+    np.exp(g, out=g)
+    g += 1
+    np.divide(1, g, out=g)
+    np.multiply(g[:HIDDEN], un, out=c)
+    c += a[2 * HIDDEN :]
+    np.tanh(c, out=c)
+    np.subtract(h, c, out=out)
+    out *= g[HIDDEN:]
+    out += c
+
+
+def _rows(states: np.ndarray) -> np.ndarray:
+    """States by step, unit and lane as steps x lanes rows of units."""
+    return np.ascontiguousarray(states.transpose(0, 2, 1))
+
+
+def _run(w: dict, tokens: np.ndarray, keep: np.ndarray, h: np.ndarray, all_: bool = True) -> tuple:
+    """run() with units before lanes in all but x; only the last of its results without all_."""
     steps, lanes = tokens.shape
-    x = w["embed"][tokens]
-    a = (x.reshape(-1, HIDDEN) @ w["wx"] + w["b"]).reshape(steps, lanes, -1)
-    before, gates, un, n, after = (np.empty((steps, lanes, k), np.float32) for k in (HIDDEN, 2 * HIDDEN, HIDDEN, HIDDEN, HIDDEN))
-    wh = w["wh"]
+    wxt, bt, wht = _turned(w["wx"]), _turned(w["b"])[:, None], _turned(w["wh"])
+    held = steps if all_ else 1
+    x, a = np.empty((held, lanes, HIDDEN), np.float32), np.empty((3 * HIDDEN, lanes), np.float32)
+    before, gates, un, n = (np.empty((held, k, lanes), np.float32) for k in (HIDDEN, 2 * HIDDEN, HIDDEN, HIDDEN))
+    after, last = np.empty((steps, HIDDEN, lanes), np.float32), h.T
     for t in range(steps):
-        h = h * keep[t][:, None]
-        u = h @ wh
-        g = _sigmoid(a[t, :, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-        c = g[:, :HIDDEN] * u[:, 2 * HIDDEN :]
-        c += a[t, :, 2 * HIDDEN :]
-        np.tanh(c, out=c)
-        before[t], gates[t], un[t], n[t] = h, g, u[:, 2 * HIDDEN :], c
-        h -= c
-        h *= g[:, HIDDEN:]
-        h += c
-        after[t] = h
+        i = t if all_ else 0
+        np.take(w["embed"], tokens[t], axis=0, out=x[i], mode="clip")  # without a copy
+        np.matmul(wxt, x[i].T, out=a)
+        a += bt
+        np.multiply(last, keep[t], out=before[i])
+        np.matmul(wht[: 2 * HIDDEN], before[i], out=gates[i])
+        np.matmul(wht[2 * HIDDEN :], before[i], out=un[i])
+        _step(a, un[i], before[i], gates[i], n[i], after[t])
+        last = after[t]
     return x, before, gates, un, n, after
 
 
-def states(table: np.ndarray, wh: np.ndarray, tokens: np.ndarray, keep: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """What run() gives last, without what training needs. table: embed @ wx + b, a row per token."""
-    after = np.empty((*tokens.shape, HIDDEN), np.float32)
-    for t in range(len(tokens)):
-        a = table[tokens[t]]
-        h = h * keep[t][:, None]
-        u = h @ wh
-        g = a[:, : 2 * HIDDEN]
-        g += u[:, : 2 * HIDDEN]
-        g = _sigmoid(g)
-        c = g[:, :HIDDEN] * u[:, 2 * HIDDEN :]
-        c += a[:, 2 * HIDDEN :]
-        np.tanh(c, out=c)
-        h -= c
-        h *= g[:, HIDDEN:]
-        h += c
-        after[t] = h
-    return after
-
-
-def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of logits, in place, and its sums by row. States lie in (-1, 1), so logits need no shift; the bounds keep float32 finite and away from its slow smallest numbers."""
-    np.clip(x, -60, 60, out=x)
+def run(w: dict, tokens: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple:
+    """States before each step's output; tokens and keep are steps x lanes, keep is 0 where a document starts."""
+    x, *rest = _run(w, tokens, keep, h)
+    return x, *map(_rows, rest)
+
+
+def states(w: dict, tokens: np.ndarray, keep: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """What run() gives last, without what training needs."""
+    return _rows(_run(w, tokens, keep, h, all_=False)[-1])
+
+
+def _exp(x: np.ndarray, ones: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    """exp of logits, in place, and its sums by row. States lie in (-1, 1), so logits need no shift; bounds keep float32 finite and away from its slow smallest numbers, where weights are wide enough to need them."""
+    if wide:
+        np.clip(x, -60, 60, out=x)
     np.exp(x, out=x)
-    return x, x @ np.ones(x.shape[1], x.dtype)
+    return x, x @ ones[: x.shape[1]]
+
+
+def _softmax(own: np.ndarray, want: np.ndarray, w: np.ndarray, ones: np.ndarray, wide: bool, grad: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Probability of the wanted row of w for each state (ending in 1, for the bias); with grad, adds the gradient of w there and gives that of the states."""
+    p, total = _exp(own @ w.T, ones, wide)
+    place = np.arange(0, p.size, p.shape[1])
+    place += want
+    flat = p.reshape(-1)
+    if grad is None:
+        return flat[place] / total, None
+    p *= (1 / total)[:, None]
+    got = flat[place]
+    flat[place] = got - 1
+    grad += p.T @ own
+    return got, p @ w[:, :-1]
 
 
 def log_likelihood(w: dict, at: np.ndarray, h: np.ndarray, target: np.ndarray, grad: dict | None = None) -> np.ndarray:
     """Natural log probability of each target given its state; with grad, adds the gradients and puts the states' in grad["h"]."""
     # Rows go by class, so that each class works on a slice.
-    kind = np.repeat(np.arange(len(at) - 1), np.diff(at))[target]
-    order = np.argsort(kind.astype(np.int16), kind="stable")
-    h, target, kind, each = h[order], target[order], kind[order], np.arange(len(h))
-    share, back = np.empty(len(h), np.float32), np.empty_like(h)
+    kind = np.repeat(np.arange(len(at) - 1, dtype=np.int16 if len(at) < 1 << 15 else np.int64), np.diff(at))[target]
+    order = np.argsort(kind, kind="stable")
+    own, target, kind = np.empty((len(h), HIDDEN + 1), np.float32), target[order], kind[order]
+    own[:, :HIDDEN], own[:, HIDDEN] = h[order], 1
+    wc, ww, ones = w["wc"], w["ww"], np.ones(max(len(at), HIDDEN + 1, int(np.diff(at).max())), np.float32)
+    wide = np.maximum.reduceat(np.abs(ww) @ ones[: HIDDEN + 1], at[:-1]) > 60
+    wide_class = bool((np.abs(wc) @ ones[: HIDDEN + 1]).max() > 60)
+    share, back = np.empty(len(h), np.float32), None if grad is None else np.empty((len(h), HIDDEN), np.float32)
     for i in range(0, len(h), ROWS):
-        own, want = h[i : i + ROWS], (each[: len(h[i : i + ROWS])], kind[i : i + ROWS])
-        p, total = _exp(own @ w["wc"] + w["bc"])
-        share[i : i + ROWS] = p[want] / total
+        rows = slice(i, i + ROWS)
+        share[rows], more = _softmax(own[rows], kind[rows], wc, ones, wide_class, grad and grad["wc"])
         if grad is not None:
-            p *= (1 / total)[:, None]
-            p[want] -= 1
-            grad["wc"] += own.T @ p
-            grad["bc"] += np.ones(len(p), p.dtype) @ p
-            back[i : i + ROWS] = p @ w["wc"].T
+            back[rows] = more
     edge = np.searchsorted(kind, np.arange(len(at)))
     for c in np.flatnonzero(np.diff(edge)).tolist():
-        i, j, first, last = int(at[c]), int(at[c + 1]), int(edge[c]), int(edge[c + 1])
+        i, j = int(at[c]), int(at[c + 1])
         if j - i == 1:
             continue
-        own, want = h[first:last], (each[: last - first], target[first:last] - i)
-        p, total = _exp(own @ w["ww"][:, i:j] + w["bw"][i:j])
-        share[first:last] *= p[want] / total
-        if grad is not None:
-            p *= (1 / total)[:, None]
-            p[want] -= 1
-            grad["ww"][:, i:j] += own.T @ p
-            grad["bw"][i:j] += np.ones(len(p), p.dtype) @ p
-            back[first:last] += p @ w["ww"][:, i:j].T
+        # Fewer rows at once in classes of many tokens.
+        most = max(64, SPACE // (j - i))
+        for first in range(int(edge[c]), int(edge[c + 1]), most):
+            rows = slice(first, min(first + most, int(edge[c + 1])))
+            part, more = _softmax(own[rows], target[rows] - i, ww[i:j], ones, wide[c], grad and grad["ww"][i:j])
+            share[rows] *= part
+            if grad is not None:
+                back[rows] += more
     out = np.empty(len(order))
     out[order] = np.log(np.maximum(share, np.float32(1e-37)))
     if grad is not None:
@@ -142,39 +165,45 @@ def log_likelihood(w: dict, at: np.ndarray, h: np.ndarray, target: np.ndarray, g
 
 def gradients(w: dict, at: np.ndarray, inputs: np.ndarray, targets: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
     """Gradients of one window by backpropagation through its steps, that of embed as (rows, values); the last state; the log likelihood."""
-    x, before, gates, un, n, after = run(w, inputs, keep, h)
+    x, before, gates, un, n, after = _run(w, inputs, keep, h)
+    steps, lanes = inputs.shape
     grad = {k: np.zeros_like(v) for k, v in w.items() if k != "embed"}
-    total = float(log_likelihood(w, at, after.reshape(-1, HIDDEN), targets.ravel(), grad).sum())
-    out = grad.pop("h").reshape(after.shape)
-    da, du = np.empty((*inputs.shape, 3 * HIDDEN), np.float32), np.empty((*inputs.shape, 3 * HIDDEN), np.float32)
-    dh, wht = np.zeros_like(h), w["wh"].T.copy()
-    for t in range(len(inputs) - 1, -1, -1):
+    total = float(log_likelihood(w, at, _rows(after).reshape(-1, HIDDEN), targets.ravel(), grad).sum())
+    out = np.ascontiguousarray(grad.pop("h").reshape(steps, lanes, HIDDEN).transpose(0, 2, 1))
+    # Of candidates, gates and again candidates: the first three quarters are the gradients of what inputs add, the last three those of what states add.
+    d, dx = np.empty((4 * HIDDEN, lanes), np.float32), np.empty((steps, lanes, HIDDEN), np.float32)
+    da, du = d[: 3 * HIDDEN], d[HIDDEN:]
+    turned = np.roll(w["wx"], HIDDEN, axis=1).T.copy()  # candidates first, as in da
+    wx, b, ones, dh, some = np.zeros_like(turned), np.zeros(3 * HIDDEN, np.float32), np.ones(lanes, np.float32), np.zeros((HIDDEN, lanes), np.float32), np.empty((HIDDEN, lanes), np.float32)
+    for t in range(steps - 1, -1, -1):
         dh += out[t]
-        r, z, c = gates[t, :, :HIDDEN], gates[t, :, HIDDEN:], n[t]
-        open_ = 1 - z
-        dc = dh * open_
-        dc *= 1 - c * c
-        dr = dc * r
-        both = dh * open_
-        both *= z
-        both *= before[t] - c
-        da[t, :, :HIDDEN] = dr * un[t] * (1 - r)
-        da[t, :, HIDDEN : 2 * HIDDEN] = both
-        da[t, :, 2 * HIDDEN :] = dc
-        du[t, :, : 2 * HIDDEN] = da[t, :, : 2 * HIDDEN]
-        du[t, :, 2 * HIDDEN :] = dr
-        dh *= z
-        dh += du[t] @ wht
-        dh *= keep[t][:, None]
-    flat = da.reshape(-1, 3 * HIDDEN)
-    grad["wh"] = before.reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
-    grad["wx"] = x.reshape(-1, HIDDEN).T @ flat
-    grad["b"] = flat.sum(0)
-    dx, token = flat @ w["wx"].T, inputs.ravel()
-    order = np.argsort(token, kind="stable")
+        r, z, c = gates[t, :HIDDEN], gates[t, HIDDEN:], n[t]
+        dc, dr, dz, dn = (d[k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+        dh_z = dh * z
+        np.subtract(dh, dh_z, out=some)  # dh (1 - z)
+        np.multiply(c, c, out=dc)
+        np.subtract(1, dc, out=dc)
+        dc *= some
+        np.multiply(dc, r, out=dn)
+        np.subtract(1, r, out=dr)
+        dr *= dn
+        dr *= un[t]
+        np.subtract(before[t], c, out=dz)
+        dz *= some
+        dz *= z
+        grad["wh"] += before[t] @ du.T
+        wx += da @ x[t]
+        b += da @ ones
+        np.matmul(da.T, turned, out=dx[t])
+        np.matmul(w["wh"], du, out=dh)
+        dh += dh_z
+        dh *= keep[t]
+    grad["wx"], grad["b"] = np.roll(wx.T, -HIDDEN, axis=1), np.roll(b, -HIDDEN)
+    token, dx = inputs.ravel(), dx.reshape(-1, HIDDEN)
+    order = np.argsort(token.astype(np.uint16) if len(w["embed"]) <= 1 << 16 else token, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1]]))
     grad["embed"] = token[order][first], np.add.reduceat(dx[order], first)
-    return grad, after[-1], total
+    return grad, after[-1].T, total
 
 
 class Learner:
@@ -208,7 +237,9 @@ class Learner:
                 if name == "embed":
                     self.squares[name][part] = seen
                 g /= np.sqrt(seen)
-                g *= self.rate * SLOW.get(name, 1.0)
+                g *= self.rate
+                if name in ("wc", "ww"):
+                    g[:, -1] *= SLOW
                 self.weights[name][part] -= g
             self.seen += i.size
 
@@ -235,14 +266,14 @@ def score(w: dict, at: np.ndarray, documents: list[np.ndarray]) -> np.ndarray:
             t += n + 1
     inputs = np.zeros_like(target)
     inputs[1:] = np.where(first[1:], 0, target[:-1])
-    out, h, table = np.zeros(len(documents)), np.zeros((lanes, HIDDEN), np.float32), w["embed"] @ w["wx"] + w["b"]
+    out, h = np.zeros(len(documents)), np.zeros((lanes, HIDDEN), np.float32)
     wide = 4 * STEPS
     for k in range(0, longest, wide):
         # Lanes are in the order of their loads: those that still have tokens come first.
         n = int(np.searchsorted(-load, -k))
         last = min(k + wide, longest)
         place = np.minimum(np.arange(k, last)[:, None], load[None, :n] - 1) + start[None, :n]
-        after = states(table, w["wh"], inputs[place], (~first[place]).astype(np.float32), h[:n])
+        after = states(w, inputs[place], (~first[place]).astype(np.float32), h[:n])
         h = after[-1]
         live = (np.arange(k, last)[:, None] < load[None, :n]).ravel()
         place = place.ravel()[live]

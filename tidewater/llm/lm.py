@@ -124,7 +124,9 @@ def scores(documents: DataFrame, vocabulary: int | None = None, classes: int | N
             for part in words.slices(batch, 1, BLOCK):
                 raw, at = words.as_bytes(part.column(1), lower=True)
                 starts, ends, first = words.spans(raw, at)
-                known, number, uses = np.unique(words.hash_spans(raw, starts, ends), return_inverse=True, return_counts=True)
+                coded = pa.array(words.hash_spans(raw, starts, ends)).dictionary_encode()  # in half the time of sorting them
+                known, number = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+                uses = np.bincount(number, minlength=len(known))
                 rank = np.argsort(-uses, kind="stable")  # frequent words get low numbers
                 place = np.empty(len(known), np.int64)
                 place[rank] = np.arange(len(known))
