@@ -1,6 +1,5 @@
 import math
 import re
-import time
 import zlib
 from collections import Counter
 
@@ -175,32 +174,28 @@ def plain(w, at, h, target, grad):
     return out
 
 
-def test_softmaxes_equal_plain_ones_in_less_time(monkeypatch):
-    """A model of 15,000 words: no pass over the logits for biases, their gradients and bounds that nothing reaches."""
+def test_softmaxes_equal_plain_ones_and_clip_nothing_in_vain(monkeypatch):
+    """A model of 15,000 words: no pass over the logits for bounds that nothing reaches."""
     counts, draw = np.floor(4e6 / np.arange(1.0, 15_001)), np.random.default_rng(5)
     at = gru.classes_of(counts, gru.how_many_classes(len(counts)))
     w = {k: (v + 0.1 * draw.standard_normal(v.shape)).astype(np.float32) for k, v in gru.new(counts, at).items()}
     h = np.tanh(draw.standard_normal((20_000, gru.HIDDEN))).astype(np.float32)
     target = draw.choice(len(counts), len(h), p=counts / counts.sum())
-    best = [math.inf, math.inf]
-    for _ in range(9):
-        got = []
-        for k, f in enumerate((plain, gru.log_likelihood)):
-            grad = {x: np.zeros_like(w[x]) for x in ("wc", "ww")}
-            start = time.thread_time()
-            out = f(w, at, h, target, grad)
-            best[k] = min(best[k], time.thread_time() - start)
-            got.append((out, grad))
-    (a, grad_a), (b, grad_b) = got
-    assert np.allclose(a, b, atol=1e-3)
+    grad_a, grad_b = ({x: np.zeros_like(w[x]) for x in ("wc", "ww")} for _ in range(2))
+    a, clipped = plain(w, at, h, target, grad_a), []
+    monkeypatch.setattr(np, "clip", lambda x, *_, **__: clipped.append(x.size) or x)
+    assert np.allclose(a, gru.log_likelihood(w, at, h, target, grad_b), atol=1e-3)
     assert all(np.allclose(grad_a[x], grad_b[x], atol=1e-2, rtol=1e-3) for x in ("wc", "ww", "h"))
-    assert best[1] < 0.9 * best[0]
-    clipped = []
-    monkeypatch.setattr(np, "clip", lambda *x, **y: clipped.append(1))
-    gru.log_likelihood(w, at, h, target)
     assert not clipped
 
 
+def test_a_shut_gate_is_zero_without_warning(recwarn):
+    w, _ = small()
+    w["b"] = np.repeat(np.float32([0, -200, 0]), gru.HIDDEN)  # states take every candidate
+    *_, n, after = gru.run(w, np.ones((3, 2), int), np.ones((3, 2), np.float32), np.zeros((2, gru.HIDDEN), np.float32))
+    assert np.isfinite(after).all() and np.allclose(after, n, atol=1e-6) and not recwarn.list
+
+
 def test_logits_of_very_large_weights_stay_finite():
     w, at = small()
     w = {k: v * np.float32(400 if k in ("wc", "ww") else 1) for k, v in w.items()}

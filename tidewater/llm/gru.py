@@ -17,6 +17,7 @@ LANES = 256  # in scoring
 WEIGHTS_PER_LANE = 800
 ROWS = 512  # softmaxes over classes at once
 SPACE = 1 << 16  # logits in a class at once
+AHEAD = 1024  # inputs at once
 SLOW = 0.1  # biases of outputs start where they belong, as those of the unigram model
 
 
@@ -51,10 +52,9 @@ def _turned(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _step(a: np.ndarray, un: np.ndarray, h: np.ndarray, g: np.ndarray, c: np.ndarray, out: np.ndarray) -> None:
+def _step(a: np.ndarray, g: np.ndarray, un: np.ndarray, h: np.ndarray, c: np.ndarray, out: np.ndarray) -> None:
     """One step of all lanes: g holds what states add to the gates and becomes the gates, candidates go into c, states into out. Lanes lie along the last axis, so each slice is contiguous."""
     g += a[: 2 * HIDDEN]
-    np.minimum(g, 80, out=g)  # float32 holds exp(80)
     np.exp(g, out=g)
     g += 1
     np.divide(1, g, out=g)
@@ -76,19 +76,23 @@ def _run(w: dict, tokens: np.ndarray, keep: np.ndarray, h: np.ndarray, all_: boo
     steps, lanes = tokens.shape
     wxt, bt, wht = _turned(w["wx"]), _turned(w["b"])[:, None], _turned(w["wh"])
     held = steps if all_ else 1
-    x, a = np.empty((held, lanes, HIDDEN), np.float32), np.empty((3 * HIDDEN, lanes), np.float32)
-    before, gates, un, n = (np.empty((held, k, lanes), np.float32) for k in (HIDDEN, 2 * HIDDEN, HIDDEN, HIDDEN))
+    x = np.empty((steps, lanes, HIDDEN), np.float32)
+    before, u, n = (np.empty((held, k, lanes), np.float32) for k in (HIDDEN, 3 * HIDDEN, HIDDEN))
+    gates, un = u[:, : 2 * HIDDEN], u[:, 2 * HIDDEN :]
     after, last = np.empty((steps, HIDDEN, lanes), np.float32), h.T
-    for t in range(steps):
-        i = t if all_ else 0
-        np.take(w["embed"], tokens[t], axis=0, out=x[i], mode="clip")  # without a copy
-        np.matmul(wxt, x[i].T, out=a)
-        a += bt
-        np.multiply(last, keep[t], out=before[i])
-        np.matmul(wht[: 2 * HIDDEN], before[i], out=gates[i])
-        np.matmul(wht[2 * HIDDEN :], before[i], out=un[i])
-        _step(a, un[i], before[i], gates[i], n[i], after[t])
-        last = after[t]
+    some = max(1, AHEAD // lanes)
+    with np.errstate(over="ignore"):  # a gate that is shut: 1 / (1 + inf)
+        for t in range(steps):
+            i, k = t if all_ else 0, t % some
+            if k == 0:  # what the inputs of some steps add
+                np.take(w["embed"], tokens[t : t + some], axis=0, out=x[t : t + some], mode="clip")  # without a copy
+                a = wxt @ x[t : t + some].reshape(-1, HIDDEN).T
+                a += bt
+                a = a.reshape(3 * HIDDEN, -1, lanes)
+            np.multiply(last, keep[t], out=before[i])
+            np.matmul(wht, before[i], out=u[i])
+            _step(a[:, k], gates[i], un[i], before[i], n[i], after[t])
+            last = after[t]
     return x, before, gates, un, n, after
 
 
