@@ -1,5 +1,6 @@
 """Fits of all cells in one job, and their trees, against plain Python."""
 
+import inspect
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators import dataset, model, trees
+from tidewater.plans import mining
 
 
 def loops(x, y, w, leaves, least):
@@ -79,3 +81,27 @@ def test_all_cells_in_one_job(spark):
     assert all(x[7] == x[6] % 7 + x[5] for x in whole)
     assert go(made.filter("side = 'eval'")) == go(made.limit(0)) == []
     assert len(dataset.cells()) == 36
+
+
+def test_samples_fitted_together_are_as_alone():
+    """Samples of other sizes, other numbers of bins and one that ends early; a forest's trees grow together as one by one."""
+    r, samples = np.random.default_rng(6), []
+    for rows, values in ((300, 9), (50, 400), (700, 3), (40, 1)):
+        x = r.integers(0, values, (rows, 4)).astype(float)
+        samples.append((x, x[:, 0] + r.standard_normal(rows) * (values > 1), r.uniform(0.5, 2, rows), x[:20] + 0.5))
+    made = model.TOGETHER["gradient_boosting"](samples, [1] * 4, 12)
+    assert all((got == trees.boosted(*s, 1, 12)).all() and len(got) == 20 for got, s in zip(made, samples))
+    bins = trees.binned(samples[0][0], trees.edges_of(samples[0][0]))
+    w = r.integers(0, 3, (5, 300)).astype(float)
+    grown, said = trees.grow_each(bins, samples[0][1], w, 20, 1, 0.0)
+    each = np.stack([trees.grow(bins, samples[0][1], x, 20, 1, 0.0).predict(bins) for x in w])
+    assert (grown.predict_each(bins) == each).all() and (said == np.where(w > 0, each, 0)).all()
+
+
+def test_train_predict_fits_whole_models(spark, monkeypatch):
+    """Two hundred trees of both models for all cells and repeats, as the reference's settings are."""
+    seen, plain = [], inspect.signature(model.all_cells)
+    monkeypatch.setattr(model, "all_cells", lambda *a, **k: seen.append(plain.bind(*a, **k)) or a[0])
+    mining.train_predict(spark, "/root/testdata/sf0.001")
+    seen[0].apply_defaults()
+    assert seen[0].arguments["trees"] == 200 and seen[0].arguments["models"] == list(model.MODELS) and seen[0].arguments["features"] == dataset.FEATURES
