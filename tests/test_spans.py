@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tidewater.operators import asof, changes, dataset, features
+from tidewater.operators.history import developer_history
 from tidewater.plans import analyses, mining
 from tidewater.plans import standins as S
 
@@ -45,6 +46,23 @@ def test_days_multiply_feature_vectors_last(spark):
     assert not any("SortMergeJoin" in line or "Window" in line for line in plan[:made])
 
 
+def test_history_of_spans_is_that_of_their_days(spark):
+    c, _ = history(spark)
+    grid, own = [F.lit(x).cast("timestamp_ntz") for x in (START, END)], c.filter("owner_id is not null").select("change_number", "owner_id", "created", "decision_time")
+    days = changes.active_days(own, *grid, 30)
+    want = days.join(developer_history(days.select("owner_id", "t"), c, "owner_id", 20), ["owner_id", "t"])
+    got = features.history_daily(changes.open_spans(own, *grid, 30), *grid, c, 20).select(*want.columns)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and want.count() > 300
+    assert [r.t for r in features.midnights(spark, *grid).orderBy("t").collect()] == [START + timedelta(days=k) for k in range(60)]
+
+
+def test_days_multiply_history_last(spark):
+    """Records of days are made of spans above all joins that move rows; they and their owners' days used to be shuffled."""
+    plan = mining.drift_features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString().split("\n")
+    made = [k for k, line in enumerate(plan) if "explode(sequence(" in line and ("_lo" in line or "_first" in line)]
+    assert made and not any("SortMergeJoin" in line or "Window" in line for line in plan[: made[0]])
+
+
 def test_records_as_spans_are_those_by_day(spark):
     """Reviews at midnights and at odd instants, bins narrower than a day: cut spans hold the days of next_after() and with_bins()."""
     c, sets = history(spark)
