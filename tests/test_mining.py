@@ -105,6 +105,35 @@ def test_all_phrases_are_counted_without_sending_them(spark):
     assert sum(len(p[2]) + len(p[4]) + len(p[5]) for p in sent) < 2 * sum(len(t or "") for t, _ in rows) and sum(p[1] for p in copies) <= 2 * 11
 
 
+def test_buckets_do_not_multiply_what_is_sent():
+    """With a hundred times the buckets a word's spelling used to go to each of them, now frequent words have numbers; other words and all counts stay."""
+    r = random.Random(2)
+    known = [f"word{k}" for k in range(300)]
+    rows = [" ".join(r.choice(known) if r.random() < 0.97 else f"rare{r.randint(0, 10**6)}" for _ in range(40)) for _ in range(300)] + ["", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows), pa.array([1] * len(rows))], ["cleaned", "total"])
+    size = lambda pieces: sum(len(p[2]) + len(p[4]) + len(p[5]) for p in pieces)
+    want = {}
+    for t in rows:
+        words = (t or "").split()
+        for p in {" ".join(words[i : i + n]) for n in range(1, 11) for i in range(len(words) - n + 1)}:
+            want[p] = want.get(p, 0) + 1
+    for listed in (None, pa.array(known), pa.array(["word5", "absent"]), pa.array([*known, *(f"rare{k}" for k in range(10**5))])):
+        few, many = (list(keywords._windows(batch, 1, 10, n, listed)) for n in (3, 300))
+        assert listed is None or len(listed) == 2 or size(many) < 1.6 * size(few)
+        got = {}
+        for bucket in {p[0] for p in many}:
+            for phrases, sums in keywords._counted([p[1:] for p in many if p[0] == bucket], 1, 10, 1, listed):
+                got.update(zip(phrases.to_pylist(), sums[0].tolist()))
+        assert got == want
+    assert listed is not None and not {w for p in few for w in pa.decompress(p[2], p[3], codec="zstd", asbytes=True).decode().split()} & set(known)
+
+
+def test_words_are_listed_from_a_part_of_the_comments(spark):
+    rows = spark.createDataFrame([("a a b",), ("b c  a",), (None,), ("",), ("d " * 50,)], "cleaned string").coalesce(1)
+    assert keywords._frequent_words(rows, 1 << 20, 2).to_pylist() == ["d", "a"] and keywords._frequent_words(rows, 5, 9).to_pylist() == ["a", "b"]
+    assert keywords._frequent_words(rows.limit(0), 5, 9).to_pylist() == []
+
+
 def test_later_levels_read_what_longer_phrases_can_hold(spark, monkeypatch):
     """Comments are trimmed once, words that others were between do not become neighbours, and counts stay those of everything."""
     r = random.Random(5)
