@@ -128,6 +128,21 @@ def test_buckets_do_not_multiply_what_is_sent():
     assert listed is not None and not {w for p in few for w in pa.decompress(p[2], p[3], codec="zstd", asbytes=True).decode().split()} & set(known)
 
 
+def test_texts_without_labels_are_not_moved(spark, tmp_path):
+    """Before the join with labels most of them are left out, and none that is wanted; keys of any kind, nulls and empty tables do no harm."""
+    rows = spark.createDataFrame([(k if k else None, f"t{k}") for k in range(3000)], "k long, text string").repartition(3)
+    other = spark.createDataFrame([(k if k % 10 else None,) for k in range(0, 4000, 7)], "k long")
+    got = {r.k for r in keywords.held_by(rows, other, "k").collect()}
+    want = {k for k in range(3000) if k % 7 == 0 and k % 10}
+    assert want <= got and len(got) < len(want) + 5
+    assert len(keywords.held_by(rows, other, "k", 8).join(other, "k").collect()) == len(want)
+    assert keywords.held_by(rows, other.limit(0), "k").collect() == keywords.held_by(rows.limit(0), other, "k").collect() == []
+    spark.createDataFrame([(k, f"text {k}") for k in range(100)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 0, 1) for k in range(0, 100, 5)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    plan = mining._comments(spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [doc_id" in plan and "MapInArrow" in plan[plan.index("SortMergeJoin") :] and mining._comments(spark, str(tmp_path)).count() == 20
+
+
 def test_words_are_listed_from_a_part_of_the_comments(spark):
     rows = spark.createDataFrame([("a a b",), ("b c  a",), (None,), ("",), ("d " * 50,)], "cleaned string").coalesce(1)
     assert keywords._frequent_words(rows, 1 << 20, 2).to_pylist() == ["d", "a"] and keywords._frequent_words(rows, 5, 9).to_pylist() == ["a", "b"]
