@@ -95,3 +95,20 @@ def test_records_that_agree_are_one_row(spark):
     want = analyses.records(c, S.cycles(spark), lambda rows: rows, "time_to_decision").groupBy("version", "t", "bin", "label").count()
     got = rows.groupBy("version", "t", "bin", "label").agg(F.sum("n_alike"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_bins_of_spans_take_differences_of_times_once(spark):
+    """A cycle's ends and length are measured once a span; it used to be done for every bin and day looked at. Changes outside a release's span are left out before releases multiply them."""
+    c = S.changes(spark, "/root/testdata/sf0.001").select("change_number", "project", "owner_id", "created", "decision_time")
+    plan = analyses.record_spans(c, S.cycles(spark), lambda rows: rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "timestampdiff" not in plan[: plan.index("explode(sequence(_a")].lower() and "explode(filter(" in plan
+
+
+def test_cells_are_drawn_from_once(spark):
+    """What the bound on the md5 keeps is written, with the layers that it left too few of taken whole."""
+    layered = spark.createDataFrame([(d, 1, k, 1 + k % 3) for d in (1, 2) for k in range(900)], "d int, p int, change_id long, layer int")
+    some = [dataset.split(layered, 40, 10, 3, slack=slack) for slack in (6.0, 0.0, -3.0)]
+    first, *others = [sorted(map(tuple, x.collect())) for x in some]
+    assert all(x == first for x in others) and len(first) == 2 * 3 * 50
+    assert "md5" not in some[0]._jdf.queryExecution().optimizedPlan().toString() and any("/drawn-" in f for f in some[0].inputFiles())
+    assert "md5" in some[2]._jdf.queryExecution().optimizedPlan().toString()
